@@ -118,7 +118,7 @@ def work_detail(star: Star, work_id: str) -> DataFrame:
     """Full record of one work; no row when it is not stored."""
     one = Star(star.works.filter(F.col("Work_ID") == work_id), star.members, star.vendors,
                star.geography, star.compliance.filter(F.col("Work_ID") == work_id))
-    return master_dataset(one).limit(1)
+    return master_dataset(one, spread=False).limit(1)
 
 
 def constituency_detail(geography: DataFrame, state: str, constituency_id: str) -> DataFrame:

@@ -35,9 +35,13 @@ def attach_vendor(works: DataFrame, vendors: DataFrame) -> DataFrame:
                             scatter=~is_real_vendor(F.col("Vendor_Name")))
 
 
-def master_dataset(star: Star) -> DataFrame:
-    """Works with vendor, compliance and geography columns, progress gap and flags."""
-    df = attach_vendor(star.works, star.vendors)
+def master_dataset(star: Star, *, spread: bool = True) -> DataFrame:
+    """Works with vendor, compliance and geography columns, progress gap and flags.
+
+    ``spread=False`` skips dealing out hot vendors, for look-ups of few works.
+    """
+    df = (attach_vendor(star.works, star.vendors) if spread
+          else left_join(star.works, star.vendors, ["Vendor_Name"]))
     df = left_join(df, star.compliance, ["Work_ID"], null_safe=True)
     df = left_join(df, star.geography, ["State", "Constituency", "Constituency_ID"],
                    null_safe=True)

@@ -75,6 +75,20 @@ def medians(placed: DataFrame, by: list[str]) -> DataFrame:
             .select(*by, ((F.col("_low") + F.col("_high")) / 2).alias("median")))
 
 
+def quantile(placed: DataFrame, by: list[str], q: float) -> DataFrame:
+    """Exact quantile per group, interpolated between the two values around it."""
+    spot = (F.col("n") - 1) * F.lit(q)
+
+    def at(rank: Column) -> Column:
+        return F.max(F.when((F.col("lt") <= rank) & (rank < F.col("lt") + F.col("eq")),
+                            F.col("value")))
+
+    low, high, part = F.col("_low"), F.col("_high"), F.col("_part")
+    return (placed.groupBy(*by).agg(at(F.floor(spot)).alias("_low"), at(F.ceil(spot)).alias("_high"),
+                                    F.max(spot - F.floor(spot)).alias("_part"))
+            .select(*by, (low + (high - low) * part).alias("quantile")))
+
+
 def with_positions(long: DataFrame, by: list[str]) -> DataFrame:
     """Positions on every row; values shared by many rows are dealt over tasks."""
     keys = [*by, "value"]
@@ -100,25 +114,29 @@ def average_percentile(df: DataFrame, key: str, values: list[str]) -> DataFrame:
                          ((F.col("lt") + (F.col("eq") + 1) / 2) / F.col("n")).alias("pct"))
 
 
-def left_percentile(queries: DataFrame, reference: DataFrame, key: str) -> DataFrame:
-    """(key, feature, pct): share of the reference strictly below each query value.
+def left_positions(queries: DataFrame, reference: DataFrame, key: str) -> DataFrame:
+    """(key, feature, lt, n): reference rows strictly below each query value, and all of them.
 
     ``queries`` is (key, feature, value); ``reference`` is (feature, value, eq), one row
     per distinct value. Queried values join the reference with a count of zero, so
-    one pass places both and no range join is needed. A feature without
-    reference gives 0.5.
+    one pass places both and no range join is needed.
     """
-    asked = queries.groupBy("feature", "value").agg(F.count("*").alias("asked"))
-    both = (reference.select("feature", "value", "eq", F.lit(0).cast("long").alias("asked"))
-            .unionByName(asked.withColumn("eq", F.lit(0).cast("long")))
+    asked = value_counts(queries, ["feature"]).withColumnRenamed("eq", "asked")
+    zero = F.lit(0).cast("long")
+    both = (reference.select("feature", "value", "eq", zero.alias("asked"))
+            .unionByName(asked.withColumn("eq", zero))
             .groupBy("feature", "value")
             .agg(F.sum("eq").alias("eq"), F.sum("asked").alias("asked")))
-    placed = counted_positions(both, ["feature"]).filter("asked > 0")
+    placed = counted_positions(both, ["feature"]).filter("asked > 0").drop("eq", "asked")
     hot = hot_keys(asked.filter("asked > 1"), ["feature", "value"], "asked")
-    found = spread_left_join(queries, placed.drop("asked"), ["feature", "value"], hot)
-    return found.select(
-        key, "feature",
-        F.when(F.col("n") > 0, F.col("lt") / F.col("n")).otherwise(F.lit(0.5)).alias("pct"))
+    return (spread_left_join(queries, placed, ["feature", "value"], hot)
+            .select(key, "feature", "lt", "n"))
+
+
+def left_percentile(queries: DataFrame, reference: DataFrame, key: str) -> DataFrame:
+    """(key, feature, pct): share of the reference strictly below; without any, 0.5."""
+    share = F.when(F.col("n") > 0, F.col("lt") / F.col("n")).otherwise(F.lit(0.5))
+    return left_positions(queries, reference, key).select(key, "feature", share.alias("pct"))
 
 
 def reference_counts(df: DataFrame, values: dict[str, Column] | list[str]) -> DataFrame:

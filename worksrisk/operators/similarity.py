@@ -336,21 +336,25 @@ def new_work_duplicates(requests: DataFrame, index: DataFrame, **options) -> Dat
                             best.withColumnRenamed("id", "Work_ID"), ["Work_ID"]))
 
 
-def nearby_works(requests: DataFrame, works: DataFrame, k: int = S.NEARBY_WORKS,
-                 **options) -> DataFrame:
+def nearby_works(requests: DataFrame, places: DataFrame, vectors: DataFrame,
+                 k: int = S.NEARBY_WORKS, **options) -> DataFrame:
     """The k most similar works of the same cluster, else of the same constituency.
 
-    Both sides have Work_ID, Spatial_Cluster_ID, Constituency and ``embedding``.
-    Returns (Work_ID, nearest_id, similarity, position).
+    ``requests`` and ``places`` have Work_ID, Spatial_Cluster_ID and Constituency;
+    ``vectors`` has Work_ID and ``embedding``. Vectors are fetched only for the places
+    that were asked for. Returns (Work_ID, nearest_id, similarity, position).
     """
     cluster = F.concat(F.lit("k:"), F.col("Spatial_Cluster_ID"))
     place = F.concat(F.lit("c:"), F.col("Constituency"))
-    base = [F.col("Work_ID").alias("id"), F.col("embedding").alias("vec")]
-    asked = requests.select(*base, F.coalesce(cluster, place).alias("block"))
-    known = (works.select(*base, F.explode(F.array(cluster, place)).alias("block"))
-             .filter(F.col("block").isNotNull()))
-    wanted = asked.select("block").distinct()
-    return (nearest(asked, known.join(wanted, "block", "left_semi"), k=k, **options)
+    asked = requests.select("Work_ID", F.coalesce(cluster, place).alias("block"))
+    known = (places.select("Work_ID", F.explode(F.array(cluster, place)).alias("block"))
+             .join(asked.select("block").distinct(), "block", "left_semi"))
+
+    def with_vectors(df: DataFrame) -> DataFrame:
+        return df.join(vectors.select("Work_ID", "embedding"), "Work_ID").select(
+            F.col("Work_ID").alias("id"), "block", F.col("embedding").alias("vec"))
+
+    return (nearest(with_vectors(asked), with_vectors(known), k=k, **options)
             .withColumnRenamed("id", "Work_ID"))
 
 

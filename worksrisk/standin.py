@@ -1,0 +1,243 @@
+"""Test adapter: the given order tables dressed as exports of a public-works fund.
+
+An order line is a work, a customer a member, a supplier a vendor, a nation a
+constituency and a region a state. Lines that repeat an (order, line number) are
+repeated entries of one work; every line is also a payment. Money is whole units, so
+that sums do not depend on their order.
+"""
+
+from __future__ import annotations
+
+from datetime import datetime
+
+from pyspark.ml import PipelineModel
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from worksrisk import schemas as S
+from worksrisk.operators import etl, iforest, similarity
+from worksrisk.operators.features import master_dataset
+from worksrisk.plans.scoring import Engine, composite_frame
+from worksrisk.operators.models import train_cross_check
+from worksrisk.session import storage_folder
+from worksrisk.sources import star as star_io
+from worksrisk.sources.raw import ORDER, HouseFiles
+from worksrisk.sources.star import Star
+
+AS_OF = datetime(2002, 1, 1)
+LINE_ORDER = ("l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
+              "l_shipdate", "l_returnflag", "l_linestatus")
+STATUS = {"AF": "Work Completed", "AO": "Work partially Completed", "NF": "Physical Inspection",
+          "NO": "Vendor Identification", "RF": "Sanction", "RO": "Time Estimation"}
+CROSS_CHECK_TREES = 20   # the cross-check of the stand-in; the default of the library is 300
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def as_of() -> Column:
+    return F.lit(AS_OF.isoformat(sep=" ")).cast("timestamp_ntz")
+
+
+def _work_id() -> Column:
+    year = F.year("o_orderdate")
+    return F.concat(F.lit("WS/MP"), "o_custkey", F.lit("/"), year, F.lit("-"), year + 1,
+                    F.lit("/"), F.col("l_orderkey") * 10 + F.col("l_linenumber"))
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order line with its order, and the identifier of its work."""
+    lines = table(spark, sf_dir, "lineitem")
+    orders = table(spark, sf_dir, "orders")
+    return (lines.join(orders, lines.l_orderkey == orders.o_orderkey)
+            .withColumn("Work_ID", _work_id())
+            .withColumn(ORDER, F.struct(*LINE_ORDER)))
+
+
+def _places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    return nation.join(region, nation.n_regionkey == region.r_regionkey)
+
+
+def exports(spark: SparkSession, sf_dir: str) -> HouseFiles:
+    """The four exports, repeats included."""
+    lines = _lines(spark, sf_dir)
+    customer, part = table(spark, sf_dir, "customer"), table(spark, sf_dir, "part")
+    supplier = table(spark, sf_dir, "supplier")
+    start = F.to_date("o_orderdate")
+    sanction = F.date_add(start, F.col("l_linenumber") * 7 + (F.col("l_partkey") % 30).cast("int"))
+    shipped = F.to_date("l_shipdate")
+    recommended = (
+        lines.join(customer, lines.o_custkey == customer.c_custkey)
+        .join(_places(spark, sf_dir), customer.c_nationkey == F.col("n_nationkey"))
+        .join(part, lines.l_partkey == part.p_partkey)
+        .select("Work_ID", ORDER,
+                F.when(F.col("l_orderkey") % 3 == 0, "Rajya Sabha").otherwise("Lok Sabha")
+                .alias("House"),
+                F.col("c_name").alias("MP_Name"), F.col("r_name").alias("State"),
+                F.col("n_name").alias("Constituency"),
+                F.concat("p_name", F.lit(" at "), "n_name").alias("Work_Description"),
+                start.cast("timestamp_ntz").alias("Recommended_Date"),
+                F.floor("o_totalprice").cast("double").alias("Recommended_Amount")))
+    status = F.create_map(*(F.lit(x) for pair in STATUS.items() for x in pair))
+    sanctioned = lines.select(
+        "Work_ID", ORDER, sanction.cast("timestamp_ntz").alias("Sanction_Date"),
+        F.when(F.col("l_discount") == 0, 0.0).otherwise(F.floor("l_extendedprice").cast("double"))
+        .alias("Sanction_Amount"),
+        status[F.concat("l_returnflag", "l_linestatus")].alias("Work_Status"))
+    completed = (lines.filter((F.col("l_returnflag") == "A") & (shipped >= sanction))
+                 .select("Work_ID", ORDER,
+                         shipped.cast("timestamp_ntz").alias("Completion_Date")))
+    paid = F.col("l_extendedprice") * (1 - F.col("l_discount")) * (1 + F.col("l_tax"))
+    expenditure = (
+        lines.join(supplier, lines.l_suppkey == supplier.s_suppkey)
+        .select("Work_ID", F.when(F.col("l_suppkey") % 10 != 0, F.col("s_name"))
+                .alias("Vendor Name"), F.floor(paid).cast("double").alias("Disbursed_Amount")))
+    return HouseFiles(recommended, sanctioned, completed, expenditure)
+
+
+def work_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quantity, unit and calamity flag: columns the exports do not carry."""
+    first = etl.keep_first(_lines(spark, sf_dir), ["Work_ID"], [ORDER])
+    part = table(spark, sf_dir, "part")
+    return first.join(part, first.l_partkey == part.p_partkey).select(
+        "Work_ID", F.col("l_quantity").cast("int").alias("Work_Quantity"),
+        F.col("p_type").alias("Work_Scope_Unit"), (F.col("l_tax") == 0.08).alias("Calamity_Flag"))
+
+
+def compliance_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    first = etl.keep_first(_lines(spark, sf_dir), ["Work_ID"], [ORDER])
+    customer = table(spark, sf_dir, "customer")
+    step, flag = F.col("l_linenumber") % 4, F.col("l_returnflag")
+    urgency = F.col("o_orderpriority")
+    return first.join(customer, first.o_custkey == customer.c_custkey).select(
+        "Work_ID",
+        F.when(step == 1, "Site Plan").when(step == 2, "Site Plan, NOC")
+        .when(step == 3, "Site Plan,NOC,Utilization Cert").alias("Documents_Submitted"),
+        F.when(urgency == "1-URGENT", "Pending").when(urgency == "3-MEDIUM", "Not_Required")
+        .when(urgency != "4-NOT SPECIFIED", "Received").alias("NOC_Status"),
+        F.when(F.col("o_custkey") % 13 != 0, (F.col("c_acctbal") + 1000) / 110)
+        .alias("Compliance_Score"),
+        F.when(flag == "R", "Weather delays, Vendor issues").when(flag == "A", "Vendor issues")
+        .alias("Issues_Encountered"),
+        ((F.col("l_partkey") * 7 + F.col("l_suppkey") * 3) % 101).cast("double")
+        .alias("Overall_Fraud_Risk_Score"))
+
+
+def vendor_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "supplier").select(
+        F.col("s_name").alias("Vendor_Name"),
+        (1 + (F.col("s_suppkey") % 41) / 10.0).alias("Vendor_Quality_Rating"),
+        (5 + F.col("s_suppkey") % 36).cast("double").alias("Vendor_Monopoly_Score"),
+        ((F.col("s_acctbal") + 1000) / 110).alias("Vendor_Risk_Score"))
+
+
+def geography_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _places(spark, sf_dir).select(
+        F.col("r_name").alias("State"), F.col("n_name").alias("Constituency"),
+        (10 + (F.col("n_nationkey") * 17) % 81).cast("double").alias("Zone_Fraud_Risk_Score"),
+        F.concat(F.lit("CLUSTER_"), F.col("n_nationkey") % 5).alias("Spatial_Cluster_ID"))
+
+
+def master(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return etl.build_master(exports(spark, sf_dir), as_of(), work_inputs(spark, sf_dir))
+
+
+# ------------------------------------------------- stored once per application
+_made: dict[tuple, object] = {}
+
+
+def _once(spark: SparkSession, sf_dir: str, name: str, make):
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _made:
+        _made[key] = make()
+    return _made[key]
+
+
+def _folder(spark: SparkSession, sf_dir: str, name: str) -> str:
+    tag = "".join(ch if ch.isalnum() else "_" for ch in sf_dir)
+    return f"{storage_folder(spark)}/standin-{spark.sparkContext.applicationId}/{tag}/{name}"
+
+
+def star(spark: SparkSession, sf_dir: str) -> Star:
+    """The star schema of the stand-in, written once and read like any stored one."""
+    def make() -> Star:
+        folder = _folder(spark, sf_dir, "star")
+        base = f"{folder}-master"
+        master(spark, sf_dir).drop(ORDER).write.mode("overwrite").parquet(base)
+        built = etl.build_star(
+            spark.read.parquet(base), vendor_inputs=vendor_inputs(spark, sf_dir),
+            geography_inputs=geography_inputs(spark, sf_dir),
+            compliance_inputs=compliance_inputs(spark, sf_dir))
+        steady = F.round("Vendor_Avg_Cost_Overrun_Ratio", 6)
+        built = Star(built.works, built.members,
+                     built.vendors.withColumn("Vendor_Avg_Cost_Overrun_Ratio", steady),
+                     built.geography, built.compliance)
+        star_io.write_star(built, folder, mode="overwrite")
+        return star_io.read_star(spark, folder)
+
+    return _once(spark, sf_dir, "star", make)
+
+
+def features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return master_dataset(star(spark, sf_dir))
+
+
+def text_model(spark: SparkSession, sf_dir: str) -> PipelineModel:
+    works = star(spark, sf_dir).works
+    return _once(spark, sf_dir, "text",
+                 lambda: similarity.fit_text_vectors(works, "Work_Description"))
+
+
+def index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored vector of every description."""
+    def make() -> DataFrame:
+        path = _folder(spark, sf_dir, "index")
+        works = star(spark, sf_dir).works.select("Work_ID", "Vendor_Name", "Constituency",
+                                                 "Work_Description")
+        vectors = similarity.text_vectors(text_model(spark, sf_dir), works, "Work_Description")
+        star_io.write_index(vectors, path, "hashed words", mode="overwrite")
+        return star_io.read_index(spark, path)
+
+    return _once(spark, sf_dir, "index", make)
+
+
+def duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored duplicate score of every work."""
+    def make() -> DataFrame:
+        path = _folder(spark, sf_dir, "duplicates")
+        works = index(spark, sf_dir).select(
+            F.col("work_id").alias("Work_ID"), F.col("vendor_name").alias("Vendor_Name"),
+            F.col("constituency").alias("Constituency"), "embedding")
+        scores = similarity.duplicate_scores(works)
+        star_io.write_duplicates(scores, path, mode="overwrite")
+        return star_io.read_duplicates(spark, path)
+
+    return _once(spark, sf_dir, "duplicates", make)
+
+
+def anomaly_model(spark: SparkSession, sf_dir: str) -> iforest.AnomalyModel:
+    def make() -> iforest.AnomalyModel:
+        path = _folder(spark, sf_dir, "anomaly")
+        iforest.train(features(spark, sf_dir)).save(path, mode="overwrite")
+        return iforest.AnomalyModel.load(spark, path)
+
+    return _once(spark, sf_dir, "anomaly", make)
+
+
+def composite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return composite_frame(star(spark, sf_dir), anomaly_model(spark, sf_dir),
+                           duplicates(spark, sf_dir))
+
+
+def engine(spark: SparkSession, sf_dir: str, *, with_cross_check: bool = False) -> Engine:
+    return Engine(
+        star(spark, sf_dir), anomaly_model(spark, sf_dir), duplicates(spark, sf_dir),
+        index(spark, sf_dir), text_model(spark, sf_dir),
+        cross_check(spark, sf_dir) if with_cross_check else None)
+
+
+def cross_check(spark: SparkSession, sf_dir: str):
+    return _once(spark, sf_dir, "cross_check", lambda: train_cross_check(
+        composite(spark, sf_dir), trees=CROSS_CHECK_TREES))
