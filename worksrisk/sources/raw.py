@@ -5,7 +5,6 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -93,20 +92,17 @@ def read_csv(spark: SparkSession, path: str, *, multi_line: bool = True,
     return normalise_missing(named)
 
 
-def _first_file(spark: SparkSession, folder: str, pattern: str) -> str | None:
-    """First file of a folder that fits the pattern, listed by Spark's own reader."""
-    try:
-        listing = (spark.read.format("binaryFile").option("pathGlobFilter", pattern)
-                   .load(folder).select("path").agg(F.min("path").alias("path")))
-        row = listing.first()
-    except AnalysisException:
-        return None
-    return row["path"] if row else None
+def _first_match(spark: SparkSession, folder: str, pattern: str) -> str | None:
+    """First file (or folder of part files) whose name fits the pattern."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{pattern}")
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    hits = sorted(h.getPath().toString() for h in files.globStatus(path) or [])
+    return hits[0] if hits else None
 
 
 def read_house(spark: SparkSession, folder: str, house: str, **options) -> HouseFiles | None:
     """All four exports of a house, or None when any of them is missing."""
-    paths = {kind: _first_file(spark, folder, glob) for kind, glob in FILE_PATTERNS.items()}
+    paths = {kind: _first_match(spark, folder, glob) for kind, glob in FILE_PATTERNS.items()}
     if not all(paths.values()):
         return None
     tables = {kind: read_csv(spark, path, **options) for kind, path in paths.items()}

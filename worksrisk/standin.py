@@ -144,6 +144,49 @@ def master(spark: SparkSession, sf_dir: str) -> DataFrame:
     return etl.build_master(exports(spark, sf_dir), as_of(), work_inputs(spark, sf_dir))
 
 
+def write_csv_exports(spark: SparkSession, sf_dir: str, house: str) -> str:
+    """The four exports of one house in the raw dialect; returns their folder."""
+    files = exports(spark, sf_dir)
+    houses = files.recommended.select("Work_ID", "House").distinct().filter(
+        F.col("House") == house).select("Work_ID")
+    rupees = F.concat(F.lit("₹ "), F.format_number("_amount", 2))
+    cell = F.concat(F.col("Work_ID"), F.lit("-"), F.coalesce("_text", F.lit("work")))
+
+    def day(name: str) -> Column:
+        return F.date_format(name, "dd-MMM-yyyy").alias(name.replace("_", " "))
+
+    def text(df: DataFrame, work: str | None = None, amount: str | None = None) -> DataFrame:
+        return df.join(houses, "Work_ID", "left_semi").withColumns({
+            "_text": F.col(work) if work else F.lit(None).cast("string"),
+            "_amount": F.col(amount) if amount else F.lit(0.0)})
+
+    serial = F.lit("1").alias("Sr. No.")
+    shaped = {
+        "Works Recommended (1).csv": text(files.recommended, "Work_Description",
+                                          "Recommended_Amount").select(
+            ORDER, serial, "State", "Constituency", cell.alias("Work"),
+            F.col("Work_Description").alias("Work Description"), day("Recommended_Date"),
+            rupees.alias("Recommended Amount ( ₹ )"),
+            F.col("MP_Name").alias("Hon'ble Members of Parliament")),
+        "Works Sanctioned (1).csv": text(files.sanctioned, None, "Sanction_Amount").select(
+            ORDER, serial, cell.alias("Work"), day("Sanction_Date"),
+            rupees.alias("SANCTION AMOUNT ( ₹ )"), F.col("Work_Status").alias("Work Status")),
+        "Works Completed (1).csv": text(files.completed).select(
+            ORDER, serial, cell.alias("Work"),
+            F.date_format("Completion_Date", "dd/MM/yyyy").alias("Complete Date")),
+        "Expenditure (1).csv": text(files.expenditure, None, "Disbursed_Amount").select(
+            serial, F.concat(F.lit(" "), "Work_ID").alias("Work ID"), "Vendor Name",
+            rupees.alias("Fund Disbursed Amount ( ₹ )")),
+    }
+    folder = _folder(spark, sf_dir, f"csv-{house.replace(' ', '-')}")
+    for name, df in shaped.items():
+        if ORDER in df.columns:
+            df = df.orderBy(ORDER).drop(ORDER)
+        (df.write.mode("overwrite").option("header", True).option("quoteAll", True)
+         .option("escape", '"').csv(f"{folder}/{name}"))
+    return folder
+
+
 # ------------------------------------------------- stored once per application
 _made: dict[tuple, object] = {}
 
