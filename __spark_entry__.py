@@ -8,12 +8,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from oracle_queries import ORACLES
+from worksrisk import schemas as S
 from worksrisk import standin
 from worksrisk.functions import cells, rules
 from worksrisk.operators import browse, etl, iforest, models, ranks, similarity
 from worksrisk.operators import features as feat
 from worksrisk.plans import scoring
-from worksrisk.session import storage_folder
+from worksrisk.session import storage_folder, stored
 from worksrisk.sources import raw
 from worksrisk.sources import star as star_io
 
@@ -322,10 +323,10 @@ def peer_benchmark(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _extremes(spark: SparkSession, sf: str) -> DataFrame:
-    df = standin.features(spark, sf)
+    df = stored(standin.features(spark, sf).select("Work_ID", *S.REFERENCE_FEATURES))
     filled = feat.impute_vendor_features(df, feat.median_values(feat.feature_medians(df)))
     reference = ranks.reference_counts(feat.drop_incomplete(filled),
-                                       list(scoring.S.REFERENCE_FEATURES))
+                                       list(S.REFERENCE_FEATURES))
     return scoring.feature_anomalies(df, reference)
 
 

@@ -10,6 +10,7 @@ from worksrisk.functions import rules
 from worksrisk.functions.cells import day_first_timestamp
 from worksrisk.operators.joins import left_join
 from worksrisk.operators.ranks import descending_rank, melt, positions
+from worksrisk.session import stored
 from worksrisk.sources.raw import ORDER, HouseFiles
 from worksrisk.sources.star import Star
 
@@ -96,7 +97,10 @@ def build_master(files: HouseFiles, as_of: Column, inputs: DataFrame | None = No
 
 # ----------------------------------------------------------------- dimensions
 def member_dimension(master: DataFrame) -> DataFrame:
-    """Totals, completion rate, budget use and rank of each member."""
+    """Totals, completion rate, budget use and rank of each member.
+
+    The totals are stored once: ranking reads them twice, and works only once.
+    """
     totals = master.filter(F.col("MP_Name").isNotNull()).groupBy("MP_Name").agg(
         F.sum("Recommended_Amount").alias("MP_Total_Allocation"),
         F.sum("Sanction_Amount").alias("MP_Total_Sanctioned"),
@@ -104,12 +108,12 @@ def member_dimension(master: DataFrame) -> DataFrame:
         F.count("Work_ID").alias("MP_Total_Projects"),
         F.count("Completion_Date").alias("MP_Completed_Projects"))
     allocated, paid = F.col("MP_Total_Allocation"), F.col("MP_Total_Disbursed")
-    rated = totals.withColumns({
+    rated = stored(totals.withColumns({
         "MP_Completion_Rate":
             F.try_divide("MP_Completed_Projects", "MP_Total_Projects") * 100,
         "MP_Budget_Utilization_Percent":
             F.when(allocated > 0, F.try_divide(paid, allocated) * 100).otherwise(F.lit(0.0)),
-    })
+    }))
     return descending_rank(rated, "MP_Completion_Rate", "MP_Performance_Rank")
 
 

@@ -26,8 +26,24 @@ def melt(df: DataFrame, ids: list[str], values: dict[str, Column] | list[str]) -
 
 
 def _buckets(df: DataFrame) -> int:
+    """A power of two near the number of shuffle partitions."""
     partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    return max(8, min(MAX_BUCKETS, partitions))
+    return 1 << max(3, min(MAX_BUCKETS, partitions).bit_length() - 1)
+
+
+def _with_bucket(df: DataFrame, k: int) -> DataFrame:
+    """``_bucket``: how many of the k-1 sorted cuts are at or below the value.
+
+    A binary search written as log2(k) projections, which stay in generated code; a
+    lambda over the array would be interpreted k times per row.
+    """
+    out, step = df.withColumn("_bucket", F.lit(0)), k // 2
+    while step:
+        cut = F.get("_cuts", F.col("_bucket") + F.lit(step - 1))
+        out = out.withColumn("_bucket", F.col("_bucket") + F.when(
+            cut <= F.col("value"), F.lit(step)).otherwise(F.lit(0)))
+        step //= 2
+    return out.drop("_cuts")
 
 
 def counted_positions(counts: DataFrame, by: list[str]) -> DataFrame:
@@ -38,11 +54,10 @@ def counted_positions(counts: DataFrame, by: list[str]) -> DataFrame:
     below. The cut points need not be exact for the result to be.
     """
     k = _buckets(counts)
-    cuts = counts.groupBy(*by).agg(
+    # reading the count keeps this branch on the same shuffle as the others
+    cuts = counts.filter("eq >= 0").groupBy(*by).agg(
         F.percentile_approx("value", [i / k for i in range(1, k)], F.lit(20 * k)).alias("_cuts"))
-    placed = (counts.join(cuts, by)
-              .withColumn("_bucket", F.size(F.filter("_cuts", lambda c: c <= F.col("value"))))
-              .drop("_cuts"))
+    placed = _with_bucket(counts.join(cuts, by), k)
     below = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     totals = (placed.groupBy(*by, "_bucket").agg(F.sum("eq").alias("_eq"))
               .withColumn("_before", F.coalesce(F.sum("_eq").over(below), F.lit(0)))
@@ -121,14 +136,12 @@ def left_positions(queries: DataFrame, reference: DataFrame, key: str) -> DataFr
     per distinct value. Queried values join the reference with a count of zero, so
     one pass places both and no range join is needed.
     """
-    asked = value_counts(queries, ["feature"]).withColumnRenamed("eq", "asked")
-    zero = F.lit(0).cast("long")
-    both = (reference.select("feature", "value", "eq", zero.alias("asked"))
-            .unionByName(asked.withColumn("eq", zero))
-            .groupBy("feature", "value")
-            .agg(F.sum("eq").alias("eq"), F.sum("asked").alias("asked")))
-    placed = counted_positions(both, ["feature"]).filter("asked > 0").drop("eq", "asked")
-    hot = hot_keys(asked.filter("asked > 1"), ["feature", "value"], "asked")
+    asked = value_counts(queries, ["feature"])
+    both = (reference.select("feature", "value", "eq")
+            .unionByName(asked.withColumn("eq", F.col("eq") * 0))
+            .groupBy("feature", "value").agg(F.sum("eq").alias("eq")))
+    placed = counted_positions(both, ["feature"]).drop("eq")
+    hot = hot_keys(asked.filter("eq > 1"), ["feature", "value"], "eq")
     return (spread_left_join(queries, placed, ["feature", "value"], hot)
             .select(key, "feature", "lt", "n"))
 

@@ -89,6 +89,7 @@ def feature_anomalies(df: DataFrame, reference: DataFrame, key: str = "Work_ID")
     ``df`` has the five features as they are, without imputation: a missing one counts
     as the middle. The gap is extreme in either direction, so its size is ranked.
     """
+    df = stored(df.select(key, *S.REFERENCE_FEATURES))
     sized = F.when(F.col("feature") == "Progress_Gap", F.abs("value")).otherwise(F.col("value"))
     base = (reference.withColumn("value", sized).groupBy("feature", "value")
             .agg(F.sum("eq").alias("eq")))
