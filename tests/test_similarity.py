@@ -35,11 +35,11 @@ def brute(blocks, sims, k):
     return {i: v for i, v in out.items() if v}
 
 
-@pytest.mark.parametrize("k, chunk, pivots, parts", [(1, 4000, 256, 3), (1, 50, 12, 16),
-                                                     (5, 60, 10, 1)])
-def test_nearest_is_exact(cloud, k, chunk, pivots, parts):
+@pytest.mark.parametrize("k, parts, sizes", [
+    (1, 3, {}), (1, 16, {"chunk": 50, "cell": 20}), (5, 1, {"chunk": 60, "cell": 20, "pivots": 5})])
+def test_nearest_is_exact(cloud, k, parts, sizes):
     df, blocks, sims = cloud
-    found = similarity.nearest(df.repartition(parts), k=k, chunk=chunk, pivots=pivots)
+    found = similarity.nearest(df.repartition(parts), k=k, **sizes)
     got = {}
     for r in found.orderBy("id", "position").collect():
         got.setdefault(r["id"], []).append((r["nearest_id"], round(r["similarity"], 9)))

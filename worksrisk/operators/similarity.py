@@ -38,7 +38,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 CHUNK = 4000        # candidates a unit holds in memory
 QUERY_RUN = 40_000  # queries that one copy of a unit serves
-PIVOTS = 256
+PIVOTS = 1000       # at most this many cells in a block ...
+CELL = 1000         # ... of about this many candidates
 STEP = 1024         # queries multiplied at a time
 KEYS = ["block", "f1", "f2"]
 SEPARATOR = "\u0001"
@@ -169,31 +170,40 @@ def _parts(n: Column, size: int) -> Column:
     return F.ceil(n / F.lit(float(size))).cast("int")
 
 
+def _with_sizes(df: DataFrame, sizes: DataFrame, group: list[str], count: str) -> DataFrame:
+    """Sizes of its group on every row; a group with much of the table is dealt out."""
+    return spread_left_join(df, sizes, group, hot_keys(sizes, group, count)).filter("_g > 0")
+
+
 def _search_units(candidates: DataFrame, queries: DataFrame, group: list[str], k: int,
                   chunk: int, result: str) -> DataFrame:
     """Every query against every candidate of its group, in bounded units."""
     sizes = (candidates.groupBy(*group).agg(F.count("*").alias("_nc"))
              .join(queries.groupBy(*group).agg(F.count("*").alias("_nq")), group)
-             .select(*group, _parts(F.col("_nc"), chunk).alias("_g"),
+             .select(*group, "_nc", "_nq", _parts(F.col("_nc"), chunk).alias("_g"),
                      _parts(F.col("_nq"), QUERY_RUN).alias("_s")))
 
     def every(n: str) -> Column:
         return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
 
-    cand = (candidates.join(sizes, group).withColumn("_j", F.pmod("f1", F.col("_g")))
-            .withColumn("_q", every("_s")))
-    ask = (queries.join(sizes, group).withColumn("_q", F.pmod("f2", F.col("_s")))
-           .withColumn("_j", every("_g")))
+    cand = (_with_sizes(candidates, sizes, group, "_nc")
+            .withColumn("_j", F.pmod("f1", F.col("_g"))).withColumn("_q", every("_s")))
+    ask = (_with_sizes(queries, sizes, group, "_nq")
+           .withColumn("_q", F.pmod("f2", F.col("_s"))).withColumn("_j", every("_g")))
     return _scan(cand, ask, [*group, "_j", "_q"], _search(k), result)
 
 
 def _search_cells(candidates: DataFrame, queries: DataFrame, k: int, chunk: int,
-                  pivots: int, result: str) -> DataFrame:
+                  pivots: int, cell: int, result: str) -> DataFrame:
     """Own cell first, then the cells still in reach."""
     keys = "block string, f1 long, f2 long"
     first = Window.partitionBy("block").orderBy("f1", "f2")
+    cells = candidates.groupBy("block").agg(
+        F.greatest(F.lit(2), _parts(F.count("*"), cell)).alias("_cells"))
     marks = (candidates.withColumn("cell", F.row_number().over(first))
-             .filter(F.col("cell") <= pivots).withColumn("reach", F.lit(0.0)))
+             .filter(F.col("cell") <= pivots).join(cells, "block")
+             .filter(F.col("cell") <= F.col("_cells")).drop("_cells")
+             .withColumn("reach", F.lit(0.0)))
 
     def dealt(df: DataFrame) -> DataFrame:
         return df.withColumn("_q", F.pmod("f2", F.col("_s")))
@@ -228,7 +238,7 @@ def _search_cells(candidates: DataFrame, queries: DataFrame, k: int, chunk: int,
 
 
 def nearest(queries: DataFrame, candidates: DataFrame | None = None, *, k: int = 1,
-            chunk: int = CHUNK, pivots: int = PIVOTS) -> DataFrame:
+            chunk: int = CHUNK, pivots: int = PIVOTS, cell: int = CELL) -> DataFrame:
     """The k most similar candidates of each query's block, never the query itself.
 
     Both sides are (id, block, vec) with ``id`` unique per block; ``candidates=None``
@@ -251,7 +261,8 @@ def nearest(queries: DataFrame, candidates: DataFrame | None = None, *, k: int =
     if large.limit(1).count():
         big_c = cand.join(large, "block", "left_semi")
         big_q = big_c if candidates is None else ask.join(large, "block", "left_semi")
-        found = found.unionByName(_search_cells(big_c, big_q, k + 1, chunk, pivots, result))
+        found = found.unionByName(_search_cells(big_c, big_q, k + 1, chunk, pivots, cell,
+                                                result))
 
     entry = F.struct((-F.col("similarity")).alias("minus"), F.col("one").alias("id"))
     answers = (_best(found, k + 1).withColumn("one", F.explode("ids"))

@@ -14,7 +14,7 @@ from worksrisk.functions.cells import is_real_vendor
 from worksrisk.operators import iforest, similarity
 from worksrisk.operators.features import (add_document_flags, attach_vendor,
                                           impute_vendor_features, master_dataset)
-from worksrisk.operators.joins import left_join
+from worksrisk.operators.joins import hot_keys, left_join, spread_left_join
 from worksrisk.operators.models import CrossCheck
 from worksrisk.operators.ranks import (left_percentile, left_positions, medians, melt,
                                        positions, reference_counts)
@@ -134,8 +134,10 @@ def benchmark(df: DataFrame, works: DataFrame, key: str = "Work_ID", *,
     asked = mine.select(key, "feature", cost.alias("value")).filter(
         F.col("feature").isNotNull() & F.col("value").isNotNull())
     below = left_positions(asked, counts, key).select(key, "lt")
-    out = left_join(left_join(left_join(mine, sizes, ["feature"]), middle, ["feature"]),
-                    below, [key])
+    stats = left_join(sizes, middle, ["feature"])
+    out = spread_left_join(mine, stats, ["feature"], hot_keys(sizes, ["feature"], "size"),
+                           scatter=F.col("feature").isNull())
+    out = left_join(out, below, [key])
     return out.select(
         key, unit.alias("work_scope_unit"),
         F.coalesce("size", F.lit(0)).alias("peer_group_size"),
@@ -154,7 +156,11 @@ def contractor_history(df: DataFrame, duplicates: DataFrame | None,
         flagged = df.withColumn("other_flagged_duplicate_count", F.lit(None).cast("long"))
     else:
         counts = similarity.flagged_per_vendor(duplicates)
-        flagged = left_join(df, counts, ["Vendor_Name"]).withColumn(
+        sizes = duplicates.groupBy("Vendor_Name").agg(F.count("*").alias("works"))
+        joined = spread_left_join(df, counts, ["Vendor_Name"],
+                                  hot_keys(sizes, ["Vendor_Name"], "works"),
+                                  scatter=~is_real_vendor(F.col("Vendor_Name")))
+        flagged = joined.withColumn(
             "other_flagged_duplicate_count",
             F.when(is_real_vendor(F.col("Vendor_Name")),
                    F.coalesce("other_flagged_duplicate_count", F.lit(0))))

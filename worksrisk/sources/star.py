@@ -70,12 +70,14 @@ def _path(folder: str, name: str, fmt: str) -> str:
 
 def write_star(star: Star, folder: str, fmt: str = "parquet", mode: str = "errorifexists") -> None:
     for name, df in star.tables().items():
-        writer = in_schema(df, S.STAR[name]).write.mode(mode).format(fmt)
+        out, by = in_schema(df, S.STAR[name]), PARTITION_BY.get(name, [])
         if fmt == "csv":
-            writer = writer.option("header", True).option("escape", '"')
+            writer = out.write.option("header", True).option("escape", '"')
         else:
-            writer = writer.partitionBy(*PARTITION_BY.get(name, []))
-        writer.save(_path(folder, name, fmt))
+            # few files per folder, and a folder with most of the rows still has many writers
+            out = out.hint("rebalance", *(F.col(c) for c in by)) if by else out
+            writer = out.write.partitionBy(*by)
+        writer.mode(mode).format(fmt).save(_path(folder, name, fmt))
 
 
 def write_duplicates(scores: DataFrame, path: str, mode: str = "errorifexists") -> None:
