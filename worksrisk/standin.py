@@ -17,9 +17,9 @@ from pyspark.sql import functions as F
 from worksrisk import schemas as S
 from worksrisk.operators import etl, iforest, similarity
 from worksrisk.operators.features import master_dataset
+from worksrisk.operators.models import CrossCheck, train_cross_check
 from worksrisk.plans.scoring import Engine, composite_frame
-from worksrisk.operators.models import train_cross_check
-from worksrisk.session import storage_folder
+from worksrisk.session import storage_folder, stored
 from worksrisk.sources import star as star_io
 from worksrisk.sources.raw import ORDER, HouseFiles
 from worksrisk.sources.star import Star
@@ -55,6 +55,12 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
             .withColumn(ORDER, F.struct(*LINE_ORDER)))
 
 
+def _first_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One line per work, stored once: several inputs read it."""
+    return _once(spark, sf_dir, "first", lambda: stored(
+        etl.keep_first(_lines(spark, sf_dir), ["Work_ID"], [ORDER]).drop(ORDER)))
+
+
 def _places(spark: SparkSession, sf_dir: str) -> DataFrame:
     nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
     return nation.join(region, nation.n_regionkey == region.r_regionkey)
@@ -99,7 +105,7 @@ def exports(spark: SparkSession, sf_dir: str) -> HouseFiles:
 
 def work_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quantity, unit and calamity flag: columns the exports do not carry."""
-    first = etl.keep_first(_lines(spark, sf_dir), ["Work_ID"], [ORDER])
+    first = _first_lines(spark, sf_dir)
     part = table(spark, sf_dir, "part")
     return first.join(part, first.l_partkey == part.p_partkey).select(
         "Work_ID", F.col("l_quantity").cast("int").alias("Work_Quantity"),
@@ -107,7 +113,7 @@ def work_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def compliance_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    first = etl.keep_first(_lines(spark, sf_dir), ["Work_ID"], [ORDER])
+    first = _first_lines(spark, sf_dir)
     customer = table(spark, sf_dir, "customer")
     step, flag = F.col("l_linenumber") % 4, F.col("l_returnflag")
     urgency = F.col("o_orderpriority")
@@ -281,6 +287,6 @@ def engine(spark: SparkSession, sf_dir: str, *, with_cross_check: bool = False)
         cross_check(spark, sf_dir) if with_cross_check else None)
 
 
-def cross_check(spark: SparkSession, sf_dir: str):
+def cross_check(spark: SparkSession, sf_dir: str) -> CrossCheck:
     return _once(spark, sf_dir, "cross_check", lambda: train_cross_check(
         composite(spark, sf_dir), trees=CROSS_CHECK_TREES))
