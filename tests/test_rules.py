@@ -1,5 +1,3 @@
-from datetime import datetime
-
 import pytest
 from pyspark.sql import functions as F
 
@@ -15,10 +13,20 @@ def lit(v, kind="double"):
     return F.lit(v).cast(kind)
 
 
-def test_whole_days_rounds_down(spark):
-    early, late = datetime(2024, 1, 1, 23), datetime(2024, 1, 3, 10)
-    days = rules.whole_days(lit(str(late), "timestamp_ntz"), lit(str(early), "timestamp_ntz"))
-    assert value(spark, days) == 1
+@pytest.mark.parametrize("early, late, days", [
+    ("2024-01-01 23:00:00", "2024-01-03 10:00:00", 1),
+    ("2024-01-03 10:00:00", "2024-01-01 23:00:00", -2),
+    ("2024-03-01 00:00:00", "2024-04-01 00:00:00", 31),
+    ("2024-01-01 00:00:00", "2024-01-01 00:00:00", 0),
+])
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York"])
+def test_whole_days_rounds_down_in_any_zone(spark, zone, early, late, days):
+    stamp = [lit(t, "timestamp_ntz") for t in (late, early)]
+    try:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+        assert value(spark, rules.whole_days(*stamp)) == days
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
 
 
 def test_overruns(spark):

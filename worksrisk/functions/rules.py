@@ -23,9 +23,16 @@ def clip(c: Column, low: float = 0.0, high: float = 100.0) -> Column:
 
 # ------------------------------------------------------------------- measures
 def whole_days(later: Column, earlier: Column) -> Column:
-    """Elapsed days rounded down; a date difference would count midnights instead."""
-    seconds = F.unix_timestamp(later.cast("timestamp")) - F.unix_timestamp(earlier.cast("timestamp"))
-    return F.floor(seconds / 86400).cast("int")
+    """Elapsed days rounded down, by the clock of the stamps whatever the session's zone.
+
+    Midnights between the two, less one when the later stamp is earlier in its day.
+    """
+    def clock(c: Column) -> Column:
+        return (F.hour(c) * 3600 + F.minute(c) * 60
+                + F.date_part(F.lit("SECOND"), c).cast("double"))
+
+    return (F.date_diff(later, earlier)
+            - F.when(clock(later) < clock(earlier), 1).otherwise(0)).cast("int")
 
 
 def days_pending(recommended: Column, completed: Column, as_of: Column) -> Column:

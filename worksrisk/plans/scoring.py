@@ -12,12 +12,12 @@ from worksrisk import schemas as S
 from worksrisk.functions import rules
 from worksrisk.functions.cells import is_real_vendor
 from worksrisk.operators import iforest, similarity
-from worksrisk.operators.features import (add_document_flags, attach_vendor,
-                                          impute_vendor_features, master_dataset)
+from worksrisk.operators.features import (add_document_flags, impute_vendor_features,
+                                          master_dataset)
 from worksrisk.operators.joins import hot_keys, left_join, spread_left_join
 from worksrisk.operators.models import CrossCheck
 from worksrisk.operators.ranks import (left_percentile, left_positions, medians, melt,
-                                       positions, reference_counts)
+                                       positions)
 from worksrisk.session import stored
 from worksrisk.sources.star import Star
 

@@ -14,7 +14,6 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from worksrisk import schemas as S
 from worksrisk.operators import etl, iforest, similarity
 from worksrisk.operators.features import master_dataset
 from worksrisk.operators.models import CrossCheck, train_cross_check
