@@ -171,8 +171,8 @@ def test_cross_check_learns_and_survives_storage(spark, sf, tmp_path):
     assert model.metrics["r2"] > 0.4
     model.save(str(tmp_path / "x"))
     again = models.CrossCheck.load(spark, str(tmp_path / "x"))
-    unseen = df.limit(20).withColumn("NOC_Status", F.lit("never seen"))
-    for frame in (df.limit(20), unseen):
+    some = df.orderBy("Work_ID").limit(20)
+    for frame in (some, some.withColumn("NOC_Status", F.lit("never seen"))):
         old = {r["Work_ID"]: r["cross_check"] for r in model.predict(frame, "Work_ID").collect()}
         new = {r["Work_ID"]: r["cross_check"] for r in again.predict(frame, "Work_ID").collect()}
         assert old == new and all(0 <= v <= 100 for v in old.values())
