@@ -18,6 +18,15 @@ from worksrisk.session import storage_folder, stored
 from worksrisk.sources import raw
 from worksrisk.sources import star as star_io
 
+try:  # the training-data operators are optional: the library works without them
+    from worksrisk.llm import queries as llm_queries
+except ImportError:
+    llm_queries = None
+try:
+    import corpus_pipeline
+except ImportError:
+    corpus_pipeline = None
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 WORK_COLUMNS = ["Work_ID", "House", "MP_Name", "Vendor_Name", "State", "Constituency",
@@ -526,9 +535,17 @@ def queries() -> dict[str, Query]:
     )
     named = {f.__name__: f for f in plain}
     named |= {f"{n}_score": _signal(n) for n in ("compliance", "contractor", "spatial")}
+    if llm_queries is not None:
+        named |= llm_queries.QUERIES
+    if corpus_pipeline is not None:
+        named["pipeline"] = corpus_pipeline.run
     return named
 
 
 def oracle_sql() -> dict[str, str]:
-    known = queries()
-    return {name: sql for name, sql in ORACLES.items() if name in known}
+    known, sql = queries(), dict(ORACLES)
+    if llm_queries is not None:
+        sql |= llm_queries.ORACLES
+    if corpus_pipeline is not None and corpus_pipeline.ORACLE_SQL:
+        sql["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return {name: text for name, text in sql.items() if name in known}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,3 +29,34 @@ def stored(df: DataFrame) -> DataFrame:
     """The same rows, written once to reliable storage and read from there."""
     storage_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of this library's own intermediate files, wherever it is stored."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+class Staging:
+    """Intermediate Parquet tables in a new folder below the shared one.
+
+    A staged table cuts the lineage as a checkpoint does, but keeps column pruning and can
+    be dropped as soon as nothing reads it any more.
+    """
+
+    def __init__(self, spark: SparkSession, label: str):
+        self.spark = spark
+        self.folder = f"{storage_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+    def path(self, name: str) -> str:
+        return f"{self.folder}/{name}"
+
+    def table(self, name: str, df: DataFrame) -> DataFrame:
+        """Write the rows once and read them back; ``name`` must be new in this folder."""
+        df.write.parquet(self.path(name))
+        return self.spark.read.schema(df.schema).parquet(self.path(name))
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            remove(self.spark, self.path(name))
