@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from worksrisk.llm import byte_bpe, fingerprints, mixing
+from worksrisk.llm import byte_bpe, fingerprints, licenses, mixing
 from worksrisk.llm.common import table
 
 
@@ -15,6 +15,10 @@ def op1_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_with_edits(table(spark, sf_dir, "documents"))
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents")).drop("found")
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_digests(
         table(spark, sf_dir, "documents"),
@@ -27,7 +31,7 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_winnowing, op7_byte_bpe, op10_source_mix)
+    f.__name__: f for f in (op1_winnowing, op6_license_scan, op7_byte_bpe, op10_source_mix)
 }
 
 OP10_SQL = r"""
