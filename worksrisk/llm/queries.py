@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from worksrisk.llm import byte_bpe, fingerprints, licenses, mixing
+from worksrisk.llm import byte_bpe, fingerprints, licenses, mixing, url_filters
 from worksrisk.llm.common import table
 
 
@@ -25,13 +25,26 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+URL_RULES = [
+    url_filters.UrlRule("allow", "com", "/"),
+    url_filters.UrlRule("block", "example.com", "/en/"),
+    url_filters.UrlRule("allow", "www.example.com", "/en/"),
+    url_filters.UrlRule("block", "net", "/es/"),
+    url_filters.UrlRule("block", "net", "/fr/"),
+]
+
+
+def op9_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filters.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_winnowing, op6_license_scan, op7_byte_bpe, op10_source_mix)
+    f.__name__: f for f in (op1_winnowing, op6_license_scan, op7_byte_bpe, op9_url_templates, op10_source_mix)
 }
 
 OP10_SQL = r"""
