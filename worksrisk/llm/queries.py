@@ -7,14 +7,22 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from worksrisk.llm import byte_bpe, fingerprints, licenses, mixing, url_filters
+from worksrisk.llm import byte_bpe, fingerprints, licenses, mixing, token_files, url_filters
 from worksrisk.llm.common import table
+from worksrisk.session import Staging
 
 
 def op1_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_with_edits(table(spark, sf_dir, "documents"))
 
 
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = token_files.write_tokens(
+        table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+        Staging(spark, "tokens"))
+    return token_files.read_tokens(manifest)
+
+
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents")).drop("found")
 
@@ -44,7 +52,7 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_winnowing, op6_license_scan, op7_byte_bpe, op9_url_templates, op10_source_mix)
+    f.__name__: f for f in (op1_winnowing, op3_token_files, op6_license_scan, op7_byte_bpe, op9_url_templates, op10_source_mix)
 }
 
 OP10_SQL = r"""

@@ -12,23 +12,36 @@ import re
 from collections.abc import Callable
 
 _UNSAFE = re.compile(r"\s (?=\s|\Z)")
-REMEMBER = 400_000   # entries; a full table is emptied, so a worker's memory stays bounded
+REMEMBER = 400_000   # entries, in two generations
 LONGEST = 200        # characters of a key that is worth remembering
 
 
 class Remembered(dict):
-    """A function's results by argument. Only a bounded number of short arguments is kept."""
+    """A function's results by argument, a bounded number of them.
+
+    When half of the entries are new, the older half is dropped; what is asked for again
+    moves to the newer half first. Long arguments are not kept.
+    """
 
     def __init__(self, function: Callable, entries: int = REMEMBER):
         super().__init__()
-        self.function, self.entries = function, entries
+        self.function, self.half, self.older = function, max(1, entries // 2), {}
+
+    def keep(self, key, value) -> None:
+        if len(self) >= self.half:
+            self.older = dict(self)
+            self.clear()
+        self[key] = value
+
+    def has(self, key) -> bool:
+        return key in self or key in self.older
 
     def __missing__(self, key):
-        value = self.function(key)
+        value = self.older.get(key)
+        if value is None:
+            value = self.function(key)
         if len(key) <= LONGEST:
-            if len(self) >= self.entries:
-                self.clear()
-            self[key] = value
+            self.keep(key, value)
         return value
 
 
