@@ -23,12 +23,12 @@ def open_new(uri: str):
     """A stream to write; folders above are made. Any store that Arrow reaches by URI."""
     store, path = fs.FileSystem.from_uri(uri)
     store.create_dir(path.rsplit("/", 1)[0], recursive=True)
-    return store.open_output_stream(path)
+    return store.open_output_stream(path, compression=None)
 
 
 def open_stream(uri: str):
     store, path = fs.FileSystem.from_uri(uri)
-    return store.open_input_stream(path)
+    return store.open_input_stream(path, compression=None)
 
 
 def open_random(uri: str):

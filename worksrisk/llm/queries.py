@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from worksrisk.llm import byte_bpe, fingerprints, licenses, mixing, token_files, url_filters
+from worksrisk.llm import byte_bpe, fingerprints, licenses, mixing, token_files, url_filters, warc
 from worksrisk.llm.common import table
 from worksrisk.session import Staging
 
@@ -16,6 +16,14 @@ def op1_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_with_edits(table(spark, sf_dir, "documents"))
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stage = Staging(spark, "warc")
+    written = warc.write_archives(table(spark, sf_dir, "pages"), stage)
+    members = warc.normalise(written, stage)
+    stage.drop("whole")
+    return warc.read_back(members).drop("record_offset")
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = token_files.write_tokens(
         table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
@@ -52,7 +60,7 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_winnowing, op3_token_files, op6_license_scan, op7_byte_bpe, op9_url_templates, op10_source_mix)
+    f.__name__: f for f in (op1_winnowing, op2_warc, op3_token_files, op6_license_scan, op7_byte_bpe, op9_url_templates, op10_source_mix)
 }
 
 OP10_SQL = r"""
@@ -97,4 +105,14 @@ SELECT doc_id, size, source_size, target,
 FROM running
 """
 
-ORACLES: dict[str, str] = {"op10_source_mix": OP10_SQL}
+OP2_SQL = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, ''))::BIGINT AS n FROM pages),
+f AS (SELECT html, min(page_id) AS first_id FROM p GROUP BY html)
+SELECT page_id, n AS payload_bytes, sha256(p.html) AS payload_digest,
+       CASE WHEN n >= 100 AND page_id > first_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 100 AND page_id > first_id THEN first_id END AS refers_to
+FROM p JOIN f ON p.html = f.html
+"""
+
+ORACLES: dict[str, str] = {"op2_warc": OP2_SQL, "op10_source_mix": OP10_SQL}
