@@ -42,16 +42,20 @@ class Bpe:
     # ------------------------------------------------------------- the monoid
     def merge(self, data: bytes) -> tuple[int, ...]:
         """Plain BPE: join the neighbours of lowest rank, leftmost first, until none fits."""
+        if not data:
+            return ()
+        get, none = self.ranks.get, 1 << 62
         parts = [data[i:i + 1] for i in range(len(data))]
-        ranks = self.ranks
-        while len(parts) > 1:
-            best = min(range(len(parts) - 1),
-                       key=lambda i: ranks.get(parts[i] + parts[i + 1], 1 << 62))
-            pair = parts[best] + parts[best + 1]
-            if pair not in ranks:
-                break
-            parts[best:best + 2] = [pair]
-        return tuple(ranks[p] for p in parts)
+        ranks = [get(data[i:i + 2], none) for i in range(len(data) - 1)]   # of neighbours
+        while ranks and (best := min(ranks)) != none:
+            i = ranks.index(best)
+            parts[i] += parts.pop(i + 1)
+            del ranks[i]
+            if i:
+                ranks[i - 1] = get(parts[i - 1] + parts[i], none)
+            if i < len(ranks):
+                ranks[i] = get(parts[i] + parts[i + 1], none)
+        return tuple(map(self.ranks.__getitem__, parts))
 
     def _pair_fits(self, pair: tuple[int, int]) -> bool:
         return self.merge(self.bytes_of[pair[0]] + self.bytes_of[pair[1]]) == pair
@@ -73,8 +77,12 @@ class Bpe:
                 j = min(2 * j, len(right))
 
     def encode_bytes(self, data: bytes) -> tuple[int, ...]:
-        """Tokens of one match: halves are encoded and joined, small pieces merged directly."""
-        return tuple(self._tree(data))
+        """Tokens of one match: halves are encoded and joined, small pieces merged directly.
+
+        A match that is a token is that token, as in the library.
+        """
+        whole = self.ranks.get(data)
+        return tuple(self._tree(data)) if whole is None else (whole,)
 
     def _tree(self, data: bytes) -> list[int]:
         if len(data) <= LEAF:
