@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from worksrisk.llm import byte_bpe, fingerprints, licenses, mixing, token_files, url_filters, warc
+from worksrisk.llm import byte_bpe, fingerprints, licenses, mixing, token_files, toxicity, url_filters, warc
 from worksrisk.llm.common import table
 from worksrisk.session import Staging
 
@@ -41,6 +41,10 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.predict(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 URL_RULES = [
     url_filters.UrlRule("allow", "com", "/"),
     url_filters.UrlRule("block", "example.com", "/en/"),
@@ -60,7 +64,7 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_winnowing, op2_warc, op3_token_files, op6_license_scan, op7_byte_bpe, op9_url_templates, op10_source_mix)
+    f.__name__: f for f in (op1_winnowing, op2_warc, op3_token_files, op6_license_scan, op7_byte_bpe, op8_toxicity, op9_url_templates, op10_source_mix)
 }
 
 OP10_SQL = r"""
