@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from worksrisk.llm import byte_bpe, fingerprints, licenses, mixing, token_files, toxicity, url_filters, warc
+from worksrisk.llm import byte_bpe, fingerprints, licenses, minhash, mixing, token_files, toxicity, url_filters, warc
 from worksrisk.llm.common import table
 from worksrisk.session import Staging
 
@@ -31,6 +31,10 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_tokens(manifest)
 
 
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=2)
+
+
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents")).drop("found")
 
@@ -64,7 +68,7 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_winnowing, op2_warc, op3_token_files, op6_license_scan, op7_byte_bpe, op8_toxicity, op9_url_templates, op10_source_mix)
+    f.__name__: f for f in (op1_winnowing, op2_warc, op3_token_files, op4_near_duplicates, op6_license_scan, op7_byte_bpe, op8_toxicity, op9_url_templates, op10_source_mix)
 }
 
 OP10_SQL = r"""
@@ -119,4 +123,28 @@ SELECT page_id, n AS payload_bytes, sha256(p.html) AS payload_digest,
 FROM p JOIN f ON p.html = f.html
 """
 
-ORACLES: dict[str, str] = {"op2_warc": OP2_SQL, "op10_source_mix": OP10_SQL}
+OP4_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+           'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) < 2 THEN w
+    ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS s FROM words),
+sizes AS (SELECT doc_id, len(s)::BIGINT AS n FROM sets),
+one AS (SELECT doc_id, unnest(s) AS shingle FROM sets),
+pairs AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS shared
+  FROM one a JOIN one b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (
+  SELECT x, y FROM pairs JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y
+  WHERE 100 * shared >= 80 * (p.n + q.n - shared)),
+edges AS (SELECT x, y FROM links UNION SELECT y, x FROM links),
+reach(doc_id, other) AS (
+  SELECT doc_id, doc_id FROM sizes UNION
+  SELECT reach.doc_id, y FROM reach JOIN edges ON reach.other = x)
+SELECT doc_id, n AS n_shingles, min(other) AS component_id, doc_id = min(other) AS kept
+FROM reach JOIN sizes USING (doc_id) GROUP BY doc_id, n
+"""
+
+ORACLES: dict[str, str] = {"op2_warc": OP2_SQL, "op4_near_duplicates": OP4_SQL,
+                           "op10_source_mix": OP10_SQL}
