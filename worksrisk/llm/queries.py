@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from worksrisk.llm import byte_bpe, fingerprints, licenses, minhash, mixing, token_files, toxicity, url_filters, warc
+from worksrisk.llm import byte_bpe, caps, fingerprints, licenses, minhash, mixing, token_files, toxicity, url_filters, warc
 from worksrisk.llm.common import table
 from worksrisk.session import Staging
 
@@ -35,6 +35,10 @@ def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=2)
 
 
+def op5_similar_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return caps.similar_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents")).drop("found")
 
@@ -68,7 +72,8 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_winnowing, op2_warc, op3_token_files, op4_near_duplicates, op6_license_scan, op7_byte_bpe, op8_toxicity, op9_url_templates, op10_source_mix)
+    f.__name__: f for f in (op1_winnowing, op2_warc, op3_token_files, op4_near_duplicates, op5_similar_vectors,
+                            op6_license_scan, op7_byte_bpe, op8_toxicity, op9_url_templates, op10_source_mix)
 }
 
 OP10_SQL = r"""
