@@ -288,3 +288,18 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80) ->
     return signed.select("doc_id", "n", "class").join(of_class, "class", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn(
         "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def one_of_each(docs: DataFrame, *, shingle: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs``, all columns, whose document is the smallest id of its component.
+
+    Rows without an id or without words stay. Rows of one doc_id are one document, so they
+    stay or go together.
+    """
+    stage = Staging(docs.sparkSession, "dedup")
+    judged = near_duplicates(docs.select("doc_id", "text"), shingle=shingle, percent=percent)
+    gone = stage.table("gone", judged.filter(~F.col("kept")).select(
+        F.col("doc_id").alias("_gone")).distinct())
+    if gone.count() <= BROADCAST_IDS:   # ids only; more of them are joined by a shuffle
+        gone = F.broadcast(gone)
+    return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")

@@ -144,3 +144,16 @@ def mix(docs: DataFrame, *, weights: tuple[float, ...] = (5, 2, 1), most: float
     taken = F.col("size") * (F.col("_full") + F.col("_more").cast("long"))
     return whole.unionByName(edge).withColumn("taken", taken).select(
         *[F.col("_row")[c].alias(c) for c in names], *own)
+
+
+def repeated(docs: DataFrame, **how) -> DataFrame:
+    """The mix itself: the rows of ``docs``, all columns, as often as :func:`mix` takes them.
+
+    Texts without words are not in it.
+    """
+    names = docs.columns
+    packed = docs.select("doc_id", "source", "text", F.struct(*names).alias("_packed"))
+    copies = F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(F.lit(0)).cast("int")
+    rows = mix(packed, **how).filter(copies > 0)
+    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), copies))).select(
+        *[F.col("_packed")[c].alias(c) for c in names])
