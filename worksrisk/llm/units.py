@@ -11,7 +11,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-_UNSAFE = re.compile(r"\s (?=\s|\Z)")
+_BEFORE_BLANK = re.compile(r" (?=\s|\Z)")
 REMEMBER = 400_000   # entries, in two generations
 LONGEST = 200        # characters of a key that is worth remembering
 
@@ -33,8 +33,8 @@ class Remembered(dict):
             self.clear()
         self[key] = value
 
-    def has(self, key) -> bool:
-        return key in self or key in self.older
+    def unseen(self, keys: set) -> list:
+        return list(keys.difference(self).difference(self.older))
 
     def __missing__(self, key):
         value = self.older.get(key)
@@ -45,6 +45,12 @@ class Remembered(dict):
         return value
 
 
+def cuts_are_safe(text: str) -> bool:
+    """Whether the text may be cut before every space."""
+    return not any(m.start() and text[m.start() - 1].isspace()
+                   for m in _BEFORE_BLANK.finditer(text))
+
+
 def units(text: str) -> list[str]:
     """Pieces whose encodings, one after the other, are the encoding of the text."""
     parts = text.split(" ")
@@ -52,7 +58,7 @@ def units(text: str) -> list[str]:
     pieces[0] = parts[0]
     if not pieces[0]:
         del pieces[0]
-    if not _UNSAFE.search(text):
+    if cuts_are_safe(text):
         return pieces
     joined = pieces[:1]
     for piece in pieces[1:]:
