@@ -331,27 +331,28 @@ def peer_benchmark(spark: SparkSession, sf: str) -> DataFrame:
         "cost_vs_peer_median_ratio": 6, "cost_percentile_vs_peers": 9})
 
 
-def _extremes(spark: SparkSession, sf: str) -> DataFrame:
+def _extremes(spark: SparkSession, sf: str, *kinds: str) -> DataFrame:
     df = stored(standin.features(spark, sf).select("Work_ID", *S.REFERENCE_FEATURES))
     filled = feat.impute_vendor_features(df, feat.median_values(feat.feature_medians(df)))
     reference = ranks.reference_counts(feat.drop_incomplete(filled),
                                        list(S.REFERENCE_FEATURES))
-    return scoring.feature_anomalies(df, reference)
+    return scoring.feature_anomalies(df, reference, kinds=kinds)
 
 
 def cost_anomaly(spark: SparkSession, sf: str) -> DataFrame:
-    return _extremes(spark, sf).select("Work_ID", F.round("cost_anomaly", 6).alias("cost_anomaly"))
+    return _extremes(spark, sf, "cost_anomaly").select(
+        "Work_ID", F.round("cost_anomaly", 6).alias("cost_anomaly"))
 
 
 def timeline_anomaly(spark: SparkSession, sf: str) -> DataFrame:
-    return _extremes(spark, sf).select(
+    return _extremes(spark, sf, "timeline_anomaly").select(
         "Work_ID", F.round("timeline_anomaly", 6).alias("timeline_anomaly"))
 
 
 def why_panel(spark: SparkSession, sf: str) -> DataFrame:
     """Flagged factors, without the duplicate one; scores next to a limit are kept exact."""
-    both = _extremes(spark, sf).join(_signals(spark, sf).select("Work_ID", "compliance"),
-                                     "Work_ID")
+    both = _extremes(spark, sf, "cost_anomaly", "timeline_anomaly").join(
+        _signals(spark, sf).select("Work_ID", "compliance"), "Work_ID")
     panel = rules.why_panel(F.lit(0.0), F.col("cost_anomaly"), F.col("timeline_anomaly"),
                             F.col("compliance"), F.lit(False), F.lit(None).cast("string"),
                             F.lit(0.0))

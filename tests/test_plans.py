@@ -55,3 +55,23 @@ def test_repeats_are_dropped_before_the_shuffle(spark):
     df = spark.range(100).select((F.col("id") % 3).alias("k"), "id")
     text = plan(etl.keep_first(df, ["k"], ["id"]))
     assert text.index("Final") < text.index("Exchange") < text.index("Partial")
+
+
+def test_master_shuffles_each_export_once(spark):
+    from worksrisk.operators import etl
+    from worksrisk.sources.raw import ORDER, HouseFiles
+
+    def export(columns):
+        return spark.createDataFrame([], f"Work_ID string, {columns}, {ORDER} int")
+
+    files = HouseFiles(
+        export("Recommended_Date string, Recommended_Amount double, MP_Name string"),
+        export("Sanction_Date string, Sanction_Amount double, Work_Status string"),
+        export("Completion_Date string"), export("Disbursed_Amount double, `Vendor Name` string"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        master = etl.build_master(files, F.lit("2024-01-01 00:00:00").cast("timestamp_ntz"))
+        text = master._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert text.count("Exchange hashpartitioning") == 4

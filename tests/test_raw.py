@@ -62,6 +62,22 @@ def test_trailer_can_be_kept(spark, folder):
     assert kept.recommended.count() == 4
 
 
+def test_every_file_of_a_kind_is_read_in_order_of_name(spark, folder, tmp_path):
+    more = {"Works Recommended (2).csv": ['"1,001","S","E","WS/MP9/2024-2025/9","more","04-Jan-2024","5","M Two"',
+                                          '"","S","E","WS/MP1/2024-2025/7","a copy in a later file","",'
+                                          '"9","M Two"'],
+            "Expenditure (2).csv": ['"12.0","WS/MP9/2024-2025/9","C","7"']}
+    for name, rows in more.items():
+        head = HEAD[name.replace("(2)", "(1)")].replace("Fund Disbursed Amount", "Amount paid")
+        (tmp_path / name).write_text("\n".join([head, *rows]) + "\n", "utf-8")
+    house = raw.read_house(spark, folder, "Lok Sabha")
+    got = {r["Work_ID"]: r for r in etl.build_master(raw.union_houses([house]), as_of()).collect()}
+    assert set(got) == {"WS/MP1/2024-2025/7", "AB12", "WS/MP9/2024-2025/9"}
+    assert got["WS/MP9/2024-2025/9"]["Disbursed_Amount"] == 7
+    assert got["WS/MP1/2024-2025/7"]["Work_Description"] == 'Road "A"'
+    assert got["WS/MP1/2024-2025/7"]["Disbursed_Amount"] == 120
+
+
 def test_missing_house(spark, folder, tmp_path):
     assert raw.read_house(spark, str(tmp_path / "nowhere"), "Lok Sabha") is None
     with pytest.raises(ValueError):

@@ -105,3 +105,18 @@ def test_text_vectors_find_copies(spark):
         F.col("Work_ID").alias("id"), F.lit("x").alias("block"), F.col("embedding").alias("vec"))
     best = {r["id"]: r for r in similarity.nearest(got).collect()}
     assert best["a"]["nearest_id"] == "b" and best["a"]["similarity"] == pytest.approx(1, abs=1e-5)
+
+
+def test_texts_of_every_script_are_compared(spark):
+    texts = {"a": "सड़क का निर्माण गाँव तक", "b": "सड़क का निर्माण गाँव तक", "c": "विद्यालय भवन की मरम्मत",
+             "d": "école à Béziers", "e": "école à Béziers", "f": "pont sur la rivière", "g": "", "h": " -- ", "i": None}
+    works = spark.createDataFrame([(k, "V", "P", t) for k, t in texts.items()],
+                                  "Work_ID string, Vendor_Name string, Constituency string, text string")
+    model = similarity.fit_text_vectors(works, "text")
+    got = {r["Work_ID"]: r for r in similarity.duplicate_scores(
+        similarity.text_vectors(model, works, "text")).collect()}
+    for a, b in ("ab", "de"):
+        assert got[a]["nearest_duplicate_work_id"] == b and got[a]["nearest_similarity"] == pytest.approx(1.0)
+        assert got[a]["duplicate_risk_score"] == 100
+    assert got["c"]["nearest_similarity"] < 0.5 and got["f"]["nearest_similarity"] < 0.5
+    assert not any(got[k]["duplicate_checked"] for k in "ghi")

@@ -16,6 +16,7 @@ from worksrisk.sources.star import Star
 
 # fixed values: columns the right-hand tables bring, and so must not come twice
 JOINED_IN = ("Sanction_Date", "Sanction_Amount", "Work_Status", "Completion_Date")
+KEY, NO_WORK = "_work_key", "\u0000"
 DATES = ("Recommended_Date", "Sanction_Date", "Completion_Date")
 
 
@@ -29,26 +30,35 @@ def keep_first(df: DataFrame, keys: list[str], order: list[Column | str]) -> Dat
     return df.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
 
 
-def expenditure_per_work(payments: DataFrame) -> DataFrame:
+def expenditure_per_work(payments: DataFrame, key: str = "Work_ID") -> DataFrame:
     """Total paid and one vendor per work; payments without an identifier are left out."""
-    return (payments.filter(F.col("Work_ID").isNotNull()).groupBy("Work_ID")
+    return (payments.filter(F.col(key).isNotNull()).groupBy(key)
             .agg(F.sum("Disbursed_Amount").alias("Disbursed_Amount"),
                  F.coalesce(F.min("`Vendor Name`"), F.lit(S.PLACEHOLDER_VENDOR))
                  .alias("Vendor_Name")))
 
 
+def work_key(work_id: Column) -> Column:
+    """Never null, so that equality and hash partitioning fit; the null work has its own."""
+    return F.coalesce(work_id, F.lit(NO_WORK))
+
+
 def join_master(recommended: DataFrame, sanctioned: DataFrame, completed: DataFrame,
                 expenditure: DataFrame) -> DataFrame:
     """One row per recommended work with what the other exports say about it.
 
-    All sides are unique per work by now, and share one partitioning on it.
+    The three work tables are unique per ``KEY``, on which they were deduplicated and are
+    joined now, so each of the four sides is shuffled once.
     """
+    recommended, sanctioned, completed = (
+        df if KEY in df.columns else df.withColumn(KEY, work_key(F.col("Work_ID")))
+        for df in (recommended, sanctioned, completed))
     master = recommended.drop(*JOINED_IN)
-    for side in (sanctioned.select("Work_ID", "Sanction_Date", "Sanction_Amount", "Work_Status"),
-                 completed.select("Work_ID", "Completion_Date")):
-        master = left_join(master, side, ["Work_ID"], null_safe=True)
-    master = left_join(master, expenditure_per_work(expenditure), ["Work_ID"])
-    return master.fillna({
+    for side in (sanctioned.select(KEY, "Sanction_Date", "Sanction_Amount", "Work_Status"),
+                 completed.select(KEY, "Completion_Date"),
+                 expenditure_per_work(expenditure.withColumn(KEY, F.col("Work_ID")), KEY)):
+        master = left_join(master, side, [KEY])
+    return master.drop(KEY).fillna({
         "Work_Status": "Recommended", "Disbursed_Amount": 0.0, "Sanction_Amount": 0.0,
         "Vendor_Name": S.PLACEHOLDER_VENDOR,
     })
@@ -86,7 +96,8 @@ def build_master(files: HouseFiles, as_of: Column, inputs: DataFrame | None = No
     ``inputs`` may bring per-work columns that the exports do not have (quantity,
     unit, calamity flag), keyed by ``Work_ID``.
     """
-    first = {kind: keep_first(getattr(files, kind), ["Work_ID"], [ORDER])
+    first = {kind: keep_first(getattr(files, kind).withColumn(KEY, work_key(F.col("Work_ID"))),
+                              [KEY], [ORDER])
              for kind in ("recommended", "sanctioned", "completed")}
     master = join_master(first["recommended"], first["sanctioned"], first["completed"],
                          files.expenditure)

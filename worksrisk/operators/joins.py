@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 HOT_SHARE = 128   # a key is hot above 1/128 of all rows, so there are fewer than 128 of them
-SALTS = 64
 
 
 def _all(conditions: list[Column]) -> Column:
@@ -19,10 +18,15 @@ def hot_keys(counts: DataFrame, keys: list[str], count: str) -> DataFrame:
     """Keys that hold more than 1/128 of the total: fewer than 128 rows whatever the input.
 
     ``counts`` has one row per key, so the share is a sum over few rows per key and the
-    result is small enough to broadcast by construction.
+    result is small enough to broadcast by construction. ``_salts`` is the number of tasks
+    that a key's rows are dealt over: its share of the shuffle partitions, rounded up, and
+    twice that, so that no salt holds much more than an ordinary partition.
     """
     total = counts.select(F.sum(count).alias("total")).scalar()
-    return counts.filter(F.col(count) * F.lit(HOT_SHARE) > total).select(*keys)
+    tasks = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    salts = F.greatest(F.lit(2), F.ceil(F.col(count) * F.lit(2.0 * tasks) / total)).cast("int")
+    return (counts.filter(F.col(count) * F.lit(HOT_SHARE) > total)
+            .select(*keys, salts.alias("_salts")))
 
 
 def left_join(fact: DataFrame, side: DataFrame, keys: list[str], *,
@@ -41,23 +45,26 @@ def left_join(fact: DataFrame, side: DataFrame, keys: list[str], *,
 
 
 def spread_left_join(fact: DataFrame, side: DataFrame, keys: list[str], hot: DataFrame, *,
-                     scatter: Column | None = None) -> DataFrame:
+                     scatter: Column | None = None, salt: Column | None = None) -> DataFrame:
     """Left join whose hot keys are dealt over many tasks.
 
-    Rows of a hot key take one of 64 salts, and the side repeats its rows of those
-    keys (only those) once per salt. ``scatter`` marks fact rows known to have no
-    partner, such as a placeholder; they are dealt out too instead of meeting in
-    one task. ``hot`` must come from :func:`hot_keys`.
+    Rows of a hot key take one of its salts, and the side repeats its rows of those keys
+    (only those) once per salt. ``scatter`` marks fact rows known to have no partner, such
+    as a placeholder; they are dealt out too instead of meeting in one task. ``salt`` is a
+    whole number that varies among a key's rows, by default a hash of the whole row. ``hot``
+    must come from :func:`hot_keys`.
     """
-    marks = F.broadcast(hot.withColumn("_hot", F.lit(True)))
-    deal = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in fact.columns]), F.lit(SALTS)).cast("int")
-    is_hot = F.col("_hot").isNotNull()
+    marks = F.broadcast(hot)
+    tasks = int(fact.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    salts = F.col("_salts")
     if scatter is not None:
-        is_hot = is_hot | F.coalesce(scatter, F.lit(False))
-    salted = (fact.join(marks, keys, "left")
-              .withColumn("_salt", F.when(is_hot, deal).otherwise(F.lit(0))).drop("_hot"))
+        salts = F.coalesce(salts, F.when(F.coalesce(scatter, F.lit(False)), F.lit(tasks)))
+    if salt is None:
+        salt = F.xxhash64(*[F.col(f"`{c}`") for c in fact.columns])
+    salted = (fact.withColumn("_deal", salt).join(marks, keys, "left")
+              .withColumn("_salt", F.coalesce(F.pmod("_deal", salts), F.lit(0)).cast("int"))
+              .drop("_salts", "_deal"))
     copies = (side.join(marks, keys, "left")
-              .withColumn("_salt", F.explode(
-                  F.when(F.col("_hot").isNotNull(), F.sequence(F.lit(0), F.lit(SALTS - 1)))
-                  .otherwise(F.array(F.lit(0))))).drop("_hot"))
+              .withColumn("_salt", F.explode(F.sequence(
+                  F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts"))
     return salted.join(copies, [*keys, "_salt"], "left").drop("_salt")

@@ -12,8 +12,6 @@ from pyspark.sql import functions as F
 
 from worksrisk.operators.joins import hot_keys, spread_left_join
 
-MAX_BUCKETS = 256
-
 
 def melt(df: DataFrame, ids: list[str], values: dict[str, Column] | list[str]) -> DataFrame:
     """One (ids, feature, value) row per named measure; nulls are left out."""
@@ -26,9 +24,9 @@ def melt(df: DataFrame, ids: list[str], values: dict[str, Column] | list[str]) -
 
 
 def _buckets(df: DataFrame) -> int:
-    """A power of two near the number of shuffle partitions."""
+    """A power of two near the number of shuffle partitions, so a bucket fits a task."""
     partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    return 1 << max(3, min(MAX_BUCKETS, partitions).bit_length() - 1)
+    return 1 << max(3, partitions.bit_length() - 1)
 
 
 def _with_bucket(df: DataFrame, k: int) -> DataFrame:
@@ -57,6 +55,8 @@ def counted_positions(counts: DataFrame, by: list[str]) -> DataFrame:
     # reading the count keeps this branch on the same shuffle as the others
     cuts = counts.filter("eq >= 0").groupBy(*by).agg(
         F.percentile_approx("value", [i / k for i in range(1, k)], F.lit(20 * k)).alias("_cuts"))
+    if by == ["feature"]:   # one row for each measure that a caller named
+        cuts = F.broadcast(cuts)
     placed = _with_bucket(counts.join(cuts, by), k)
     below = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     totals = (placed.groupBy(*by, "_bucket").agg(F.sum("eq").alias("_eq"))
@@ -123,14 +123,14 @@ def descending_rank(df: DataFrame, value: str, alias: str) -> DataFrame:
 
 
 def average_percentile(df: DataFrame, key: str, values: list[str]) -> DataFrame:
-    """(key, feature, pct): share at or below, equal values take their mean rank."""
+    """(key, feature, value, pct): share at or below, equal values take their mean rank."""
     ranked = with_positions(melt(df, [key], values), ["feature"])
-    return ranked.select(key, "feature",
+    return ranked.select(key, "feature", "value",
                          ((F.col("lt") + (F.col("eq") + 1) / 2) / F.col("n")).alias("pct"))
 
 
 def left_positions(queries: DataFrame, reference: DataFrame, key: str) -> DataFrame:
-    """(key, feature, lt, n): reference rows strictly below each query value, and all of them.
+    """(key, feature, value, lt, n): reference rows strictly below each query value, and all of them.
 
     ``queries`` is (key, feature, value); ``reference`` is (feature, value, eq), one row
     per distinct value. Queried values join the reference with a count of zero, so
@@ -143,13 +143,14 @@ def left_positions(queries: DataFrame, reference: DataFrame, key: str) -> DataFr
     placed = counted_positions(both, ["feature"]).drop("eq")
     hot = hot_keys(asked.filter("eq > 1"), ["feature", "value"], "eq")
     return (spread_left_join(queries, placed, ["feature", "value"], hot)
-            .select(key, "feature", "lt", "n"))
+            .select(key, "feature", "value", "lt", "n"))
 
 
 def left_percentile(queries: DataFrame, reference: DataFrame, key: str) -> DataFrame:
-    """(key, feature, pct): share of the reference strictly below; without any, 0.5."""
+    """(key, feature, value, pct): share of the reference strictly below; without any, 0.5."""
     share = F.when(F.col("n") > 0, F.col("lt") / F.col("n")).otherwise(F.lit(0.5))
-    return left_positions(queries, reference, key).select(key, "feature", share.alias("pct"))
+    return left_positions(queries, reference, key).select(
+        key, "feature", "value", share.alias("pct"))
 
 
 def reference_counts(df: DataFrame, values: dict[str, Column] | list[str]) -> DataFrame:

@@ -43,6 +43,7 @@ CELL = 1000         # ... of about this many candidates
 STEP = 1024         # queries multiplied at a time
 KEYS = ["block", "f1", "f2"]
 SEPARATOR = "\u0001"
+NO_WORD = r"[^\p{L}\p{M}\p{N}]+"   # vowel signs of many scripts are marks
 
 
 # ------------------------------------------------------------ inside one task
@@ -172,7 +173,8 @@ def _parts(n: Column, size: int) -> Column:
 
 def _with_sizes(df: DataFrame, sizes: DataFrame, group: list[str], count: str) -> DataFrame:
     """Sizes of its group on every row; a group with much of the table is dealt out."""
-    return spread_left_join(df, sizes, group, hot_keys(sizes, group, count)).filter("_g > 0")
+    return spread_left_join(df, sizes, group, hot_keys(sizes, group, count),
+                            salt=F.col("f1")).filter("_g > 0")
 
 
 def _search_units(candidates: DataFrame, queries: DataFrame, group: list[str], k: int,
@@ -281,7 +283,7 @@ def nearest(queries: DataFrame, candidates: DataFrame | None = None, *, k: int =
 def fit_text_vectors(df: DataFrame, text: str, dim: int = 256) -> PipelineModel:
     """Hashed, inverse-frequency weighted words as a unit vector; no outside model."""
     return Pipeline(stages=[
-        RegexTokenizer(inputCol=text, outputCol="_words", pattern=r"\W+"),
+        RegexTokenizer(inputCol=text, outputCol="_words", pattern=NO_WORD),
         HashingTF(inputCol="_words", outputCol="_counts", numFeatures=dim),
         IDF(inputCol="_counts", outputCol="_weighted"),
         Normalizer(inputCol="_weighted", outputCol="_unit"),
@@ -290,8 +292,9 @@ def fit_text_vectors(df: DataFrame, text: str, dim: int = 256) -> PipelineModel:
 
 def text_vectors(model: PipelineModel, df: DataFrame, text: str, out: str = "embedding"
                  ) -> DataFrame:
+    """Add the vector of each text; null for a text without any word, which is not compared."""
     return (model.transform(df.withColumn(text, F.coalesce(text, F.lit(""))))
-            .withColumn(out, vector_to_array("_unit", "float32"))
+            .withColumn(out, F.when(F.size("_words") > 0, vector_to_array("_unit", "float32")))
             .drop("_words", "_counts", "_weighted", "_unit"))
 
 

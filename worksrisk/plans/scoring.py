@@ -83,33 +83,34 @@ def distribution(df: DataFrame, column: str = "composite") -> DataFrame:
     return df.select(column).summary()
 
 
-def feature_anomalies(df: DataFrame, reference: DataFrame, key: str = "Work_ID") -> DataFrame:
+def feature_anomalies(df: DataFrame, reference: DataFrame, key: str = "Work_ID", *,
+                      kinds: tuple[str, ...] = ("cost_anomaly", "timeline_anomaly")) -> DataFrame:
     """(key, cost_anomaly, timeline_anomaly): 100 times the most extreme feature.
 
-    ``df`` has the five features as they are, without imputation: a missing one counts
-    as the middle. The gap is extreme in either direction, so its size is ranked.
+    ``df`` has the features of the kinds asked for as they are, without imputation: a
+    missing one counts as the middle. The gap is extreme in either direction, so its size
+    is ranked. Only the features of those kinds are read and ranked.
     """
-    df = stored(df.select(key, *S.REFERENCE_FEATURES))
+    groups = {k: {"cost_anomaly": COST_FEATURES, "timeline_anomaly": TIMELINE_FEATURES}[k]
+              for k in kinds}
+    names = [f for f in S.REFERENCE_FEATURES if any(f in g for g in groups.values())]
+    df = stored(df.select(key, *names))
     sized = F.when(F.col("feature") == "Progress_Gap", F.abs("value")).otherwise(F.col("value"))
-    base = (reference.withColumn("value", sized).groupBy("feature", "value")
-            .agg(F.sum("eq").alias("eq")))
-    asked = melt(df, [key], list(S.REFERENCE_FEATURES)).withColumn("value", sized)
+    base = (reference.filter(F.col("feature").isin(names)).withColumn("value", sized)
+            .groupBy("feature", "value").agg(F.sum("eq").alias("eq")))
+    asked = melt(df, [key], names).withColumn("value", sized)
     ranked = left_percentile(asked, base, key)
+    found = ranked.groupBy(key).agg(*(
+        F.max(F.when(F.col("feature").isin(*g), F.col("pct"))).alias(f"_found_{k}")
+        for k, g in groups.items()))
 
-    def worst(names: tuple[str, ...]) -> Column:
-        return F.max(F.when(F.col("feature").isin(*names), F.col("pct")))
+    def missing(features: tuple[str, ...]) -> Column:
+        gaps = [F.when(F.col(n).isNull(), 0.5).otherwise(0.0) for n in features]
+        return F.greatest(*gaps) if len(gaps) > 1 else gaps[0]
 
-    def missing(names: tuple[str, ...]) -> Column:
-        gaps = [F.when(F.col(n).isNull(), 0.5).otherwise(0.0) for n in names]
-        return F.greatest(*gaps)
-
-    found = ranked.groupBy(key).agg(worst(COST_FEATURES).alias("_c"),
-                                    worst(TIMELINE_FEATURES).alias("_t"))
-    floor = df.select(key, missing(COST_FEATURES).alias("_mc"),
-                      missing(TIMELINE_FEATURES).alias("_mt"))
-    return left_join(floor, found, [key]).select(
-        key, (100 * F.greatest("_c", "_mc")).alias("cost_anomaly"),
-        (100 * F.greatest("_t", "_mt")).alias("timeline_anomaly"))
+    floor = df.select(key, *(missing(g).alias(f"_floor_{k}") for k, g in groups.items()))
+    return left_join(floor, found, [key]).select(key, *(
+        (100 * F.greatest(f"_found_{k}", f"_floor_{k}")).alias(k) for k in groups))
 
 
 def benchmark(df: DataFrame, works: DataFrame, key: str = "Work_ID", *,
@@ -200,7 +201,7 @@ def overlay(requests: DataFrame, star: Star, *, enrich: bool = False) -> DataFra
     known = master_dataset(_only(star, ids), spread=False).withColumn("on_record", F.lit(True))
     asked = [c for c in given.columns if c not in ("Work_ID", KEY)]
     mine = given.select(KEY, "Work_ID", *(F.col(c).alias(f"_r_{c}") for c in asked))
-    both = left_join(mine, known, ["Work_ID"])
+    both = _left_join_known(mine, known)
     types = {f.name: f.dataType for f in known.schema.fields}
     out = both.withColumns({
         c: F.coalesce(F.col(f"_r_{c}").cast(types[c]), F.col(c)) if c in types
@@ -218,6 +219,14 @@ def overlay(requests: DataFrame, star: Star, *, enrich: bool = False) -> DataFra
         *(f"_r_{c}" for c in asked))
 
 
+def _left_join_known(requests: DataFrame, side: DataFrame) -> DataFrame:
+    """Left join on Work_ID in which requests without one are spread by their own number."""
+    own = F.coalesce("Work_ID", F.concat(F.lit("\u0000"), F.col(KEY).cast("string")))
+    keyed = requests.withColumn("_join_id", own)
+    return left_join(keyed, side.withColumnRenamed("Work_ID", "_join_id"),
+                     ["_join_id"]).drop("_join_id")
+
+
 def _enrich(df: DataFrame, star: Star) -> DataFrame:
     """Fill vendor and place columns that are still empty from their dimension tables."""
     def fill(df: DataFrame, side: DataFrame, keys: list[str], null_safe: bool) -> DataFrame:
@@ -238,7 +247,7 @@ def duplicate_details(rows: DataFrame, engine: Engine) -> DataFrame:
     base = rows.select(KEY, "Work_ID")
     if engine.duplicates is not None:
         lookup = engine.duplicates.select("Work_ID", *columns)
-        found = left_join(base, lookup, ["Work_ID"])
+        found = _left_join_known(base, lookup)
     else:
         found = base.withColumns({
             "duplicate_risk_score": F.lit(None).cast("double"),

@@ -33,6 +33,7 @@ NOT_THE_WORK_CELL = ("DESCRIPTION", "ID", "CATEGORY", "STATUS")
 NOMINATED_HOUSE = "Rajya Sabha"
 
 ORDER = "_row_order"
+PAID = "Fund Disbursed Amount ( ₹ )"
 
 
 @dataclass(frozen=True)
@@ -75,7 +76,8 @@ def read_csv(spark: SparkSession, path: str, *, multi_line: bool = True,
 
     Cells may hold line breaks, so a file is read whole by default; pass
     ``multi_line=False`` for clean exports, which lets Spark split large files.
-    The order column stays right either way.
+    The order column stays right either way. ``drop_trailer`` leaves out the rows of the
+    totals, which say so in place of a serial number; every other row is kept.
     """
     raw = (
         spark.read.option("header", True).option("quote", '"').option("escape", '"')
@@ -88,24 +90,44 @@ def read_csv(spark: SparkSession, path: str, *, multi_line: bool = True,
                                    F.monotonically_increasing_id().alias("line")).alias(ORDER)])
     serial = next((c for c in named.columns if re.sub(r"\W", "", c).lower() == "srno"), None)
     if drop_trailer and serial is not None:
-        named = named.filter(F.trim(F.col(f"`{serial}`")).rlike(r"^\d+$"))
+        total = F.lower(F.trim(F.col(f"`{serial}`"))).rlike(r"^(grand|sub)?\s*total")
+        named = named.filter(~F.coalesce(total, F.lit(False)))
     return normalise_missing(named)
 
 
-def _first_match(spark: SparkSession, folder: str, pattern: str) -> str | None:
-    """First file (or folder of part files) whose name fits the pattern."""
+def _matches(spark: SparkSession, folder: str, pattern: str) -> list[str]:
+    """Files (or folders of part files) whose names fit the pattern, in order of name."""
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{pattern}")
     files = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    hits = sorted(h.getPath().toString() for h in files.globStatus(path) or [])
-    return hits[0] if hits else None
+    return sorted(h.getPath().toString() for h in files.globStatus(path) or [])
+
+
+def _stacked(frames: list[DataFrame]) -> DataFrame:
+    """Files of one kind under each other; a column that one of them lacks is null there."""
+    out = frames[0]
+    for more in frames[1:]:
+        out = out.unionByName(more, allowMissingColumns=True)
+    return out
+
+
+def _one_paid_column(df: DataFrame) -> DataFrame:
+    """Payment files name the rupee column each in their own way."""
+    paid = amount_header(df.columns)
+    return df.withColumnRenamed(paid, PAID) if paid else df
 
 
 def read_house(spark: SparkSession, folder: str, house: str, **options) -> HouseFiles | None:
-    """All four exports of a house, or None when any of them is missing."""
-    paths = {kind: _first_match(spark, folder, glob) for kind, glob in FILE_PATTERNS.items()}
+    """All four exports of a house, or None when any of them is missing.
+
+    An export may be spread over several files; all that fit the pattern are read.
+    """
+    paths = {kind: _matches(spark, folder, glob) for kind, glob in FILE_PATTERNS.items()}
     if not all(paths.values()):
         return None
-    tables = {kind: read_csv(spark, path, **options) for kind, path in paths.items()}
+    tables = {}
+    for kind, found in paths.items():
+        same = _one_paid_column if kind == "expenditure" else canonical_columns
+        tables[kind] = _stacked([same(read_csv(spark, path, **options)) for path in found])
     return shape_house(house=house, **tables)
 
 

@@ -45,22 +45,27 @@ def _csv_schema(schema: T.StructType) -> T.StructType:
 
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "parquet",
-               columns: list[str] | None = None) -> DataFrame:
-    """A stored table with its declared types and missing-value texts as null."""
+               columns: list[str] | None = None, *, multi_line: bool = True) -> DataFrame:
+    """A stored table with its declared types and missing-value texts as null.
+
+    CSV cells may hold line breaks; ``multi_line=False`` for files without any lets Spark
+    split them.
+    """
     if fmt == "csv":
         header = spark.read.option("header", True).csv(path).columns
         present = T.StructType([f for n in header for f in _csv_schema(schema).fields
                                 if f.name == n])
         df = (spark.read.schema(present).option("header", True).option("escape", '"')
-              .option("multiLine", True).csv(path))
+              .option("multiLine", multi_line).csv(path))
         df = in_schema(normalise_missing(df), schema)
     else:
         df = spark.read.schema(schema).format(fmt).load(path)
     return df.select(columns) if columns else df
 
 
-def read_star(spark: SparkSession, folder: str, fmt: str = "parquet") -> Star:
-    return Star(*(read_table(spark, _path(folder, name, fmt), schema, fmt)
+def read_star(spark: SparkSession, folder: str, fmt: str = "parquet", *,
+              multi_line: bool = True) -> Star:
+    return Star(*(read_table(spark, _path(folder, name, fmt), schema, fmt, multi_line=multi_line)
                   for name, schema in S.STAR.items()))
 
 

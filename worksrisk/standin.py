@@ -28,7 +28,6 @@ LINE_ORDER = ("l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_disc
               "l_shipdate", "l_returnflag", "l_linestatus")
 STATUS = {"AF": "Work Completed", "AO": "Work partially Completed", "NF": "Physical Inspection",
           "NO": "Vendor Identification", "RF": "Sanction", "RO": "Time Estimation"}
-CROSS_CHECK_TREES = 20   # the cross-check of the stand-in; the default of the library is 300
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -279,13 +278,11 @@ def composite(spark: SparkSession, sf_dir: str) -> DataFrame:
                            duplicates(spark, sf_dir))
 
 
-def engine(spark: SparkSession, sf_dir: str, *, with_cross_check: bool = False) -> Engine:
+def engine(spark: SparkSession, sf_dir: str) -> Engine:
     return Engine(
         star(spark, sf_dir), anomaly_model(spark, sf_dir), duplicates(spark, sf_dir),
-        index(spark, sf_dir), text_model(spark, sf_dir),
-        cross_check(spark, sf_dir) if with_cross_check else None)
+        index(spark, sf_dir), text_model(spark, sf_dir), cross_check(spark, sf_dir))
 
 
 def cross_check(spark: SparkSession, sf_dir: str) -> CrossCheck:
-    return _once(spark, sf_dir, "cross_check", lambda: train_cross_check(
-        composite(spark, sf_dir), trees=CROSS_CHECK_TREES))
+    return _once(spark, sf_dir, "cross_check", lambda: train_cross_check(composite(spark, sf_dir)))
