@@ -14,7 +14,6 @@ runs without a break cost no more than short ones, because the tree works on hal
 from __future__ import annotations
 
 import base64
-import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -23,7 +22,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from worksrisk.llm.units import Remembered, units
+from worksrisk.llm.common import small_batches
+from worksrisk.llm.units import Remembered, kept, units
 
 LEAF = 24            # bytes that are merged directly
 WINDOW = 2           # tokens on each side of a seam that are re-encoded at first
@@ -100,7 +100,6 @@ class Bpe:
         return tuple(i for word in self.matches(text) for i in words[word])
 
 
-@functools.lru_cache(maxsize=4)
 def load(path: str, pattern: str) -> Bpe:
     """Ranks from a file with one base64 token and its rank in each line."""
     with open(path, "rb") as lines:
@@ -109,12 +108,8 @@ def load(path: str, pattern: str) -> Bpe:
     return Bpe(ranks, pattern)
 
 
-@functools.lru_cache(maxsize=4)
 def _known_units(path: str, pattern: str, digest: bool) -> Remembered:
-    """Number of tokens, ids (or their decimal text) and decoded bytes of each unit seen.
-
-    One table per Python worker, which serves all tasks that the worker runs.
-    """
+    """Number of tokens, ids (or their decimal text) and decoded bytes of each unit seen."""
     bpe = load(path, pattern)
 
     def encode(unit: str):
@@ -125,7 +120,7 @@ def _known_units(path: str, pattern: str, digest: bool) -> Remembered:
 
 
 def _each(batches: Iterator[pa.RecordBatch], path: str, pattern: str, digest: bool):
-    known = _known_units(path, pattern, digest)
+    known = kept(("bpe", path, pattern, digest), lambda: _known_units(path, pattern, digest))
     for batch in batches:
         counts, ids, decoded = [], [], []
         for text in batch.column("text").to_pylist():
@@ -147,6 +142,7 @@ def _each(batches: Iterator[pa.RecordBatch], path: str, pattern: str, digest: bo
 
 def _run(docs: DataFrame, path: str, pattern: str, digest: bool) -> DataFrame:
     kinds = "string, _second string" if digest else "array<int>, _second binary"
+    small_batches(docs.sparkSession)
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(lambda it: _each(it, path, pattern, digest),

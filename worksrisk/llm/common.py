@@ -12,6 +12,17 @@ from worksrisk.operators.joins import hot_keys, spread_left_join
 BROADCAST_ROWS = 20_000   # narrow sides with at most so many rows are sent to every task
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Send whole texts to Python at most 1,000 at a time, in this session from now on.
+
+    Spark's 10,000 are meant for narrow rows; a smaller setting of the session stays.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name))
+    if not 0 < now <= rows:
+        spark.conf.set(name, str(rows))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 

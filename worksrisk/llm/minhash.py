@@ -21,9 +21,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from worksrisk.llm.common import BROADCAST_ROWS
+from worksrisk.llm.common import BROADCAST_ROWS, small_batches
 from worksrisk.llm.graph import connected_components
-from worksrisk.llm.units import Remembered
+from worksrisk.llm.units import Remembered, kept
 from worksrisk.session import Staging
 
 COLLECTIONS, EACH = 20, 4
@@ -82,7 +82,7 @@ def similar(shared: np.ndarray, n: np.ndarray, percent: int) -> np.ndarray:
 
 # ------------------------------------------------------------------------- tasks
 def _sign(batches: Iterator[pa.RecordBatch], k: int):
-    shingler = Shingler(k)
+    shingler = kept(("shingler", k), lambda: Shingler(k))
     for batch in batches:
         sizes, names, keys = [], [], []
         for text in batch.column("text").to_pylist():
@@ -96,7 +96,7 @@ def _sign(batches: Iterator[pa.RecordBatch], k: int):
 
 
 def _sets(batches: Iterator[pa.RecordBatch], k: int):
-    shingler = Shingler(k)
+    shingler = kept(("shingler", k), lambda: Shingler(k))
     for batch in batches:
         found = [shingler(t or "").tobytes() for t in batch.column("text").to_pylist()]
         yield pa.RecordBatch.from_arrays(
@@ -247,8 +247,8 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80) ->
     copies are never compared. Rows of one doc_id are one document, linked if any of its texts is. Rows without an id are
     linked with nothing: their component_id is null, and they are kept.
     """
-    spark = docs.sparkSession
-    stage = Staging(spark, "minhash")
+    small_batches(docs.sparkSession)
+    stage = Staging(docs.sparkSession, "minhash")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = stage.table("signed", rows.mapInArrow(
         lambda it: _sign(it, shingle), "doc_id long, n long, class binary, keys array<long>"))

@@ -10,7 +10,6 @@ start at any block. All numbers are little-endian.
 
 from __future__ import annotations
 
-import functools
 import json
 import os
 import zlib
@@ -24,12 +23,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from worksrisk.llm import files, simple8b
-from worksrisk.llm.units import LONGEST, Remembered, cuts_are_safe, units
+from worksrisk.llm.common import small_batches
+from worksrisk.llm.units import LONGEST, Remembered, cuts_are_safe, kept, units
 from worksrisk.session import Staging
 
 MAGIC = b"S8TOKENS"
 BLOCK_IDS = 1 << 17
-REMEMBER = 700_000
+REMEMBER = 500_000
 
 
 # ----------------------------------------------------------------------- tokens
@@ -87,11 +87,6 @@ class Encoder:
                 for head, (_, rest) in zip(heads, cut)]
 
 
-@functools.lru_cache(maxsize=2)
-def _encoder(path: str) -> Encoder:
-    return Encoder(path)
-
-
 # ----------------------------------------------------------------------- format
 def block_bytes(doc_ids: list[int | None], ids: list[np.ndarray]) -> bytes:
     counts = np.array([len(i) for i in ids], "<u8")
@@ -138,7 +133,7 @@ _MANIFEST = "part long, file string, n_ids long, n_docs long"
 
 
 def _write(batches: Iterator[pa.RecordBatch], path: str, end_id: int, folder: str):
-    encoder = _encoder(path)
+    encoder = kept(("encoder", path), lambda: Encoder(path))
     end = np.array([end_id], np.uint32)
     name, out, offsets, n_ids, n_docs = files.new_file(folder, ".s8"), None, [], 0, 0
     doc_ids: list = []
@@ -205,6 +200,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, stage: Staging, end_id: int =
     the files before. Null texts count as empty. An empty table gives no file. ``tokenizer``
     must be readable on every executor; ids fit in 32 bits.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"),
                        F.coalesce("text", F.lit("")).alias("text"))
     ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")

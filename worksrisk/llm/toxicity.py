@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from worksrisk.llm.common import small_batches
+from worksrisk.llm.units import kept
 from worksrisk.session import Staging
 
 _BLANKS = re.compile(r"\s+")
@@ -111,7 +113,7 @@ def held_out(doc_id: Column) -> Column:
 
 
 def _extract(batches: Iterator[pa.RecordBatch], params: Params):
-    scratch = _scratch(params)
+    scratch = kept(("toxicity", params), lambda: _scratch(params))
     for batch in batches:
         ids = [features(t, params, scratch) for t in batch.column("text").to_pylist()]
         yield pa.RecordBatch.from_arrays(
@@ -138,6 +140,7 @@ def train(docs: DataFrame, labels: DataFrame, params: Params = Params()) -> np.n
     rows is counted over all training labels. Repeated labels of one id count once, the
     larger one; texts of repeated ids are all fitted. Without any label every score is low.
     """
+    small_batches(docs.sparkSession)
     known = (labels.select("doc_id", F.col("toxic").cast("int").alias("toxic"))
              .filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()
                      & ~held_out(F.col("doc_id")))
@@ -163,7 +166,7 @@ def train(docs: DataFrame, labels: DataFrame, params: Params = Params()) -> np.n
 
 
 def _score(batches: Iterator[pa.RecordBatch], shared, params: Params):
-    weights, scratch = shared.value, _scratch(params)
+    weights, scratch = shared.value, kept(("toxicity", params), lambda: _scratch(params))
     for batch in batches:
         z = np.array([weights[features(t, params, scratch)].sum(dtype=np.float64)
                       for t in batch.column("_text").to_pylist()]) + float(weights[-1])
@@ -179,6 +182,7 @@ def score(docs: DataFrame, weights: np.ndarray, keep: list[str], params: Params
 
     Null texts score as empty ones. Nothing but the text is an input of the score.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(weights)   # 2^bits + 1 floats
     rows = docs.select(*keep, F.coalesce("text", F.lit("")).alias("_text"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[:-1])

@@ -12,7 +12,7 @@ import re
 from collections.abc import Callable
 
 _BEFORE_BLANK = re.compile(r" (?=\s|\Z)")
-REMEMBER = 400_000   # entries, in two generations
+REMEMBER = 300_000   # entries, in two generations
 LONGEST = 200        # characters of a key that is worth remembering
 
 
@@ -45,6 +45,20 @@ class Remembered(dict):
         return value
 
 
+_kept: dict = {}
+
+
+def kept(key, make: Callable):
+    """The object that this Python worker keeps between tasks; another key's replaces it.
+
+    So a worker that serves one operator after the other holds the tables of one at a time.
+    """
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = make()
+    return _kept[key]
+
+
 def cuts_are_safe(text: str) -> bool:
     """Whether the text may be cut before every space."""
     return not any(m.start() and text[m.start() - 1].isspace()

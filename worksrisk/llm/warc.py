@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from worksrisk.llm import files
-from worksrisk.llm.common import named_apart
+from worksrisk.llm.common import named_apart, small_batches
 from worksrisk.session import Staging
 
 CHUNK = 1 << 20
@@ -252,6 +252,7 @@ def write_archives(pages: DataFrame, stage: Staging) -> DataFrame:
     Null html is an empty payload, a null url leaves its header out. Repeated rows give
     repeated records. Each task writes one archive, a single gzip stream.
     """
+    small_batches(pages.sparkSession)
     payload = payload_of(F.col("html"))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url",
                         payload.alias("payload"), F.sha2(payload, 256).alias("digest"))
