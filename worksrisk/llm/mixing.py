@@ -21,7 +21,7 @@ from worksrisk.session import Staging
 
 WORD = r"[^\x20\x09-\x0D]+"
 LEVELS = (0.25, 0.5, 1.0, 2.0, 4.0)   # quality weights are clipped to this range
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 2_000
 
 
 def word_count(text: Column) -> Column:
