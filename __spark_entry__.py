@@ -512,6 +512,76 @@ def baseline_rf(spark: SparkSession, sf: str) -> DataFrame:
         "Work_ID", "label", "prediction")
 
 
+# ------------------------------------- around the models, with a forest of known nodes
+def _known_forest(spark: SparkSession, sf: str) -> iforest.AnomalyModel:
+    """Two small trees in place of trained ones; everything else comes from the tables."""
+    df = standin.features(spark, sf)
+    medians = feat.median_values(feat.feature_medians(df))
+    at = {name: i for i, name in enumerate(S.ANOMALY_FEATURES)}
+    nodes = spark.createDataFrame([
+        (0, 0, at["Cost_per_Unit"], 2000.0, 1, 2, 0.0), (0, 1, -1, 0.0, 1, 1, 6.0),
+        (0, 2, at["Progress_Gap"], 0.5, 3, 4, 0.0), (0, 3, -1, 0.0, 3, 3, 3.0),
+        (0, 4, -1, 0.0, 4, 4, 2.0),
+        (1, 0, at["Days_to_Sanction"], 30.0, 1, 2, 0.0), (1, 1, -1, 0.0, 1, 1, 5.0),
+        (1, 2, -1, 0.0, 2, 2, 3.5)], iforest.NODES)
+    unscaled = spark.createDataFrame([(n, 0.0, 1.0) for n in S.ANOMALY_FEATURES],
+                                     "feature string, mean double, sd double")
+    return iforest.AnomalyModel(nodes, 256, S.ANOMALY_FEATURES, medians, unscaled, -0.75,
+                                nodes.limit(0), nodes.limit(0))
+
+
+def forest_scores_known(spark: SparkSession, sf: str) -> DataFrame:
+    model = _known_forest(spark, sf)
+    raw = iforest.raw_scores(standin.features(spark, sf), model)
+    return raw.select("Work_ID", F.round("raw_score", 9).alias("raw_score"),
+                      iforest.outlier_label(F.col("raw_score"), model).alias("label"))
+
+
+def composite_known(spark: SparkSession, sf: str) -> DataFrame:
+    """All five signals: the anomaly by the known forest, duplicate scores from the works."""
+    works = standin.star(spark, sf).works
+    duplicates = works.filter(F.col("Days_to_Sanction") % 2 == 0).select(
+        "Work_ID", (F.col("Sanction_Amount") % 101).alias("duplicate_risk_score"))
+    found = scoring.composite_frame(standin.star(spark, sf), _known_forest(spark, sf), duplicates)
+    level = rules.risk_level(F.round("composite", 9))
+    return found.select("Work_ID", F.round("anomaly", 6).alias("anomaly"),
+                        F.round("duplicate_risk_score", 6).alias("duplicate"),
+                        F.round("composite", 6).alias("composite"), level.alias("level"),
+                        rules.recommended_action(level).alias("action"))
+
+
+def feature_scaling(spark: SparkSession, sf: str) -> DataFrame:
+    df = standin.features(spark, sf)
+    filled = feat.impute_vendor_features(df, feat.median_values(feat.feature_medians(df)))
+    return _rounded(iforest.fit_scaling(feat.drop_incomplete(filled), S.ANOMALY_FEATURES),
+                    {"mean": 6, "sd": 6})
+
+
+def train_test_split(spark: SparkSession, sf: str) -> DataFrame:
+    learn, test = models.split(standin.star(spark, sf).works.select("Work_ID"))
+    return learn.withColumn("part", F.lit("train")).unionByName(
+        test.withColumn("part", F.lit("test")))
+
+
+def regression_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    """Mean squared error and R2 of the sanctioned amount as a guess of the paid one."""
+    works = standin.star(spark, sf).works.select(
+        F.col("Sanction_Amount").alias("prediction"), F.col("Disbursed_Amount").alias("label"))
+    found = models.evaluate(works, "label")
+    return spark.createDataFrame([(found["mse"], found["r2"])], "mse double, r2 double").select(
+        F.round("mse", 1).alias("mse"), F.round("r2", 9).alias("r2"))
+
+
+def cross_check_inputs(spark: SparkSession, sf: str) -> DataFrame:
+    """Numbers, flags and categories that the cross-check is fed, without fills."""
+    frame = feat.cross_check_frame(standin.features(spark, sf), {})
+    numbers = ("Cost_per_Unit", "Days_to_Sanction", "Progress_Gap", "Vendor_Risk_Score",
+               "Vendor_Avg_Timeline_Days_missing", "Zone_Fraud_Risk_Score", "Compliance_Score",
+               "Vendor_Total_Projects_Count")
+    return _rounded(frame.select("Work_ID", *numbers, "Calamity_Flag", "NOC_Status", "House"),
+                    {n: 6 for n in numbers})
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Investigation reports of all works."""
     return investigation_report(spark, "/root/testdata/sf0.001")
@@ -533,6 +603,8 @@ def queries() -> dict[str, Query]:
         what_if_overlay, contractor_history, iforest_scores, composite_full,
         composite_distribution, score_works, investigation_report,
         cross_check, cross_check_importances, baseline_rf,
+        forest_scores_known, composite_known, feature_scaling, train_test_split,
+        regression_metrics, cross_check_inputs,
     )
     named = {f.__name__: f for f in plain}
     named |= {f"{n}_score": _signal(n) for n in ("compliance", "contractor", "spatial")}

@@ -178,6 +178,27 @@ scores AS MATERIALIZED (
     SELECT * FROM pairs QUALIFY row_number() OVER (PARTITION BY vec_id
       ORDER BY round(sim, 12) DESC, other) = 1) p ON e.vec_id = p.vec_id AND e.label > 0)"""
 
+# Two trees of known nodes, and the signals they complete.
+KNOWN = FULL + """,
+paths AS MATERIALIZED (
+  SELECT *, ((CASE WHEN coalesce(Cost_per_Unit, 0) <= 2000 THEN 6.0
+                WHEN coalesce(Progress_Gap, 0) <= 0.5 THEN 3.0 ELSE 2.0 END)::DOUBLE
+             + (CASE WHEN coalesce(Days_to_Sanction, 0) <= 30 THEN 5.0 ELSE 3.5 END)::DOUBLE) / 2
+           AS path
+  FROM signals),
+scored AS MATERIALIZED (
+  SELECT *, -pow(2.0::DOUBLE, -path / (2 * (ln(255.0::DOUBLE) + 0.5772156649015329)
+                                       - 2 * 255 / 256.0::DOUBLE)) AS raw_score,
+         CASE WHEN Days_to_Sanction % 2 = 0 THEN Sanction_Amount % 101 ELSE 0.0 END::DOUBLE AS duplicate
+  FROM paths),
+placed AS MATERIALIZED (
+  SELECT path, sum(n) OVER (ORDER BY path) - n AS lt, n, sum(n) OVER () AS total
+  FROM (SELECT path, count(*) AS n FROM paths GROUP BY path)),
+blended AS MATERIALIZED (
+  SELECT scored.*, greatest(0.0::DOUBLE, least(100.0::DOUBLE,
+           (1 - (lt + (n + 1) / 2.0::DOUBLE) / total::DOUBLE) * 100)) AS anomaly
+  FROM scored JOIN placed USING (path))"""
+
 WORK_COLUMNS = """Work_ID, House, MP_Name, Vendor_Name, State, Constituency, Work_Status,
   Sanction_Amount, Disbursed_Amount"""
 
@@ -456,4 +477,53 @@ ORACLES: dict[str, str] = {
           round(Vendor_Avg_Timeline_Days, 6) AS avg_timeline_days,
           round(Vendor_Quality_Rating, 6) AS quality_rating,
           round(Vendor_Risk_Score, 6) AS vendor_risk_score FROM full_set"""),
+    # ------------------------------------------------------- around the models
+    "forest_scores_known": _with(KNOWN, """
+        SELECT Work_ID, round(raw_score, 9) AS raw_score,
+               CASE WHEN raw_score < -0.75 THEN -1 ELSE 1 END AS label FROM scored"""),
+    "composite_known": _with(KNOWN, """
+        SELECT Work_ID, round(anomaly, 6) AS anomaly, round(duplicate, 6) AS duplicate,
+          round(c, 6) AS composite,
+          CASE WHEN l >= 75 THEN 'Critical' WHEN l >= 50 THEN 'High' WHEN l >= 25 THEN 'Medium'
+            ELSE 'Low' END AS level,
+          CASE WHEN l >= 75 THEN 'AUDIT / FIELD VERIFICATION'
+            WHEN l >= 50 THEN 'Priority review by compliance officer'
+            WHEN l >= 25 THEN 'Routine monitoring' ELSE 'No action required' END AS action
+        FROM (SELECT *, round(c, 9) AS l FROM (
+          SELECT *, greatest(0.0::DOUBLE, least(100.0::DOUBLE, 0.25 * anomaly + 0.20 * compliance
+            + 0.20 * contractor + 0.15 * spatial + 0.20 * duplicate)) AS c FROM blended))"""),
+    "feature_scaling": _with(REFERENCE, """
+        SELECT feature, round(avg(v), 6) AS mean,
+          round(CASE WHEN stddev_pop(v) > 0 THEN stddev_pop(v) ELSE 1.0 END, 6) AS sd
+        FROM (
+          SELECT unnest(['Cost_per_Unit', 'Vendor_Avg_Cost_Overrun_Ratio', 'Vendor_Avg_Timeline_Days',
+                         'Days_to_Sanction', 'Progress_Gap', 'Vendor_Avg_Cost_Overrun_Ratio_missing',
+                         'Vendor_Avg_Timeline_Days_missing']) AS feature,
+                 unnest([Cost_per_Unit::DOUBLE, coalesce(Vendor_Avg_Cost_Overrun_Ratio, r)::DOUBLE,
+                         coalesce(Vendor_Avg_Timeline_Days, t)::DOUBLE, Days_to_Sanction::DOUBLE,
+                         Progress_Gap::DOUBLE, (Vendor_Avg_Cost_Overrun_Ratio IS NULL)::INT::DOUBLE,
+                         (Vendor_Avg_Timeline_Days IS NULL)::INT::DOUBLE]) AS v
+          FROM full_set, middle
+          WHERE Cost_per_Unit IS NOT NULL AND Days_to_Sanction IS NOT NULL
+            AND Progress_Gap IS NOT NULL)
+        GROUP BY feature"""),
+    "train_test_split": _with(MASTER, """
+        SELECT Work_ID, CASE WHEN ('0x' || substr(md5('42|' || Work_ID), 1, 8))::BIGINT % 100 < 80
+          THEN 'train' ELSE 'test' END AS part FROM master"""),
+    "regression_metrics": _with(MASTER, """
+        SELECT round(avg(e), 1) AS mse, round(1 - sum(e) / sum(d), 9) AS r2
+        FROM (SELECT (Sanction_Amount - Disbursed_Amount) ** 2 AS e,
+                     (Disbursed_Amount - (SELECT avg(Disbursed_Amount) FROM master)) ** 2 AS d
+              FROM master)"""),
+    "cross_check_inputs": _with(FULL, """
+        SELECT Work_ID, round(Cost_per_Unit::DOUBLE, 6) AS Cost_per_Unit,
+          Days_to_Sanction::DOUBLE AS Days_to_Sanction, round(Progress_Gap::DOUBLE, 6) AS Progress_Gap,
+          round(Vendor_Risk_Score::DOUBLE, 6) AS Vendor_Risk_Score,
+          (Vendor_Avg_Timeline_Days IS NULL)::INT::DOUBLE AS Vendor_Avg_Timeline_Days_missing,
+          round(Zone_Fraud_Risk_Score::DOUBLE, 6) AS Zone_Fraud_Risk_Score,
+          round(Compliance_Score::DOUBLE, 6) AS Compliance_Score,
+          Vendor_Total_Projects_Count::DOUBLE AS Vendor_Total_Projects_Count,
+          coalesce(Calamity_Flag, false)::INT::DOUBLE AS Calamity_Flag,
+          coalesce(NOC_Status, 'Missing') AS NOC_Status, coalesce(House, 'Missing') AS House
+        FROM signals"""),
 }
