@@ -94,8 +94,12 @@ def _bucket(bounds: list[int], value: Column) -> Column:
         F.coalesce(F.get(known, at + step - 1) <= value, F.lit(False)), at + step).otherwise(at))
 
 
-def with_next(docs: DataFrame, carried: list[str]) -> DataFrame:
-    """Add ``next_<column>`` of the row that follows in descending doc_id; the last gets the first.
+def with_next(docs: DataFrame, derive: Callable[[DataFrame], DataFrame],
+              carried: list[str]) -> DataFrame:
+    """Rows of ``derive(docs)`` with ``next_<column>`` of the row that follows in descending doc_id.
+
+    The last row gets the first one's. ``derive`` adds or replaces columns row by row; it keeps
+    ``doc_id``, ``text`` and those whose names begin with ``_``.
 
     Rows are cut into ranges of doc_id, as many as two for each shuffle partition, and put in
     order range by range, so the rows are shuffled once. The first row of each range is also
@@ -117,7 +121,8 @@ def with_next(docs: DataFrame, carried: list[str]) -> DataFrame:
     copied = (rows.join(F.broadcast(copies), "_id").withColumn("_range", F.col("_to")).drop("_to")
               .withColumn("_copy", F.lit(True)))
     order = Window.partitionBy("_range").orderBy("_copy", F.desc("_id"), F.desc("text"))
-    ordered = rows.withColumn("_copy", F.lit(False)).unionByName(copied).withColumns(
+    # copies are few: what is derived is worked out after they have been chosen
+    ordered = derive(rows.withColumn("_copy", F.lit(False)).unionByName(copied)).withColumns(
         {f"next_{c}": F.lead(c).over(order) for c in carried})
     return ordered.filter(~F.col("_copy")).drop("_id", "_range", "_copy")
 
@@ -132,10 +137,13 @@ def compare_with_edits(docs: DataFrame) -> DataFrame:
     near_next, n_marks``. A single row is its own next.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    own = (docs.select("doc_id", text.alias("text")).withColumn("_marks", winnow(F.col("text")))
-           .select("doc_id", "text", digest(F.col("_marks")).alias("fingerprint"),
-                   F.size("_marks").alias("n_marks"), hashes(F.col("_marks")).alias("hashes")))
-    both = with_next(own, ["text", "hashes"])
+    def marked(rows: DataFrame) -> DataFrame:
+        marks = rows.withColumn("_marks", winnow(F.col("text")))
+        return marks.withColumns({
+            "fingerprint": digest(F.col("_marks")), "n_marks": F.size("_marks"),
+            "hashes": hashes(F.col("_marks"))}).drop("_marks")
+
+    both = with_next(docs.select("doc_id", text.alias("text")), marked, ["text", "hashes"])
     length = F.char_length("text")
     third = F.floor(length / 3).cast("int")
     edited = F.concat(F.substr("text", F.lit(1), length - third),
