@@ -278,10 +278,11 @@ def composite(spark: SparkSession, sf_dir: str) -> DataFrame:
                            duplicates(spark, sf_dir))
 
 
-def engine(spark: SparkSession, sf_dir: str) -> Engine:
+def engine(spark: SparkSession, sf_dir: str, check: CrossCheck | None = None) -> Engine:
+    """All parts fitted on the stand-in; ``check`` may bring a cross-check that exists already."""
     return Engine(
         star(spark, sf_dir), anomaly_model(spark, sf_dir), duplicates(spark, sf_dir),
-        index(spark, sf_dir), text_model(spark, sf_dir), cross_check(spark, sf_dir))
+        index(spark, sf_dir), text_model(spark, sf_dir), check or cross_check(spark, sf_dir))
 
 
 def cross_check(spark: SparkSession, sf_dir: str) -> CrossCheck:
