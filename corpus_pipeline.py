@@ -37,9 +37,13 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """``doc_id, n_tokens, ids, decoded_sha256`` of every row; the digest is of decoded ids."""
+    """``doc_id, n_tokens, ids, decoded_sha256`` of every row; the digest is of decoded ids.
+
+    Workers that have served the other stages remember fewer pieces than by default.
+    """
     encoded = byte_bpe.encode_documents(
-        docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+        docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN,
+        remember=80_000)
     return encoded.select("doc_id", "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from worksrisk.llm.common import small_batches
-from worksrisk.llm.units import Remembered, kept, units
+from worksrisk.llm.units import REMEMBER, Remembered, kept, units
 
 LEAF = 24            # bytes that are merged directly
 WINDOW = 2           # tokens on each side of a seam that are re-encoded at first
@@ -32,12 +32,13 @@ WINDOW = 2           # tokens on each side of a seam that are re-encoded at firs
 class Bpe:
     """Encoder and decoder for a vocabulary of byte strings with ranks."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, remember: int = REMEMBER):
         self.ranks = ranks
         self.bytes_of = {rank: token for token, rank in ranks.items()}
         self.matches = regex.compile(pattern).findall
         self.pairs: Remembered = Remembered(self._pair_fits)
-        self.words: Remembered = Remembered(lambda word: self.encode_bytes(word.encode()))
+        self.words: Remembered = Remembered(
+            lambda word: self.encode_bytes(word.encode()), remember)
 
     # ------------------------------------------------------------- the monoid
     def merge(self, data: bytes) -> tuple[int, ...]:
@@ -100,27 +101,28 @@ class Bpe:
         return tuple(i for word in self.matches(text) for i in words[word])
 
 
-def load(path: str, pattern: str) -> Bpe:
+def load(path: str, pattern: str, remember: int = REMEMBER) -> Bpe:
     """Ranks from a file with one base64 token and its rank in each line."""
     with open(path, "rb") as lines:
         fields = (line.split() for line in lines)
         ranks = {base64.b64decode(f[0]): int(f[1]) for f in fields if len(f) == 2}
-    return Bpe(ranks, pattern)
+    return Bpe(ranks, pattern, remember)
 
 
-def _known_units(path: str, pattern: str, digest: bool) -> Remembered:
+def _known_units(path: str, pattern: str, digest: bool, remember: int) -> Remembered:
     """Number of tokens, ids (or their decimal text) and decoded bytes of each unit seen."""
-    bpe = load(path, pattern)
+    bpe = load(path, pattern, remember)
 
     def encode(unit: str):
         ids = bpe.encode_unit(unit)
         return len(ids), b"".join(b" %d" % i for i in ids) if digest else ids, bpe.decode(ids)
 
-    return Remembered(encode)
+    return Remembered(encode, remember)
 
 
-def _each(batches: Iterator[pa.RecordBatch], path: str, pattern: str, digest: bool):
-    known = kept(("bpe", path, pattern, digest), lambda: _known_units(path, pattern, digest))
+def _each(batches: Iterator[pa.RecordBatch], *how):
+    known = kept(("bpe", *how), lambda: _known_units(*how))
+    digest = how[2]
     for batch in batches:
         counts, ids, decoded = [], [], []
         for text in batch.column("text").to_pylist():
@@ -140,29 +142,33 @@ def _each(batches: Iterator[pa.RecordBatch], path: str, pattern: str, digest: bo
             names=["doc_id", "n_tokens", "_first", "_second"])
 
 
-def _run(docs: DataFrame, path: str, pattern: str, digest: bool) -> DataFrame:
+def _run(docs: DataFrame, *how) -> DataFrame:
+    digest = how[2]
     kinds = "string, _second string" if digest else "array<int>, _second binary"
     small_batches(docs.sparkSession)
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(lambda it: _each(it, path, pattern, digest),
+    return rows.mapInArrow(lambda it: _each(it, *how),
                            f"doc_id {kind}, n_tokens long, _first {kinds}")
 
 
-def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+def encode_documents(docs: DataFrame, path: str, pattern: str, *, remember: int = REMEMBER,
+                     ) -> DataFrame:
     """``doc_id, n_tokens, ids, decoded`` of every row: token ids and the bytes decoded from them.
 
     Null texts count as empty and give no ids. One output row per input row, repeated or not,
     without a shuffle; other columns are not read. ``path`` must be readable on every executor.
+    Each Python worker remembers the tokens of at most ``remember`` pieces and words.
     """
-    return (_run(docs, path, pattern, False)
+    return (_run(docs, path, pattern, False, remember)
             .withColumnsRenamed({"_first": "ids", "_second": "decoded"}))
 
 
-def encode_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+def encode_digests(docs: DataFrame, path: str, pattern: str, *, remember: int = REMEMBER,
+                   ) -> DataFrame:
     """As :func:`encode_documents`, with SHA-256 digests in place of ids and bytes.
 
     ``ids_sha256`` is taken of the decimal ids joined by one space.
     """
-    return (_run(docs, path, pattern, True)
+    return (_run(docs, path, pattern, True, remember)
             .withColumnsRenamed({"_first": "ids_sha256", "_second": "decoded_sha256"}))
