@@ -1,4 +1,5 @@
 import re
+from re import _constants as sre, _parser
 
 import pandas as pd
 import pytest
@@ -73,6 +74,56 @@ def test_keywords_hold_a_root_and_stand_in_matches():
                 assert rule.keyword in plain, rule
 
 
+def forms(tree):
+    """Texts that a parsed pattern matches: the first form, then one for each other branch."""
+    texts = [""]
+    for op, arg in tree:
+        if op is sre.LITERAL:
+            one = [chr(arg)]
+        elif op is sre.IN:
+            kind, first = arg[0]
+            one = [" " if (sre.CATEGORY, sre.CATEGORY_SPACE) in arg else
+                   '"' if arg == [(sre.CATEGORY, sre.CATEGORY_NOT_WORD)] else
+                   "1" if kind is sre.CATEGORY else chr(first if kind is sre.LITERAL else first[0])]
+            one += [chr(a) for k, a in arg[1:] if k is sre.LITERAL and one != [" "]]
+        elif op is sre.BRANCH:
+            one = [t for b in arg[1] for t in forms(b)]
+        elif op is sre.SUBPATTERN:
+            one = forms(arg[3])
+        elif op in (sre.MAX_REPEAT, sre.MIN_REPEAT, sre.POSSESSIVE_REPEAT):
+            least, most, inner = arg
+            one = [t * max(1, least) for t in forms(inner)] + ([""] if not least else [])
+        elif op in (sre.ASSERT, sre.ASSERT_NOT, sre.AT):
+            one = [""]
+        else:
+            raise ValueError(op)
+        texts = [t + one[0] for t in texts] + [texts[0] + o for o in one[1:]]
+    return texts
+
+
+def test_every_branch_passes_the_gates():
+    for rule, pattern in RULES:
+        tried = [t for t in forms(_parser.parse(pattern.pattern, re.ASCII)) if pattern.search(t)]
+        assert tried, rule
+        for text in tried:
+            plain = re.sub(SIGNS + "+", " ", text.lower())
+            assert rule.keyword in plain, (rule, text)
+            for wrapped in (text, text.replace(" ", "\n  ")):
+                assert any(root in wrapped.lower() for root in ROOTS), (rule, wrapped)
+
+
+def test_links_and_spellings_behind_the_gate(spark):
+    want = {"http://www.gnu.org/licenses/old-licenses/gpl-2.0.html": "gpl",
+            "http://www.gnu.org/licenses/old-licenses/lgpl-2.1.html": "lgpl",
+            "https://opensource.org/license/mit": "mit", "https://opensource.org/license/bsd-3-clause": "bsd",
+            "https://www.eclipse.org/org/legal/epl-v10.html": "epl", "see the LICENCE file": "license-mention",
+            "provided AS\nIS without warranty of any kind": "warranty-disclaimer"}
+    docs = spark.createDataFrame([(t, t) for t in want], "doc_id string, text string")
+    for row in licenses.scan(docs).collect():
+        assert want[row.doc_id] in row.labels.split(","), row
+        near(tuple(row)[1:8], brute(row.doc_id))
+
+
 def test_there_are_hundreds():
     assert len(RULES) > 250 and len({r.label for r, _ in RULES}) > 80
 
