@@ -124,6 +124,22 @@ def test_links_and_spellings_behind_the_gate(spark):
         near(tuple(row)[1:8], brute(row.doc_id))
 
 
+def test_gaps_of_any_length(spark):
+    gap = "\n" + " " * 17
+    want = {"Redistribution and use in" + gap + "source and binary forms": "bsd",
+            "SPDX-License-Identifier:" + " " * 9 + "MIT": "mit",
+            "CC" + gap + "BY-SA" + gap + "4.0": "cc-by-sa-4.0",
+            "GNU General Public License" + gap + "version" + gap + "2": "gpl-2",
+            "GPL v2": "gpl-2", "GPL 3": "gpl-3", "OpenRAIL v1": "rail-1", "Copyright 2019": "copyright",
+            "Attribution-ShareAlike 4.0": "cc-by-sa-4.0",
+            "provided" + " *\n" * 5000 + "\"AS IS\" without warranty of any kind": "warranty-disclaimer"}
+    want |= {re.sub("[ -]", "  \n#" + " " * 20, t): want[t] for t in list(want) if "SPDX" not in t and "\n" not in t}
+    docs = spark.createDataFrame([(t, t) for t in want], "doc_id string, text string")
+    for row in licenses.scan(docs).collect():
+        assert want[row.doc_id] in row.labels.split(","), row
+        near(tuple(row)[1:8], brute(row.doc_id))
+
+
 def test_there_are_hundreds():
     assert len(RULES) > 250 and len({r.label for r, _ in RULES}) > 80
 

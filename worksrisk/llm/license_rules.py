@@ -3,8 +3,9 @@
 A rule is (label, priority, keyword, pattern). The keyword stands in every text that the
 pattern can match, once that is in lower case and its runs of blanks and signs are single
 spaces, and gates the pattern. Patterns are Java regular expressions, read without regard to
-ASCII case; ``_`` in them stands for a run of blanks, line ends and comment signs. A detection that lies inside one of higher priority is suppressed, and so is
-one inside a longer detection of the same priority.
+ASCII case; ``_`` in them stands for a run of blanks, line ends and comment signs of any length,
+taken whole, and ``_?`` for one that may be missing. A detection that lies inside one of higher
+priority is suppressed, and so is one inside a longer detection of the same priority.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ SIGNS = r"[\s,*#/;()\-]"
 
 
 def _rule(label: str, priority: int, keyword: str, pattern: str) -> Rule:
-    body = pattern.replace("_", SIGNS + "{1,12}")
+    body = pattern.replace("_", f"(?:{SIGNS}++)")
     return Rule(label, priority, re.sub(SIGNS + "+", " ", keyword),
                 rf"(?i)(?<![A-Za-z0-9]){body}(?![A-Za-z0-9])")
 
@@ -199,7 +200,7 @@ _HINTS = [
 
 def rules() -> list[Rule]:
     found = [_rule(i.lower(), TAG, "spdx-license-identifier",
-                   rf"SPDX-License-Identifier:\s{{0,4}}{i.replace('.', '[.]')}(?:-only|-or-later|\+)?")
+                   rf"SPDX-License-Identifier:\s*+{i.replace('.', '[.]')}(?:-only|-or-later|\+)?")
              for i in _SPDX]
     found += [_rule(label, NOTICE, keyword, text) for label, keyword, text in _NOTICES]
     for label, keyword, name, versions in _VERSIONED:
@@ -209,8 +210,8 @@ def rules() -> list[Rule]:
                                rf"{name}(?:_{_V}_?|-?v?){exact}(?:\+|_or_(?:any_)?later)?(?![.]\d)"))
     for label, words in _CC:
         for v in _CC_VERSIONS:
-            code, exact = label.replace("cc-", "CC[ -]").upper(), v.replace(".", "[.]")
-            found.append(_rule(f"{label}-{v}", VERSION, "cc by", rf"{code}[ -]{exact}"))
+            code, exact = label.replace("cc-", "CC_").upper(), v.replace(".", "[.]")
+            found.append(_rule(f"{label}-{v}", VERSION, "cc by", rf"{code}_{exact}"))
             found.append(_rule(f"{label}-{v}", VERSION, "attribution",
                                rf"(?:Creative_Commons_)?{words}_{exact}(?:_International|_Unported|_Generic)?"))
         short = label.removeprefix("cc-")
