@@ -133,6 +133,20 @@ def test_unlabelled_pages_of_a_rejected_template_are_blocked(spark):
     assert set(out[out.path.str.startswith("/es/")].verdict) == {"allow"}
 
 
+def test_the_tree_of_the_query_is_as_deep_as_the_paths(spark, tmp_path, monkeypatch):
+    from worksrisk.llm import queries
+    rows = [(100 * i + j, f"http://a.net/{'es' if i == 0 else f'p{i}'}/b/c/{'d/spam' if i == 0 else 'x/y'}/{j}/z.html")
+            for i in range(40) for j in range(9)]
+    rows += [(10_000 + i, "http://deep.org" + "/s" * (5 * i) + "/") for i in range(5)]
+    rows += [(20_000 + i, u) for i, u in enumerate(URLS)]
+    spark.createDataFrame(rows, "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = queries.op9_url_templates(spark, str(tmp_path)).collect()
+    # /es/ alone is labelled, and the others part from it at the fourth segment
+    assert {r.verdict for r in got if r.host == "a.net" and "/x/y/" in r.path} == {"allow"}
+    monkeypatch.setattr(u, "DEPTH", 25)
+    assert Counter(tuple(r) for r in got) == brute(rows)
+
+
 def test_empty_table(spark):
     pages = spark.createDataFrame([], "page_id long, url string")
     assert u.judge(pages, URL_RULES).count() == 0

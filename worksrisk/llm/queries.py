@@ -63,7 +63,7 @@ URL_RULES = [
 
 
 def op9_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filters.judge(table(spark, sf_dir, "pages"), URL_RULES)
+    return url_filters.judge(table(spark, sf_dir, "pages"), URL_RULES, depth=None)
 
 
 def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

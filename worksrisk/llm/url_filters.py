@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from worksrisk.session import Staging
 
-DEPTH = 4          # levels of the tree; what lies deeper shares the node "**"
+DEPTH = 4          # levels of a shallow tree, in which what lies deeper shares the node "**"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -55,10 +55,10 @@ def apply_rules(host: Column, path: Column, rules: list[UrlRule]) -> tuple[Colum
     return text, verdict
 
 
-def segments(path: Column, depth: int = DEPTH) -> list[Column]:
-    """One column per level: the segment, or the shape of a number, code or date.
+def segments(path: Column, depth: int | None = None) -> Column:
+    """Array of a path's segments, each itself or the shape of a number, code or date.
 
-    A level below the path's end is empty; the last level is ``**`` if the path goes on.
+    Empty ones at the end are left out. With ``depth``, a longer path ends there in ``**``.
     """
     parts = F.slice(F.split(path, "/"), 2, 1 << 30)
 
@@ -70,29 +70,35 @@ def segments(path: Column, depth: int = DEPTH) -> list[Column]:
                 .when(part.rlike(r"^(?=.*\d)[0-9A-Fa-f-]{8,}$"), F.lit("{code}"))
                 .when(F.char_length(part) > 60, F.lit("{long}")).otherwise(part))
 
-    levels = [shape(F.coalesce(F.get(parts, F.lit(i)), F.lit(""))) for i in range(depth)]
-    levels[-1] = F.when(F.size(parts) > depth, F.lit("**")).otherwise(levels[-1])
-    return levels
+    levels = F.transform(parts, shape)
+    if depth is not None:
+        levels = F.when(F.size(parts) > depth, F.array_append(
+            F.slice(levels, 1, depth - 1), F.lit("**"))).otherwise(levels)
+    last = F.array_max(F.transform(levels, lambda x, i: F.when(x != "", i + 1).otherwise(F.lit(0))))
+    return F.slice(levels, F.lit(1), F.coalesce(last, F.lit(0)))
 
 
 def learn_templates(pages: DataFrame, stage: Staging, params: TreeParams = TreeParams()) -> DataFrame:
-    """Templates from ``host, s1..s4, label`` (``block``, ``allow`` or null).
+    """Templates from ``host, shape, label`` (``block``, ``allow`` or null).
 
-    Gives one row per distinct ``host, s1..s4`` with its ``template``, the template's labelled
-    and blocked pages, and ``rejected``.
+    Gives one row per distinct ``host, shape`` with its ``template``, the template's labelled
+    and blocked pages, and ``rejected``. The tree is as deep as its branches: a branch is left
+    when no path in it goes on, or when it has one shape, which keeps its further segments.
     """
-    names = [f"s{i + 1}" for i in range(DEPTH)]
     bad = F.count(F.when(F.col("label") == "block", 1))
-    shapes = stage.table("shapes", pages.groupBy("host", *names).agg(
+    shapes = stage.table("shapes", pages.groupBy("host", "shape").agg(
         F.count(F.lit(1)).alias("n"), bad.alias("bad"), F.count("label").alias("known"))
         .withColumn("template", F.lit("")))
-    for level, name in enumerate(names):
+    name, level = "segment", 0
+    while True:
+        shapes = shapes.withColumn(name, F.coalesce(F.get("shape", F.lit(level)), F.lit("")))
         child = shapes.groupBy("host", "template", name).agg(
-            *[F.sum(c).alias(c) for c in ("n", "bad", "known")])
+            *[F.sum(c).alias(c) for c in ("n", "bad", "known")],
+            F.count(F.lit(1)).alias("shapes"), F.max(F.size("shape")).alias("longest"))
         child = stage.table(f"children{level}", child)
         parent = child.groupBy("host", "template").agg(
-            F.count(F.lit(1)).alias("p_children"),
-            *[F.sum(c).alias(f"p_{c}") for c in ("n", "bad", "known")])
+            F.count(F.lit(1)).alias("p_children"), F.max("longest").alias("p_longest"),
+            *[F.sum(c).alias(f"p_{c}") for c in ("n", "bad", "known", "shapes")])
         both = child.join(parent, ["host", "template"])
         # the block rate of this branch against that of all its siblings, by pooled shares
         rest = F.col("p_known") - F.col("known")
@@ -105,40 +111,51 @@ def learn_templates(pages: DataFrame, stage: Staging, params: TreeParams = TreeP
                     & (F.col("n") < params.rare * F.col("p_n")))
         token = F.when(F.col(name) == "", F.lit("")).when(
             alike | variable, F.lit("*")).otherwise(F.col(name))
-        node = both.select("host", "template", name, token.alias("_token"))
-        shapes = stage.table(f"level{level}", shapes.join(node, ["host", "template", name]).select(
-            "host", *names, "n", "bad", "known",
-            F.when(F.col("_token") == "", F.col("template")).otherwise(
+        goes_on = (F.col("p_shapes") > 1) & (F.col("p_longest") > level)
+        node = both.select("host", "template", name, token.alias("_token"), goes_on.alias("open"))
+        whole = F.aggregate(
+            F.filter(F.slice("shape", level + 1, 1 << 30), lambda x: x != ""), F.col("template"),
+            lambda a, x: F.concat(a, F.lit("/"), x))
+        done = stage.table(f"level{level}", shapes.join(node, ["host", "template", name]).select(
+            "host", "shape", "n", "bad", "known", "open",
+            F.when(~F.col("open"), whole).when(F.col("_token") == "", F.col("template")).otherwise(
                 F.concat("template", F.lit("/"), "_token")).alias("template")))
         stage.drop(f"children{level}")
+        shapes = done.filter("open").drop("open")
+        level += 1
+        if shapes.isEmpty():
+            break
+    shapes = pages.sparkSession.read.schema(done.schema).parquet(
+        *[stage.path(f"level{i}") for i in range(level)]).filter("not open")
     judged = shapes.groupBy("host", "template").agg(
         F.sum("known").alias("labelled"), F.sum("bad").alias("blocked"))
     # one blocked and one allowed page more, so that few labels say little
     purity = (F.col("blocked") + 1) / (F.col("labelled") + 2)
     judged = judged.withColumn("rejected", (F.col("labelled") >= params.least_labels)
                                & (purity >= params.reject))
-    return shapes.select("host", *names, "template").join(judged, ["host", "template"])
+    return shapes.select("host", "shape", "template").join(judged, ["host", "template"])
 
 
-def judge(pages: DataFrame, rules: list[UrlRule], params: TreeParams = TreeParams()) -> DataFrame:
+def judge(pages: DataFrame, rules: list[UrlRule], params: TreeParams = TreeParams(),
+          depth: int | None = DEPTH) -> DataFrame:
     """``page_id, host, path, rule, verdict, template, rejected`` of every row.
 
     The longest rule that fits decides. What no rule fits is blocked if its host's tree has
     rejected its template, with the rules' verdicts as labels, and allowed otherwise; unknown
     templates are allowed. Null urls and urls without ``://`` have empty host and path. One
-    output row per input row, repeated or not; only ``page_id`` and ``url`` are read.
+    output row per input row, repeated or not; only ``page_id`` and ``url`` are read. The tree
+    is ``depth`` levels deep, or, with None, as deep as the paths.
     """
     stage = Staging(pages.sparkSession, "urls")
     host, path = split_url(F.col("url"))
     rows = pages.select("page_id", "url").select("page_id", host.alias("host"), path.alias("path"))
     text, verdict = apply_rules(F.col("host"), F.col("path"), rules)
-    names = [f"s{i + 1}" for i in range(DEPTH)]
     rows = stage.table("rows", rows.select(
         "page_id", "host", "path", text.alias("rule"), verdict.alias("label"),
-        *[s.alias(n) for s, n in zip(segments(F.col("path")), names)]))
+        segments(F.col("path"), depth).alias("shape")))
     templates = stage.table("templates", learn_templates(rows, stage, params))
     # a hot host is dealt out by its shapes; adaptive execution splits what is still too large
-    return rows.join(templates, ["host", *names], "left").select(
+    return rows.join(templates, ["host", "shape"], "left").select(
         "page_id", "host", "path", "rule", F.coalesce("label", F.when(
             F.coalesce("rejected", F.lit(False)), F.lit("block")).otherwise(F.lit("allow")))
         .alias("verdict"), "template", F.coalesce("rejected", F.lit(False)).alias("rejected"))
