@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from worksrisk.llm import byte_bpe, caps, fingerprints, licenses, minhash, mixing, token_files, toxicity, url_filters, warc
+from worksrisk.llm import byte_bpe, caps, fingerprints, licenses, merkle, minhash, mixing, token_files, toxicity, url_filters, warc, whitening
 from worksrisk.llm.common import table
 from worksrisk.session import Staging
 
@@ -71,9 +72,28 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whitening.whiten(table(spark, sf_dir, "embeddings"), Staging(spark, "whitening"))
+    return (found.select("vec_id", "n", "deviation", "identity_error", "explained",
+                         F.posexplode("z").alias("place", "whitened"))
+            .select("vec_id", (F.col("place") + 1).alias("component"), "n", "deviation", "whitened",
+                    F.get("explained", F.col("place")).alias("explained"), "identity_error"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = merkle.manifest(docs, Staging(spark, "merkle"), *merkle.tampered(
+        F.col("text"), F.col("doc_id")))
+    return found.select(
+        "doc_id", "leaf", "subroot", "root", F.sha2(F.concat_ws("", "proof"), 256).alias("proof_sha256"),
+        F.col("version_root").alias("folded_root"),
+        (F.col("version_root") == F.col("root")).alias("verified"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_winnowing, op2_warc, op3_token_files, op4_near_duplicates, op5_similar_vectors,
-                            op6_license_scan, op7_byte_bpe, op8_toxicity, op9_url_templates, op10_source_mix)
+                            op6_license_scan, op7_byte_bpe, op8_toxicity, op9_url_templates, op10_source_mix,
+                            op12_whitening, op13_merkle_manifest)
 }
 
 OP10_SQL = r"""
@@ -151,5 +171,64 @@ SELECT doc_id, n AS n_shingles, min(other) AS component_id, doc_id = min(other)
 FROM reach JOIN sizes USING (doc_id) GROUP BY doc_id, n
 """
 
+OP13_SQL = r"""
+WITH RECURSIVE docs AS (
+  SELECT row_number() OVER () AS doc, doc_id, source,
+    CASE WHEN xor(list_reduce(list_prepend(4294967295, list_transform(
+             string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+           lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]),
+             lambda x, step: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295) % 5 = 0
+      THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END AS other,
+    coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-')
+      || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-')
+      || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS head,
+    coalesce(strlen(text) || ':' || text, '-') AS tail FROM documents),
+leaves AS (
+  SELECT doc, doc_id, source, sha256(head || tail) AS leaf,
+         sha256(head || coalesce(strlen(other) || ':' || other, '-')) AS other_leaf FROM docs),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id, leaf) - 1 AS pos,
+         count(*) OVER (PARTITION BY source) AS n FROM leaves),
+tree(source, depth, pos, n, h) AS (
+  SELECT source, 0, pos, n, leaf FROM placed UNION ALL
+  SELECT source, depth + 1, pos // 16, (n + 15) // 16, sha256(string_agg(h, '' ORDER BY pos))
+  FROM tree WHERE n > 1 GROUP BY source, depth, pos // 16, n),
+subroots AS (
+  SELECT source, h AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS pos,
+         count(*) OVER () AS n FROM tree WHERE n = 1),
+top(depth, pos, n, h) AS (
+  SELECT 0, pos, n, subroot FROM subroots UNION ALL
+  SELECT depth + 1, pos // 16, (n + 15) // 16, sha256(string_agg(h, '' ORDER BY pos))
+  FROM top WHERE n > 1 GROUP BY depth, pos // 16, n),
+nodes AS (SELECT false AS is_top, source, depth, pos, n, h FROM tree WHERE n > 1
+          UNION ALL SELECT true, NULL, depth, pos, n, h FROM top WHERE n > 1),
+steps AS (  -- every run on the way of a document to the root
+  SELECT p.doc, k.is_top, k.depth, k.pos, k.h, k.pos = p.pos >> (4 * k.depth) AS own
+  FROM placed p JOIN nodes k ON NOT k.is_top AND p.source IS NOT DISTINCT FROM k.source
+    AND k.pos >> 4 = p.pos >> (4 * k.depth + 4)
+  UNION ALL
+  SELECT p.doc, k.is_top, k.depth, k.pos, k.h, k.pos = s.pos >> (4 * k.depth)
+  FROM placed p JOIN subroots s ON p.source IS NOT DISTINCT FROM s.source
+  JOIN nodes k ON k.is_top AND k.pos >> 4 = s.pos >> (4 * k.depth + 4)),
+runs AS (
+  SELECT doc, row_number() OVER (PARTITION BY doc ORDER BY is_top, depth) AS step,
+         coalesce(string_agg(h, '' ORDER BY pos) FILTER (WHERE NOT own), '') AS others,
+         coalesce(string_agg(h, '' ORDER BY pos) FILTER (WHERE pos < mine), '') AS head,
+         coalesce(string_agg(h, '' ORDER BY pos) FILTER (WHERE pos > mine), '') AS tail
+  FROM (SELECT *, max(CASE WHEN own THEN pos END) OVER (PARTITION BY doc, is_top, depth) AS mine FROM steps)
+  GROUP BY doc, is_top, depth),
+fold(doc, step, h) AS (
+  SELECT doc, 0, other_leaf FROM placed UNION ALL
+  SELECT doc, runs.step, sha256(head || h || tail)
+  FROM fold JOIN runs USING (doc) WHERE runs.step = fold.step + 1),
+proofs AS (SELECT doc, sha256(string_agg(others, '' ORDER BY step)) AS proof_sha256 FROM runs GROUP BY doc),
+ends AS (SELECT doc, arg_max(h, step) AS folded_root FROM fold GROUP BY doc)
+SELECT doc_id, leaf, subroot, (SELECT h FROM top WHERE n = 1) AS root,
+       coalesce(proof_sha256, sha256('')) AS proof_sha256, folded_root,
+       folded_root = (SELECT h FROM top WHERE n = 1) AS verified
+FROM placed JOIN subroots ON placed.source IS NOT DISTINCT FROM subroots.source
+JOIN ends USING (doc) LEFT JOIN proofs USING (doc)
+"""
+
 ORACLES: dict[str, str] = {"op2_warc": OP2_SQL, "op4_near_duplicates": OP4_SQL,
-                           "op10_source_mix": OP10_SQL}
+                           "op10_source_mix": OP10_SQL, "op13_merkle_manifest": OP13_SQL}
