@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from worksrisk.llm import byte_bpe, caps, fingerprints, licenses, merkle, minhash, mixing, token_files, toxicity, url_filters, warc, whitening
+from worksrisk.llm import byte_bpe, caps, convnet, fingerprints, licenses, merkle, minhash, mixing, token_files, toxicity, url_filters, warc, whitening
 from worksrisk.llm.common import table
 from worksrisk.session import Staging
 
@@ -72,6 +72,10 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_byte_convnet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return convnet.predict(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = whitening.whiten(table(spark, sf_dir, "embeddings"), Staging(spark, "whitening"))
     return (found.select("vec_id", "n", "deviation", "identity_error", "explained",
@@ -93,7 +97,7 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_winnowing, op2_warc, op3_token_files, op4_near_duplicates, op5_similar_vectors,
                             op6_license_scan, op7_byte_bpe, op8_toxicity, op9_url_templates, op10_source_mix,
-                            op12_whitening, op13_merkle_manifest)
+                            op11_byte_convnet, op12_whitening, op13_merkle_manifest)
 }
 
 OP10_SQL = r"""
