@@ -11,7 +11,7 @@ from oracle_queries import ORACLES
 from worksrisk import schemas as S
 from worksrisk import standin
 from worksrisk.functions import cells, rules
-from worksrisk.operators import browse, etl, iforest, models, ranks, similarity
+from worksrisk.operators import browse, etl, iforest, models, ranks, similarity, texts
 from worksrisk.operators import features as feat
 from worksrisk.plans import scoring
 from worksrisk.session import storage_folder, stored
@@ -361,6 +361,9 @@ def why_panel(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # ----------------------------------------------------------------- similarity
+SMALL_CELLS = {"chunk": 1, "cell": 8}   # every block of two and more vectors is cut into cells
+
+
 def _vendor_of_label() -> Column:
     return F.when(F.col("label") > 0, F.concat(F.lit("V"), "label")).otherwise(F.lit("Unknown "))
 
@@ -371,18 +374,23 @@ def _vectors(spark: SparkSession, sf: str) -> DataFrame:
         F.lit("x").alias("Constituency"), "embedding")
 
 
-def _vector_scores(spark: SparkSession, sf: str) -> DataFrame:
-    return similarity.duplicate_scores(_vectors(spark, sf), floor=0.25, ceiling=0.45)
+def _vector_scores(spark: SparkSession, sf: str, **options) -> DataFrame:
+    return similarity.duplicate_scores(_vectors(spark, sf), floor=0.25, ceiling=0.45, **options)
 
 
-def duplicate_nearest(spark: SparkSession, sf: str) -> DataFrame:
-    return _vector_scores(spark, sf).select(
+def duplicate_nearest(spark: SparkSession, sf: str, **options) -> DataFrame:
+    return _vector_scores(spark, sf, **options).select(
         F.col("Work_ID").alias("vec_id"), F.col("nearest_duplicate_work_id").alias("nearest_id"),
         F.round("nearest_similarity", 6).alias("similarity"),
         F.round("duplicate_risk_score", 6).alias("risk"),
         F.col("duplicate_checked").alias("checked"))
 
 
+def duplicate_nearest_cells(spark: SparkSession, sf: str) -> DataFrame:
+    """The same by the way that large blocks take, whatever their size."""
+    return duplicate_nearest(spark, sf, **SMALL_CELLS)
+
+
 def dup_rate(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(similarity.flag_rate(_vector_scores(spark, sf)), {"rate": 9})
 
@@ -391,17 +399,21 @@ def vendor_flagged(spark: SparkSession, sf: str) -> DataFrame:
     return similarity.flagged_per_vendor(_vector_scores(spark, sf))
 
 
-def nearby_top5(spark: SparkSession, sf: str) -> DataFrame:
+def nearby_top5(spark: SparkSession, sf: str, **options) -> DataFrame:
     cluster = F.when(F.col("label") % 3 != 0, F.concat(F.lit("k"), "label"))
     places = standin.table(spark, sf, "embeddings").select(
         F.col("vec_id").alias("Work_ID"), cluster.alias("Spatial_Cluster_ID"),
         F.concat(F.lit("c"), F.col("label") % 4).alias("Constituency"))
-    found = similarity.nearby_works(places, places, _vectors(spark, sf))
+    found = similarity.nearby_works(places, places, _vectors(spark, sf), **options)
     return found.select(F.col("Work_ID").alias("vec_id"), "nearest_id",
                         F.round("similarity", 6).alias("similarity"),
                         F.col("position").alias("place"))
 
 
+def nearby_top5_cells(spark: SparkSession, sf: str) -> DataFrame:
+    return nearby_top5(spark, sf, **SMALL_CELLS)
+
+
 def new_work_nearest(spark: SparkSession, sf: str) -> DataFrame:
     """Every vector reversed, as a new work, against the whole index."""
     known = _vectors(spark, sf)
@@ -422,15 +434,16 @@ def text_duplicates(spark: SparkSession, sf: str) -> DataFrame:
     docs = standin.table(spark, sf, "documents").select(
         F.col("doc_id").alias("Work_ID"), F.col("source").alias("Vendor_Name"),
         F.col("lang").alias("Constituency"), F.col("text").alias("Work_Description"))
-    model = similarity.fit_text_vectors(docs, "Work_Description")
-    vectors = similarity.text_vectors(model, docs, "Work_Description")
-    return similarity.duplicate_scores(vectors, block=F.col("Constituency")).select(
+    vectors = texts.fit_words(docs, "Work_Description").vectors(docs, "Work_Description")
+    return _rounded(similarity.duplicate_scores(vectors, block=F.col("Constituency")).select(
         "Work_ID", "Constituency", "nearest_duplicate_work_id", "nearest_similarity",
-        "duplicate_risk_score", "duplicate_checked")
+        "duplicate_risk_score", "duplicate_checked"),
+        {"nearest_similarity": 6, "duplicate_risk_score": 4})
 
 
 def duplicate_lookup(spark: SparkSession, sf: str) -> DataFrame:
-    return standin.duplicates(spark, sf)
+    return _rounded(standin.duplicates(spark, sf),
+                    {"nearest_similarity": 6, "duplicate_risk_score": 4})
 
 
 # ------------------------------------------------------- requests and reports
@@ -500,9 +513,7 @@ def cross_check(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def cross_check_importances(spark: SparkSession, sf: str) -> DataFrame:
-    model = standin.cross_check(spark, sf)
-    frame = feat.cross_check_frame(standin.composite(spark, sf), model.fills)
-    return models.importances(model.model, frame)
+    return standin.cross_check(spark, sf).importances(spark)
 
 
 def baseline_rf(spark: SparkSession, sf: str) -> DataFrame:
@@ -598,7 +609,8 @@ def queries() -> dict[str, Query]:
         composite_rules, risk_level, severity, top_reasons,
         pct_rank_avg, pct_vs_reference, pct_two_sided, performance_rank, group_medians,
         peer_benchmark, cost_anomaly, timeline_anomaly, why_panel,
-        duplicate_nearest, dup_rate, vendor_flagged, nearby_top5, new_work_nearest,
+        duplicate_nearest, duplicate_nearest_cells, dup_rate, vendor_flagged, nearby_top5,
+        nearby_top5_cells, new_work_nearest,
         text_duplicates, duplicate_lookup,
         what_if_overlay, contractor_history, iforest_scores, composite_full,
         composite_distribution, score_works, investigation_report,

@@ -178,6 +178,37 @@ scores AS MATERIALIZED (
     SELECT * FROM pairs QUALIFY row_number() OVER (PARTITION BY vec_id
       ORDER BY round(sim, 12) DESC, other) = 1) p ON e.vec_id = p.vec_id AND e.label > 0)"""
 
+# Words of texts weighted by their rarity, and each text's nearest other text of its block.
+# The texts come from a table ``texts`` (id, block, text); a null block is not searched.
+WORDS = r"""
+tokens AS MATERIALIZED (
+  SELECT id, block, word, count(*) AS n FROM (
+    SELECT id, block, unnest(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{M}\p{N}]+')) AS word
+    FROM texts) WHERE word <> '' GROUP BY 1, 2, 3),
+rarity AS MATERIALIZED (
+  SELECT word, ln(((SELECT count(*) FROM texts) + 1.0)::DOUBLE / (count(*) + 1)) AS idf FROM tokens GROUP BY 1),
+weighted AS MATERIALIZED (SELECT id, block, word, n * idf AS w FROM tokens JOIN rarity USING (word)),
+lengths AS MATERIALIZED (SELECT id, block, sqrt(sum(w * w)) AS length FROM weighted GROUP BY 1, 2),
+unit AS MATERIALIZED (
+  SELECT id, block, word, w / length AS w FROM weighted JOIN lengths USING (id, block) WHERE w > 0),
+shared AS MATERIALIZED (
+  SELECT a.id, b.id AS other, round(sum(a.w * b.w), 12) AS sim
+  FROM unit a JOIN unit b ON a.block = b.block AND a.word = b.word AND a.id <> b.id GROUP BY 1, 2),
+firsts AS MATERIALIZED (  -- what a text that shares no word with any other is nearest to
+  SELECT block, list(id ORDER BY id)[1:2] AS two FROM lengths WHERE block IS NOT NULL GROUP BY 1),
+closest AS MATERIALIZED (
+  SELECT id, other, sim FROM shared QUALIFY row_number() OVER (PARTITION BY id ORDER BY sim DESC, other) = 1),
+found AS MATERIALIZED (
+  SELECT l.id, coalesce(CASE WHEN sim > 0 THEN other END,
+           CASE WHEN two[1] = l.id THEN two[2] ELSE two[1] END) AS other,
+         greatest(coalesce(sim, 0.0), 0.0)::DOUBLE AS sim
+  FROM lengths l JOIN firsts USING (block) LEFT JOIN closest c ON c.id = l.id WHERE len(two) > 1),
+texts_found AS MATERIALIZED (
+  SELECT t.id, f.other, coalesce(f.sim, 0.0) AS sim, f.other IS NOT NULL AS checked,
+         CASE WHEN f.sim IS NULL OR f.sim <= 0.85 THEN 0.0 WHEN f.sim >= 0.98 THEN 100.0
+           ELSE (f.sim - 0.85) / (0.98 - 0.85) * 100 END::DOUBLE AS risk
+  FROM texts t LEFT JOIN found f USING (id))"""
+
 # Two trees of known nodes, and the signals they complete.
 KNOWN = FULL + """,
 paths AS MATERIALIZED (
@@ -461,6 +492,18 @@ ORACLES: dict[str, str] = {
           other IS NOT NULL AS checked
         FROM embeddings e LEFT JOIN (SELECT * FROM pairs QUALIFY row_number() OVER (
           PARTITION BY vec_id ORDER BY round(sim, 12) DESC, other) = 1) p ON e.vec_id = p.vec_id""",
+    "text_duplicates": _with("texts AS (SELECT doc_id AS id, lang AS block, text FROM documents)," + WORDS, """
+        SELECT id AS Work_ID, lang AS Constituency, other AS nearest_duplicate_work_id,
+          round(sim, 6) AS nearest_similarity, round(risk, 4) AS duplicate_risk_score,
+          checked AS duplicate_checked
+        FROM texts_found JOIN documents ON doc_id = id"""),
+    "duplicate_lookup": _with(MASTER + """, texts AS MATERIALIZED (
+        SELECT Work_ID AS id, CASE WHEN Vendor_Name <> 'Unknown' THEN Vendor_Name || '|' || Constituency
+          END AS block, Work_Description AS text FROM master),""" + WORDS, """
+        SELECT Work_ID, Vendor_Name, Constituency, round(risk, 4) AS duplicate_risk_score,
+          other AS nearest_duplicate_work_id, round(sim, 6) AS nearest_similarity,
+          checked AS duplicate_checked
+        FROM texts_found JOIN master ON Work_ID = id"""),
     # ------------------------------------------------------------------- requests
     "what_if_overlay": _with(FULL, """
         SELECT Work_ID,
@@ -527,3 +570,4 @@ ORACLES: dict[str, str] = {
           coalesce(NOC_Status, 'Missing') AS NOC_Status, coalesce(House, 'Missing') AS House
         FROM signals"""),
 }
+ORACLES |= {f"{name}_cells": ORACLES[name] for name in ("duplicate_nearest", "nearby_top5")}

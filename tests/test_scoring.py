@@ -11,7 +11,7 @@ from worksrisk.plans import scoring
 
 @pytest.fixture(scope="module")
 def engine(spark, sf):
-    few = models.train_cross_check(standin.composite(spark, sf), trees=8, depth=4, rate=0.3)
+    few = models.train_cross_check(standin.composite(spark, sf), trees=8, depth=4, rate=0.3, together=2)
     return standin.engine(spark, sf, few)   # the queries use 300 trees
 
 
@@ -168,7 +168,7 @@ def test_composite_is_the_weighted_sum(spark, sf):
 
 def test_cross_check_learns_and_survives_storage(spark, sf, tmp_path):
     df = standin.composite(spark, sf)
-    model = models.train_cross_check(df, trees=8, depth=4, rate=0.3)
+    model = models.train_cross_check(df, trees=8, depth=4, rate=0.3, together=2)
     assert model.metrics["r2"] > 0.4
     model.save(str(tmp_path / "x"))
     again = models.CrossCheck.load(spark, str(tmp_path / "x"))

@@ -2,7 +2,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from worksrisk.operators import similarity
+from worksrisk.operators import similarity, texts
+from worksrisk.sources import star
 
 
 @pytest.fixture(scope="module")
@@ -36,7 +37,7 @@ def brute(blocks, sims, k):
 
 
 @pytest.mark.parametrize("k, parts, sizes", [
-    (1, 3, {}), (1, 16, {"chunk": 50, "cell": 20}), (5, 1, {"chunk": 60, "cell": 20, "pivots": 5})])
+    (1, 3, {}), (1, 16, {"chunk": 50, "cell": 20}), (5, 1, {"chunk": 60, "cell": 150})])
 def test_nearest_is_exact(cloud, k, parts, sizes):
     df, blocks, sims = cloud
     found = similarity.nearest(df.repartition(parts), k=k, **sizes)
@@ -97,26 +98,130 @@ def test_nearby_falls_back_to_the_constituency(spark):
         ("a", "b"), ("b", "a"), ("c", "a"), ("c", "d")]
 
 
+@pytest.fixture(scope="module")
+def bags(spark):
+    """Sparse vectors: some common terms, many rare ones, copies, near copies and an empty one."""
+    rng = np.random.default_rng(8)
+    m = np.zeros((400, 600))
+    for i in range(400):
+        m[i, rng.integers(0, 20, 6)] += 1
+        m[i, rng.integers(20, 600, 5)] += rng.integers(2, 6, 5)
+        if i % 4 == 1:
+            m[i] = m[i - 1]
+            m[i, rng.integers(20, 600, i % 3)] += 1
+    m[7] = 0
+    norm = np.linalg.norm(m, axis=1, keepdims=True)
+    m = np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
+    blocks = ["big" if i < 250 else f"b{i % 40}" for i in range(400)]
+    rows = [(i, b, (np.flatnonzero(v).tolist(), v[v > 0].tolist())) for i, (b, v) in enumerate(zip(blocks, m))]
+    df = spark.createDataFrame(
+        rows, "id long, block string, vec struct<terms:array<bigint>,weights:array<double>>")
+    return df, blocks, np.round(m @ m.T, 12)
+
+
+@pytest.mark.parametrize("k, sizes", [(1, {}), (1, {"chunk": 30}), (4, {"chunk": 70})])
+def test_sparse_search_is_exact(bags, k, sizes):
+    df, blocks, sims = bags
+    got = {}
+    for r in similarity.nearest(df.repartition(5), k=k, **sizes).orderBy("id", "position").collect():
+        got.setdefault(r["id"], []).append((r["nearest_id"], round(r["similarity"], 9)))
+    assert got == brute(blocks, sims, k)
+
+
+def test_light_terms_are_only_read_where_they_matter(bags):
+    """Most candidates share no heavy term with a query and are not multiplied in full."""
+    df, _, sims = bags
+    rows = [r.vec for r in df.filter("block = 'big'").orderBy("id").collect()]
+    held = similarity.Postings([(np.array(v.terms, np.int64), np.array(v.weights), np.array([len(v.terms)]))
+                                for v in rows])
+    full = []
+    plain = held.products
+    held.products = lambda chosen, *rest: (full.append(len(chosen)), plain(chosen, *rest))[1]
+    for i, v in enumerate(rows):
+        best, near = held.nearest(np.array(v.terms, np.int64), np.array(v.weights), 2)
+        wanted = sorted(range(250), key=lambda j: (-sims[i, j], j))[:2]
+        assert best.tolist() == wanted and near == pytest.approx([sims[i, j] for j in wanted])
+    assert len(full) > 100 and np.mean(full) < 15
+
+
 def test_text_vectors_find_copies(spark):
     df = spark.createDataFrame([("a", "new road to the school"), ("b", "new road to the school"),
                                 ("c", "street lights"), ("d", None)], "Work_ID string, t string")
-    model = similarity.fit_text_vectors(df, "t")
-    got = similarity.text_vectors(model, df, "t").select(
+    got = texts.fit_words(df, "t").vectors(df, "t").select(
         F.col("Work_ID").alias("id"), F.lit("x").alias("block"), F.col("embedding").alias("vec"))
     best = {r["id"]: r for r in similarity.nearest(got).collect()}
     assert best["a"]["nearest_id"] == "b" and best["a"]["similarity"] == pytest.approx(1, abs=1e-5)
 
 
 def test_texts_of_every_script_are_compared(spark):
-    texts = {"a": "सड़क का निर्माण गाँव तक", "b": "सड़क का निर्माण गाँव तक", "c": "विद्यालय भवन की मरम्मत",
+    told = {"a": "सड़क का निर्माण गाँव तक", "b": "सड़क का निर्माण गाँव तक", "c": "विद्यालय भवन की मरम्मत",
              "d": "école à Béziers", "e": "école à Béziers", "f": "pont sur la rivière", "g": "", "h": " -- ", "i": None}
-    works = spark.createDataFrame([(k, "V", "P", t) for k, t in texts.items()],
+    works = spark.createDataFrame([(k, "V", "P", t) for k, t in told.items()],
                                   "Work_ID string, Vendor_Name string, Constituency string, text string")
-    model = similarity.fit_text_vectors(works, "text")
-    got = {r["Work_ID"]: r for r in similarity.duplicate_scores(
-        similarity.text_vectors(model, works, "text")).collect()}
+    model = texts.fit_words(works, "text")
+    got = {r["Work_ID"]: r for r in similarity.duplicate_scores(model.vectors(works, "text")).collect()}
     for a, b in ("ab", "de"):
         assert got[a]["nearest_duplicate_work_id"] == b and got[a]["nearest_similarity"] == pytest.approx(1.0)
         assert got[a]["duplicate_risk_score"] == 100
     assert got["c"]["nearest_similarity"] < 0.5 and got["f"]["nearest_similarity"] < 0.5
     assert not any(got[k]["duplicate_checked"] for k in "ghi")
+
+
+def test_words_never_share_a_slot_and_keep_their_weights(spark, tmp_path):
+    """Weights and lengths by hand; unknown words take length and match nothing."""
+    df = spark.createDataFrame([(1, "a b"), (2, "a a c"), (3, "a"), (4, None), (5, "--")], "id long, t string")
+    model = texts.fit_words(df, "t")
+    assert model.documents == 5
+    model.save(str(tmp_path / "w"))
+    again = texts.WordModel.load(spark, str(tmp_path / "w"))
+    assert again.name == model.name
+    term = {r.word: r.term for r in model.vocabulary.collect()}
+    idf = {"a": np.log(6 / 4), "b": np.log(6 / 2), "c": np.log(6 / 2), "new": np.log(6)}
+    got = {r.id: r.embedding for r in again.vectors(df, "t").collect()}
+    assert got[4] is None and got[5] is None
+    for i, counts in {1: {"a": 1, "b": 1}, 2: {"a": 2, "c": 1}, 3: {"a": 1}}.items():
+        length = np.sqrt(sum((n * idf[w]) ** 2 for w, n in counts.items()))
+        wanted = sorted((term[w], n * idf[w] / length) for w, n in counts.items())
+        assert list(got[i].terms) == [t for t, _ in wanted]
+        assert list(got[i].weights) == pytest.approx([w for _, w in wanted])
+    asked = again.vectors(spark.createDataFrame([(1, "B new"), (2, "new new")], "id long, t string"), "t")
+    got = {r.id: r.embedding for r in asked.collect()}
+    assert list(got[1].weights) == pytest.approx([idf["b"] / np.hypot(idf["b"], idf["new"])])
+    assert list(got[2].terms) == []
+    other = texts.fit_words(df.limit(3), "t")
+    assert other.name != model.name
+
+
+def test_a_callers_model_serves_index_and_requests(spark, tmp_path):
+    def letters():
+        """Loaded once in a worker: counts of a few letters."""
+        return lambda told: np.array([[t.count(c) + 0.5 for c in "aeo"] for t in told], np.float32)
+
+    encoder = texts.Encoder("letters 1", letters)
+    df = spark.createDataFrame(
+        [("w1", "V", "c", "aaa e"), ("w2", "V", "c", "oo e"), ("w3", "V", "c", ""), ("w4", "V", "c", None)],
+        "Work_ID string, Vendor_Name string, Constituency string, Work_Description string")
+    vectors = encoder.vectors(df, "Work_Description")
+    assert {r.Work_ID: r.embedding and list(r.embedding) for r in vectors.collect()} == {
+        "w1": [3.5, 1.5, 0.5], "w2": [0.5, 1.5, 2.5], "w3": None, "w4": None}
+    path = str(tmp_path / "index")
+    star.write_index(vectors, path, encoder.name)
+    index = star.read_index(spark, path, "letters 1")
+    asked = encoder.vectors(spark.createDataFrame(
+        [("n1", "V", "c", "ooooo ee")], df.schema), "Work_Description")
+    assert similarity.new_work_duplicates(asked, index).first()["nearest_duplicate_work_id"] == "w2"
+    with pytest.raises(ValueError, match="letters 1"):
+        star.read_index(spark, path, "letters 2")
+
+
+def test_word_vectors_are_stored_with_their_model(spark, tmp_path):
+    df = spark.createDataFrame([("a", "V", "c", "new road"), ("b", "V", "c", "old bridge")],
+                               "Work_ID string, Vendor_Name string, Constituency string, t string")
+    model = texts.fit_words(df, "t")
+    star.write_index(model.vectors(df, "t"), str(tmp_path / "i"), model.name)
+    index = star.read_index(spark, str(tmp_path / "i"), model.name)
+    asked = model.vectors(spark.createDataFrame([("n", "V", "c", "a new road")], df.schema), "t")
+    found = similarity.new_work_duplicates(asked.withColumnRenamed("t", "Work_Description"), index).first()
+    known, unknown = 2 * np.log(3 / 2) ** 2, np.log(3) ** 2   # squared weights of the request's words
+    assert found["nearest_duplicate_work_id"] == "a"
+    assert found["nearest_similarity"] == pytest.approx(np.sqrt(known / (known + unknown)))

@@ -8,9 +8,12 @@ block. Nothing is sampled and no pair list is ever shuffled:
 2. Work is cut into units of a few thousand candidates that meet a bounded number of
    queries. Units are sorted runs that a task streams through, so memory holds one
    unit, and thousands of small blocks share a task.
-3. Blocks with many candidates and many queries are split into cells around pivots
-   (cosine order is distance order on the unit sphere). A query searches its own cell,
-   then only the cells that the triangle inequality cannot rule out.
+3. Dense vectors: blocks with many candidates and many queries are split into cells around
+   pivots (cosine order is distance order on the unit sphere). A query searches its own
+   cell, then only the cells that the triangle inequality cannot rule out.
+4. Sparse vectors (terms and weights): a unit keeps an inverted list for each term. A query
+   first adds up the lists of its heavy terms; a candidate whose sum cannot make up for the
+   light rest of the query is out, and only the others are multiplied in full.
 """
 
 from __future__ import annotations
@@ -20,12 +23,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from worksrisk import schemas as S
 from worksrisk.functions import rules
@@ -38,12 +40,11 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 CHUNK = 4000        # candidates a unit holds in memory
 QUERY_RUN = 40_000  # queries that one copy of a unit serves
-PIVOTS = 1000       # at most this many cells in a block ...
-CELL = 1000         # ... of about this many candidates
+CELL = 1000         # candidates for each cell of a block
 STEP = 1024         # queries multiplied at a time
 KEYS = ["block", "f1", "f2"]
+TAIL = 0.4          # length of the light end of a sparse vector that is looked at last
 SEPARATOR = "\u0001"
-NO_WORD = r"[^\p{L}\p{M}\p{N}]+"   # vowel signs of many scripts are marks
 
 
 # ------------------------------------------------------------ inside one task
@@ -131,7 +132,109 @@ def _reachable(held, asked, sims):
     return row, {"cell": held["cell"][col]}
 
 
+class Postings:
+    """Sparse candidates of one unit: by candidate, and by term. Earlier ones win ties."""
+
+    def __init__(self, parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]):
+        self.terms, self.weights = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
+        self.sizes = np.concatenate([p[2] for p in parts])
+        self.n, self.starts = len(self.sizes), np.cumsum(self.sizes) - self.sizes
+        order = np.argsort(self.terms, kind="stable")
+        self.owner = np.repeat(np.arange(self.n), self.sizes)[order]
+        self.weight_of = self.weights[order]
+        self.words, self.first, self.length = np.unique(
+            self.terms[order], return_index=True, return_counts=True)
+
+    @staticmethod
+    def _runs(first: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """Places of several runs, one after the other."""
+        return np.repeat(first - (np.cumsum(length) - length), length) + np.arange(length.sum())
+
+    def sums(self, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """Dot product of every candidate with these terms."""
+        if not len(terms) or not len(self.words):
+            return np.zeros(self.n)
+        at = np.minimum(np.searchsorted(self.words, terms), len(self.words) - 1)
+        hit = self.words[at] == terms
+        at, weights = at[hit], weights[hit]
+        runs = self._runs(self.first[at], self.length[at])
+        return np.bincount(self.owner[runs], self.weight_of[runs] * np.repeat(weights, self.length[at]),
+                           self.n)
+
+    def products(self, chosen: np.ndarray, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """Dot product of some candidates with the whole query, its terms in rising order."""
+        runs = self._runs(self.starts[chosen], self.sizes[chosen])
+        own = self.terms[runs]
+        at = np.minimum(np.searchsorted(terms, own), len(terms) - 1)
+        value = np.where(terms[at] == own, self.weights[runs] * weights[at], 0.0)
+        return np.bincount(np.repeat(np.arange(len(chosen)), self.sizes[chosen]), value, len(chosen))
+
+    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places and similarities of the k best candidates, best first."""
+        k = min(k, self.n)
+        heavy = np.argsort(-weights, kind="stable")
+        tails = np.sqrt(np.append(np.cumsum(weights[heavy][::-1] ** 2)[::-1], 0.0))
+        cut = int(np.argmax(tails <= TAIL))
+        head = self.sums(terms[heavy[:cut]], weights[heavy[:cut]])
+        # no candidate is longer than 1, so the rest of the query adds at most its own length
+        least = np.partition(head, self.n - k)[self.n - k]
+        chosen = np.flatnonzero(head + tails[cut] >= least - 1e-9)
+        if 8 * len(chosen) < self.n and len(terms):
+            sims = self.products(chosen, terms, weights)
+        else:
+            chosen = np.arange(self.n)
+            sims = head + self.sums(terms[heavy[cut:]], weights[heavy[cut:]])
+        sims = np.round(sims, 12)   # so that the order of summation cannot decide a tie
+        best = np.argsort(-sims, kind="stable")[:k]
+        return chosen[best], sims[best]
+
+
+def _search_sparse(k: int):
+    """Task function over rows sorted by unit, candidates first; the sparse form of _search."""
+    def lists(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+        return (column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False))
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, parts, ids, held = None, [], [], None
+        for batch in batches:
+            names = batch.column("unit").to_numpy(zero_copy_only=False)
+            is_query = batch.column("role").to_numpy() == 1
+            at, terms = lists(batch.column("terms"))
+            weights = lists(batch.column("weights"))[1]
+            edges = (names[1:] != names[:-1]) | (is_query[1:] != is_query[:-1])
+            cuts = [0, *(np.flatnonzero(edges) + 1), batch.num_rows]
+            rows, near, places = [], [], []
+            for lo, hi in zip(cuts[:-1], cuts[1:]):
+                if names[lo] != name:
+                    name, parts, ids, held = names[lo], [], [], None
+                if not is_query[lo]:
+                    some = slice(at[lo], at[hi])
+                    parts.append((terms[some], weights[some], np.diff(at[lo:hi + 1])))
+                    ids += batch.column("ids").slice(lo, hi - lo).to_pylist()
+                    held = None
+                    continue
+                if not parts:
+                    continue
+                held = held or Postings(parts)
+                for row in range(lo, hi):
+                    some = slice(at[row], at[row + 1])
+                    best, sims = held.nearest(terms[some], weights[some], k)
+                    rows += [row] * len(best)
+                    near.append(sims)
+                    places += [ids[i] for i in best]
+            if rows:
+                keys = [batch.column(c).take(pa.array(rows)) for c in KEYS]
+                yield pa.RecordBatch.from_arrays(
+                    [*keys, pa.array(np.concatenate(near)), pa.array(places, batch.schema.field("ids").type)],
+                    names=[*KEYS, "similarity", "ids"])
+    return task
+
+
 # --------------------------------------------------------------- across tasks
+def _sparse(df: DataFrame) -> bool:
+    return isinstance(df.schema["vec"].dataType, T.StructType)
+
+
 def _prepare(df: DataFrame) -> DataFrame:
     """(id, block, vec) with a 128-bit fingerprint of the vector."""
     return (df.select("id", F.col("block").cast("string").alias("block"), "vec")
@@ -152,14 +255,16 @@ def _scan(candidates: DataFrame, queries: DataFrame, unit: list[str], fn, schema
     """Bring both sides of each unit together, candidates first, and stream them."""
     name = F.concat_ws(SEPARATOR, *unit)
 
+    vec = ["vec.terms", "vec.weights"] if _sparse(candidates) else ["vec"]
+
     def side(df: DataFrame, role: int) -> DataFrame:
         ids = F.col("ids") if role == 0 else F.lit(None).cast(candidates.schema["ids"].dataType)
-        return df.select(name.alias("unit"), F.lit(role).alias("role"), *KEYS, "vec",
+        return df.select(name.alias("unit"), F.lit(role).alias("role"), *KEYS, *vec,
                          ids.alias("ids"), ids[0].alias("first_id"), *extra)
 
     rows = side(candidates, 0).unionByName(side(queries, 1))
-    return (rows.repartition("unit").sortWithinPartitions("unit", "role", "first_id")
-            .mapInPandas(fn, schema))
+    rows = rows.repartition("unit").sortWithinPartitions("unit", "role", "first_id")
+    return rows.mapInArrow(fn, schema) if _sparse(candidates) else rows.mapInPandas(fn, schema)
 
 
 def _best(found: DataFrame, k: int) -> DataFrame:
@@ -192,20 +297,21 @@ def _search_units(candidates: DataFrame, queries: DataFrame, group: list[str], k
             .withColumn("_j", F.pmod("f1", F.col("_g"))).withColumn("_q", every("_s")))
     ask = (_with_sizes(queries, sizes, group, "_nq")
            .withColumn("_q", F.pmod("f2", F.col("_s"))).withColumn("_j", every("_g")))
-    return _scan(cand, ask, [*group, "_j", "_q"], _search(k), result)
+    search = _search_sparse(k) if _sparse(candidates) else _search(k)
+    return _scan(cand, ask, [*group, "_j", "_q"], search, result)
 
 
-def _search_cells(candidates: DataFrame, queries: DataFrame, k: int, chunk: int,
-                  pivots: int, cell: int, result: str) -> DataFrame:
-    """Own cell first, then the cells still in reach."""
+def _search_cells(candidates: DataFrame, queries: DataFrame, k: int, chunk: int, cell: int,
+                  result: str) -> DataFrame:
+    """Own cell first, then the cells still in reach.
+
+    One candidate in ``cell``, by hash, is a pivot; the smallest hash is one in any case.
+    """
     keys = "block string, f1 long, f2 long"
-    first = Window.partitionBy("block").orderBy("f1", "f2")
-    cells = candidates.groupBy("block").agg(
-        F.greatest(F.lit(2), _parts(F.count("*"), cell)).alias("_cells"))
-    marks = (candidates.withColumn("cell", F.row_number().over(first))
-             .filter(F.col("cell") <= pivots).join(cells, "block")
-             .filter(F.col("cell") <= F.col("_cells")).drop("_cells")
-             .withColumn("reach", F.lit(0.0)))
+    least = candidates.groupBy("block").agg(F.min("f1").alias("_least"))
+    marks = (candidates.join(least, "block")
+             .filter((F.col("f1") == F.col("_least")) | (F.pmod(F.xxhash64(F.lit(2), "f1"), F.lit(cell)) == 0))
+             .drop("_least").withColumn("cell", F.col("f1")).withColumn("reach", F.lit(0.0)))
 
     def dealt(df: DataFrame) -> DataFrame:
         return df.withColumn("_q", F.pmod("f2", F.col("_s")))
@@ -218,8 +324,8 @@ def _search_cells(candidates: DataFrame, queries: DataFrame, k: int, chunk: int,
                      extra=["cell", "reach"])
 
     def in_cells(df: DataFrame) -> DataFrame:
-        blank = df.withColumns({"cell": F.lit(0), "reach": F.lit(0.0)})
-        placed = with_marks(blank, marks, _stream(_assign), f"{keys}, cell int, distance double")
+        blank = df.withColumns({"cell": F.lit(0).cast("long"), "reach": F.lit(0.0)})
+        placed = with_marks(blank, marks, _stream(_assign), f"{keys}, cell long, distance double")
         return stored(df.join(placed, KEYS))
 
     cand = in_cells(candidates)
@@ -233,18 +339,34 @@ def _search_cells(candidates: DataFrame, queries: DataFrame, k: int, chunk: int,
     pending = (ask.join(worst, KEYS, "left")
                .withColumn("reach", F.coalesce(reach, F.lit(4.0))).drop("_n", "_s"))
     rings = marks.drop("reach").join(radius, ["block", "cell"])
-    visits = with_marks(pending, rings, _stream(_reachable), f"{keys}, cell int")
+    visits = with_marks(pending, rings, _stream(_reachable), f"{keys}, cell long")
     again = queries.join(visits, KEYS)
     more = _search_units(cand, again, ["block", "cell"], k, chunk, result)
     return own.unionByName(more)
 
 
+def _search_dense(cand: DataFrame, ask: DataFrame, k: int, chunk: int, cell: int,
+                  result: str) -> DataFrame:
+    """Blocks of one unit, or asked by few, are searched whole; others by cells."""
+    sizes = (cand.groupBy("block").agg(F.count("*").alias("nc"))
+             .join(ask.groupBy("block").agg(F.count("*").alias("nq")), "block"))
+    large = sizes.filter((F.col("nc") > chunk) & (F.col("nq") > chunk)).select("block")
+    plain_c, plain_q = (df.join(large, "block", "left_anti") for df in (cand, ask))
+    found = _search_units(plain_c, plain_q, ["block"], k, chunk, result)
+    if not large.isEmpty():
+        big_c = cand.join(large, "block", "left_semi")
+        big_q = big_c if ask is cand else ask.join(large, "block", "left_semi")
+        found = found.unionByName(_search_cells(big_c, big_q, k, chunk, cell, result))
+    return found
+
+
 def nearest(queries: DataFrame, candidates: DataFrame | None = None, *, k: int = 1,
-            chunk: int = CHUNK, pivots: int = PIVOTS, cell: int = CELL) -> DataFrame:
+            chunk: int = CHUNK, cell: int = CELL) -> DataFrame:
     """The k most similar candidates of each query's block, never the query itself.
 
     Both sides are (id, block, vec) with ``id`` unique per block; ``candidates=None``
-    searches the queries among themselves. Returns (id, nearest_id, similarity,
+    searches the queries among themselves. ``vec`` is an array of numbers, or a struct of
+    ``terms`` (rising) and ``weights`` of length one at most, as word models give it. Returns (id, nearest_id, similarity,
     position); equal similarities rank by identifier, and a query alone in its block
     has no row.
     """
@@ -255,16 +377,10 @@ def nearest(queries: DataFrame, candidates: DataFrame | None = None, *, k: int =
     id_type = dict(known.dtypes)["id"]
     result = f"block string, f1 long, f2 long, similarity double, ids array<{id_type}>"
 
-    sizes = (cand.groupBy("block").agg(F.count("*").alias("nc"))
-             .join(ask.groupBy("block").agg(F.count("*").alias("nq")), "block"))
-    large = sizes.filter((F.col("nc") > chunk) & (F.col("nq") > chunk)).select("block")
-    plain_c, plain_q = (df.join(large, "block", "left_anti") for df in (cand, ask))
-    found = _search_units(plain_c, plain_q, ["block"], k + 1, chunk, result)
-    if large.limit(1).count():
-        big_c = cand.join(large, "block", "left_semi")
-        big_q = big_c if candidates is None else ask.join(large, "block", "left_semi")
-        found = found.unionByName(_search_cells(big_c, big_q, k + 1, chunk, pivots, cell,
-                                                result))
+    if _sparse(cand):
+        found = _search_units(cand, ask, ["block"], k + 1, chunk, result)
+    else:
+        found = _search_dense(cand, ask, k + 1, chunk, cell, result)
 
     entry = F.struct((-F.col("similarity")).alias("minus"), F.col("one").alias("id"))
     answers = (_best(found, k + 1).withColumn("one", F.explode("ids"))
@@ -279,25 +395,6 @@ def nearest(queries: DataFrame, candidates: DataFrame | None = None, *, k: int =
                     (F.col("_p") + 1).alias("position")))
 
 
-# -------------------------------------------------------------- text to vector
-def fit_text_vectors(df: DataFrame, text: str, dim: int = 256) -> PipelineModel:
-    """Hashed, inverse-frequency weighted words as a unit vector; no outside model."""
-    return Pipeline(stages=[
-        RegexTokenizer(inputCol=text, outputCol="_words", pattern=NO_WORD),
-        HashingTF(inputCol="_words", outputCol="_counts", numFeatures=dim),
-        IDF(inputCol="_counts", outputCol="_weighted"),
-        Normalizer(inputCol="_weighted", outputCol="_unit"),
-    ]).fit(df.select(F.coalesce(text, F.lit("")).alias(text)))
-
-
-def text_vectors(model: PipelineModel, df: DataFrame, text: str, out: str = "embedding"
-                 ) -> DataFrame:
-    """Add the vector of each text; null for a text without any word, which is not compared."""
-    return (model.transform(df.withColumn(text, F.coalesce(text, F.lit(""))))
-            .withColumn(out, F.when(F.size("_words") > 0, vector_to_array("_unit", "float32")))
-            .drop("_words", "_counts", "_weighted", "_unit"))
-
-
 # ------------------------------------------------------------ duplicate checks
 def vendor_block(vendor: Column, constituency: Column) -> Column:
     """Works are compared within a vendor and place; nobody in particular is no vendor."""

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +17,7 @@ from worksrisk.operators.joins import hot_keys, left_join, spread_left_join
 from worksrisk.operators.models import CrossCheck
 from worksrisk.operators.ranks import (left_percentile, left_positions, medians, melt,
                                        positions)
+from worksrisk.operators.texts import Encoder, WordModel
 from worksrisk.session import stored
 from worksrisk.sources.star import Star
 
@@ -37,7 +37,7 @@ class Engine:
     anomaly: iforest.AnomalyModel
     duplicates: DataFrame | None = None      # stored duplicate scores
     index: DataFrame | None = None           # stored vectors of known works
-    text: PipelineModel | None = None        # text to vector, for new descriptions
+    text: WordModel | Encoder | None = None  # the index's own model, for new descriptions
     cross_check: CrossCheck | None = None
 
 
@@ -259,7 +259,7 @@ def duplicate_details(rows: DataFrame, engine: Engine) -> DataFrame:
         asked = rows.join(fresh, KEY, "left_semi").select(
             KEY, F.concat(F.lit("request "), F.col(KEY)).alias("Work_ID"), "Vendor_Name",
             "Constituency", "Work_Description")
-        vectors = similarity.text_vectors(engine.text, asked, "Work_Description")
+        vectors = engine.text.vectors(asked, "Work_Description")
         live = similarity.new_work_duplicates(vectors, engine.index).select(
             KEY, *(F.col(c).alias(f"_n_{c}") for c in columns))
         found = (left_join(found, live, [KEY])

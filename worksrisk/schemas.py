@@ -43,12 +43,6 @@ DUPLICATES = _struct(
     Work_ID=_s, Vendor_Name=_s, Constituency=_s, duplicate_risk_score=_d,
     nearest_duplicate_work_id=_s, nearest_similarity=_d, duplicate_checked=_b,
 )
-EMBEDDINGS = T.StructType([
-    T.StructField("model_name", _s), T.StructField("work_id", _s),
-    T.StructField("vendor_name", _s), T.StructField("constituency", _s),
-    T.StructField("embedding", T.ArrayType(T.FloatType())),
-])
-
 STAR = {
     "works_master": WORKS,
     "mp_dimension": MEMBERS,

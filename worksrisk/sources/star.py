@@ -99,18 +99,32 @@ def read_duplicates(spark: SparkSession, path: str) -> DataFrame | None:
 
 def write_index(vectors: DataFrame, path: str, model_name: str,
                 mode: str = "errorifexists") -> None:
-    """Vectors clustered by block, so that a block's rows sit in few row groups."""
+    """Vectors clustered by block, so that a block's rows sit in few row groups.
+
+    ``model_name`` tells the model that made them; vectors are arrays of numbers, or terms
+    and weights.
+    """
+    dense = isinstance(vectors.schema["embedding"].dataType, T.ArrayType)
     out = vectors.select(
         F.lit(model_name).alias("model_name"), F.col("Work_ID").alias("work_id"),
         F.col("Vendor_Name").alias("vendor_name"), F.col("Constituency").alias("constituency"),
-        F.col("embedding").cast(T.ArrayType(T.FloatType())))
+        F.col("embedding").cast(T.ArrayType(T.FloatType())) if dense else F.col("embedding"))
     (out.repartitionByRange("vendor_name", "constituency", "work_id")
      .sortWithinPartitions("vendor_name", "constituency")
      .write.mode(mode).parquet(path))
 
 
-def read_index(spark: SparkSession, path: str) -> DataFrame | None:
+def read_index(spark: SparkSession, path: str, model_name: str | None = None) -> DataFrame | None:
+    """Stored vectors, or None. They must have been made by ``model_name``, if it is given.
+
+    Vectors of another model mean something else, so their similarities would be noise.
+    """
     try:
-        return spark.read.schema(S.EMBEDDINGS).parquet(path)
+        index = spark.read.parquet(path)
     except AnalysisException:
         return None
+    if model_name is not None:
+        other = index.select("model_name").filter(~F.col("model_name").eqNullSafe(model_name)).first()
+        if other is not None:
+            raise ValueError(f"the index holds vectors of {other[0]!r}, not of {model_name!r}")
+    return index

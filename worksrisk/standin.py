@@ -10,11 +10,10 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from worksrisk.operators import etl, iforest, similarity
+from worksrisk.operators import etl, iforest, similarity, texts
 from worksrisk.operators.features import master_dataset
 from worksrisk.operators.models import CrossCheck, train_cross_check
 from worksrisk.plans.scoring import Engine, composite_frame
@@ -231,10 +230,14 @@ def features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return master_dataset(star(spark, sf_dir))
 
 
-def text_model(spark: SparkSession, sf_dir: str) -> PipelineModel:
-    works = star(spark, sf_dir).works
-    return _once(spark, sf_dir, "text",
-                 lambda: similarity.fit_text_vectors(works, "Work_Description"))
+def text_model(spark: SparkSession, sf_dir: str) -> texts.WordModel:
+    """The words of all descriptions, counted once, stored and loaded."""
+    def make() -> texts.WordModel:
+        path = _folder(spark, sf_dir, "words")
+        texts.fit_words(star(spark, sf_dir).works, "Work_Description").save(path, "overwrite")
+        return texts.WordModel.load(spark, path)
+
+    return _once(spark, sf_dir, "text", make)
 
 
 def index(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -243,9 +246,9 @@ def index(spark: SparkSession, sf_dir: str) -> DataFrame:
         path = _folder(spark, sf_dir, "index")
         works = star(spark, sf_dir).works.select("Work_ID", "Vendor_Name", "Constituency",
                                                  "Work_Description")
-        vectors = similarity.text_vectors(text_model(spark, sf_dir), works, "Work_Description")
-        star_io.write_index(vectors, path, "hashed words", mode="overwrite")
-        return star_io.read_index(spark, path)
+        model = text_model(spark, sf_dir)
+        star_io.write_index(model.vectors(works, "Work_Description"), path, model.name, "overwrite")
+        return star_io.read_index(spark, path, model.name)
 
     return _once(spark, sf_dir, "index", make)
 
@@ -286,4 +289,10 @@ def engine(spark: SparkSession, sf_dir: str, check: CrossCheck | None = None) ->
 
 
 def cross_check(spark: SparkSession, sf_dir: str) -> CrossCheck:
-    return _once(spark, sf_dir, "cross_check", lambda: train_cross_check(composite(spark, sf_dir)))
+    """Trained once, stored, and loaded like any stored one."""
+    def make() -> CrossCheck:
+        path = _folder(spark, sf_dir, "cross-check")
+        train_cross_check(composite(spark, sf_dir)).save(path)
+        return CrossCheck.load(spark, path)
+
+    return _once(spark, sf_dir, "cross_check", make)
