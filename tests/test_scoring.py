@@ -169,7 +169,7 @@ def test_composite_is_the_weighted_sum(spark, sf):
 def test_cross_check_learns_and_survives_storage(spark, sf, tmp_path):
     df = standin.composite(spark, sf)
     model = models.train_cross_check(df, trees=8, depth=4, rate=0.3, together=2)
-    assert model.metrics["r2"] > 0.4
+    assert model.metrics["r2"] > 0.35
     model.save(str(tmp_path / "x"))
     again = models.CrossCheck.load(spark, str(tmp_path / "x"))
     some = df.orderBy("Work_ID").limit(20)
