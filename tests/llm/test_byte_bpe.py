@@ -31,7 +31,7 @@ def test_tree_gives_the_library_s_tokens(known):
     for text in texts(1500):
         found = [i for u in units(text) for i in bpe.encode_unit(u)]
         assert found == known.encode_ordinary(text), repr(text)
-        assert bpe.decode(found) == text.encode()
+        assert bpe.decode(tuple(found)) == text.encode()
 
 
 def test_long_runs_are_joined_right(known):
@@ -49,8 +49,31 @@ def test_join_of_any_two_encodings(known):
     for _ in range(500):
         data = bytes(draw.choices(b"theansiongr ", k=draw.randint(2, 60)))
         at = draw.randint(0, len(data))
-        joined = bpe.join(list(bpe.merge(data[:at])), list(bpe.merge(data[at:])))
-        assert tuple(joined) == bpe.merge(data)
+        joined = bpe.join(bpe.merge(data[:at]), bpe.merge(data[at:]))
+        assert joined == bpe.merge(data)
+
+
+def test_matches_of_the_tables_are_trees():
+    """Most matches are joined from halves, and every join is checked against plain merging."""
+    bpe, joined = byte_bpe.load(PATH, P.PATTERN), []
+    plain = bpe.join
+
+    def join(left, right):
+        found = plain(left, right)
+        joined.append(found)
+        assert found == bpe.merge(bpe.decode(left) + bpe.decode(right))
+        return found
+
+    bpe.join = join
+    matches = set()
+    docs = pd.read_parquet("/root/testdata/sf0.01/documents.parquet", columns=["text"])["text"].dropna()
+    for text in docs[:60]:
+        matches.update(bpe.matches(text))
+    for match in matches:
+        bpe.encode_bytes(match.encode())
+    # tokens as they stand and the halves met before need none
+    assert len(joined) > len(matches) / 2
+    assert byte_bpe.up([b"a", b"b", b"c"]) == b"abc" and byte_bpe.up([]) == b""
 
 
 def test_units_are_the_text_again():

@@ -7,8 +7,11 @@ encoding of their own two-token string. So once the re-encoded window ends, on b
 in a token that pairs with the untouched token outside, everything outside provably stays;
 otherwise the window grows.
 
-Text is cut into the matches of the pre-tokeniser's pattern, each encoded on its own. Long
-runs without a break cost no more than short ones, because the tree works on halves.
+Text is cut into the matches of the pre-tokeniser's pattern, and each match is a tree of halves
+down to a few bytes. Short halves and re-encoded windows recur all the time, so both are
+remembered; a long run without a break costs no more than the same bytes in short matches.
+Decoding concatenates up the same kind of tree: the halves of a match's tokens, then
+neighbouring pieces of a text.
 """
 
 from __future__ import annotations
@@ -25,20 +28,22 @@ from pyspark.sql import functions as F
 from worksrisk.llm.common import small_batches
 from worksrisk.llm.units import REMEMBER, Remembered, kept, units
 
-LEAF = 24            # bytes that are merged directly
-WINDOW = 2           # tokens on each side of a seam that are re-encoded at first
+LEAF = 3             # bytes that are merged directly
+WINDOW = 1           # tokens on each side of a seam that are re-encoded at first
+HALF = 12            # longest halves that are remembered
 
 
 class Bpe:
     """Encoder and decoder for a vocabulary of byte strings with ranks."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, remember: int = REMEMBER):
+    def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks = ranks
         self.bytes_of = {rank: token for token, rank in ranks.items()}
         self.matches = regex.compile(pattern).findall
         self.pairs: Remembered = Remembered(self._pair_fits)
-        self.words: Remembered = Remembered(
-            lambda word: self.encode_bytes(word.encode()), remember)
+        self.windows: Remembered = Remembered(
+            lambda seam: self.merge(self.decode(seam[0] + seam[1])))
+        self.halves: Remembered = Remembered(self._tree)
 
     # ------------------------------------------------------------- the monoid
     def merge(self, data: bytes) -> tuple[int, ...]:
@@ -61,21 +66,24 @@ class Bpe:
     def _pair_fits(self, pair: tuple[int, int]) -> bool:
         return self.merge(self.bytes_of[pair[0]] + self.bytes_of[pair[1]]) == pair
 
-    def join(self, left: list[int], right: list[int]) -> list[int]:
+    def join(self, left: tuple[int, ...], right: tuple[int, ...]) -> tuple[int, ...]:
         """The encoding of the joined bytes, from the encodings of both parts."""
         if not left or not right:
             return left + right
-        i, j = min(WINDOW, len(left)), min(WINDOW, len(right))
+        i, j = WINDOW, WINDOW
         while True:
-            window = self.merge(self.decode(left[len(left) - i:]) + self.decode(right[:j]))
-            fits_left = i == len(left) or self.pairs[left[len(left) - i - 1], window[0]]
-            fits_right = j == len(right) or self.pairs[window[-1], right[j]]
+            window = self.windows[left[-i:], right[:j]]
+            # an end that is as it was still fits the token outside
+            fits_left = (i >= len(left) or window[0] == left[-i]
+                         or self.pairs[left[-i - 1], window[0]])
+            fits_right = (j >= len(right) or window[-1] == right[j - 1]
+                          or self.pairs[window[-1], right[j]])
             if fits_left and fits_right:
-                return left[:len(left) - i] + list(window) + right[j:]
+                return left[:-i] + window + right[j:]
             if not fits_left:
-                i = min(2 * i, len(left))
+                i *= 2
             if not fits_right:
-                j = min(2 * j, len(right))
+                j *= 2
 
     def encode_bytes(self, data: bytes) -> tuple[int, ...]:
         """Tokens of one match: halves are encoded and joined, small pieces merged directly.
@@ -83,57 +91,78 @@ class Bpe:
         A match that is a token is that token, as in the library.
         """
         whole = self.ranks.get(data)
-        return tuple(self._tree(data)) if whole is None else (whole,)
+        return self._tree(data) if whole is None else (whole,)
 
-    def _tree(self, data: bytes) -> list[int]:
+    def _tree(self, data: bytes) -> tuple[int, ...]:
         if len(data) <= LEAF:
-            return list(self.merge(data))
+            return self.merge(data)
         middle = len(data) // 2
-        return self.join(self._tree(data[:middle]), self._tree(data[middle:]))
-
-    def decode(self, ids) -> bytes:
-        """Concatenation is the same monoid's image on bytes, so one flat join gives the tree's."""
-        return b"".join(map(self.bytes_of.__getitem__, ids))
+        half = self.halves.__getitem__ if middle < HALF else self._tree
+        return self.join(half(data[:middle]), half(data[middle:]))
+
+    def decode(self, ids: tuple[int, ...]) -> bytes:
+        """Bytes of both halves, one after the other."""
+        n, bytes_of = len(ids), self.bytes_of
+        if n == 2:
+            return bytes_of[ids[0]] + bytes_of[ids[1]]
+        if n < 2:
+            return bytes_of[ids[0]] if ids else b""
+        return self.decode(ids[:n // 2]) + self.decode(ids[n // 2:])
 
     # ------------------------------------------------------------------ texts
     def encode_unit(self, text: str) -> tuple[int, ...]:
-        words = self.words
-        return tuple(i for word in self.matches(text) for i in words[word])
+        return tuple(i for word in self.matches(text) for i in self.encode_bytes(word.encode()))
+
+
+def up(parts: list[bytes]) -> bytes:
+    """All parts in one, neighbours joined level by level."""
+    while len(parts) > 1:
+        parts = [a + b for a, b in zip(parts[::2], parts[1::2])] + (parts[-1:] if len(parts) % 2 else [])
+    return parts[0] if parts else b""
 
 
-def load(path: str, pattern: str, remember: int = REMEMBER) -> Bpe:
+def load(path: str, pattern: str) -> Bpe:
     """Ranks from a file with one base64 token and its rank in each line."""
     with open(path, "rb") as lines:
         fields = (line.split() for line in lines)
         ranks = {base64.b64decode(f[0]): int(f[1]) for f in fields if len(f) == 2}
-    return Bpe(ranks, pattern, remember)
+    return Bpe(ranks, pattern)
 
 
 def _known_units(path: str, pattern: str, digest: bool, remember: int) -> Remembered:
     """Number of tokens, ids (or their decimal text) and decoded bytes of each unit seen."""
-    bpe = load(path, pattern, remember)
+    bpe = load(path, pattern)
 
-    def encode(unit: str):
-        ids = bpe.encode_unit(unit)
-        return len(ids), b"".join(b" %d" % i for i in ids) if digest else ids, bpe.decode(ids)
+    def of_word(word: str):
+        ids = bpe.encode_bytes(word.encode())
+        return len(ids), b" " + b" ".join([b"%d" % i for i in ids]) if digest else ids, bpe.decode(ids)
 
-    return Remembered(encode, remember)
+    words = Remembered(of_word, remember)
+
+    def of_unit(unit: str):
+        found = bpe.matches(unit)
+        if len(found) == 1:
+            return words[found[0]]
+        numbers, some, pieces = zip(*map(words.__getitem__, found))
+        return sum(numbers), b"".join(some) if digest else sum(some, ()), up(list(pieces))
+
+    return Remembered(of_unit, remember)
 
 
 def _each(batches: Iterator[pa.RecordBatch], *how):
     known = kept(("bpe", *how), lambda: _known_units(*how))
-    digest = how[2]
+    get, digest = known.__getitem__, how[2]
     for batch in batches:
         counts, ids, decoded = [], [], []
         for text in batch.column("text").to_pylist():
-            found = [known[u] for u in units(text)]
-            counts.append(sum(f[0] for f in found))
-            data = b"".join(f[2] for f in found)
+            numbers, some, pieces = zip(*map(get, units(text))) if text else ((), (), ())
+            counts.append(sum(numbers))
+            data = up(list(pieces))
             if digest:
-                ids.append(hashlib.sha256(b"".join(f[1] for f in found)[1:]).hexdigest())
+                ids.append(hashlib.sha256(b"".join(some)[1:]).hexdigest())
                 decoded.append(hashlib.sha256(data).hexdigest())
             else:
-                ids.append([i for f in found for i in f[1]])
+                ids.append([i for s in some for i in s])
                 decoded.append(data)
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), pa.array(counts, pa.int64()),
