@@ -86,3 +86,15 @@ def test_query_against_the_library(spark, sf):
     docs = pd.read_parquet(f"{sf}/documents.parquet")
     got = sorted(map(tuple, queries.op3_token_files(spark, sf).collect()), key=lambda r: r[1])
     assert got == expected(list(zip(docs.doc_id, docs.text)))
+
+
+def test_plain_pieces_are_the_pre_tokeniser_s_matches():
+    """Every piece that is cut without the library is cut as the library would."""
+    encoder = token_files.Encoder(P.path("byte_bpe_50k.json"))
+    split = encoder.tokenizer.pre_tokenizer.pre_tokenize_str
+    for rest in ["word", "word,", "one.\ntwo", "é!!", "ab***\nÀcd,", "x\ny\nz."]:
+        found = token_files.plain_matches(rest)
+        wanted = [(" " + rest)[a:b] for _, (a, b) in split(" " + rest)]
+        assert found == wanted, rest
+    for rest in ["", "a1", "don't", "a\n", "\na", "a\n\nb", "a\tb", "日本", ".", "a-b", "a.b"]:
+        assert token_files.plain_matches(rest) is None, rest

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from worksrisk.llm import files, simple8b
 from worksrisk.llm.common import small_batches
-from worksrisk.llm.units import LONGEST, Remembered, cuts_are_safe, kept, units
+from worksrisk.llm.units import Remembered, cuts_are_safe, kept, units
 from worksrisk.session import Staging
 
 MAGIC = b"S8TOKENS"
@@ -33,12 +33,38 @@ REMEMBER = 500_000
 
 
 # ----------------------------------------------------------------------- tokens
+SIGNS, LAST_LETTER = ".,;:!?*$&%#|()", "\u052f"
+
+
+def plain_matches(rest: str) -> list[str] | None:
+    """The pre-tokeniser's matches of a space and ``rest``, or None for all but plain forms.
+
+    Plain are lines of letters with signs after them. A run of letters is one match, together
+    with the space before it; so is a run of signs, and a line break before a letter. Letters of
+    younger scripts are not plain: libraries may not agree on them.
+    """
+    found, blank = [], " "
+    for line in rest.split("\n"):
+        word = line.rstrip(SIGNS)
+        if not word.isalpha() or not word.isascii() and max(word) > LAST_LETTER:
+            return None
+        found.append(blank + word)
+        if len(word) < len(line):
+            found.append(line[len(word):])
+        found.append("\n")
+        blank = ""
+    found.pop()
+    return found
+
+
 class Encoder:
     """Ids of whole texts by a tokenizer file of the tokenizers library.
 
     For plain byte-level tokenizers a text is cut where the pre-tokeniser cuts in any case, and
-    the ids of pieces seen before are remembered; the library encodes the others in batches.
-    Texts that hold an added token's string, and other kinds of tokenizers, are encoded whole.
+    the ids of pieces seen before are remembered. Of the others, those of a plain form are cut
+    into words, signs and line breaks, which recur more often than whole pieces; the library
+    encodes what is then still unknown, in batches. Texts that hold an added token's string,
+    and other kinds of tokenizers, are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -51,7 +77,7 @@ class Encoder:
         self.plain = (first.get("type") == "ByteLevel" and not first.get("add_prefix_space")
                       and first.get("use_regex", True) and not parts.get("normalizer"))
         self.added = [t["content"] for t in parts.get("added_tokens", [])]
-        self.known = Remembered(lambda rest: self._ids([" " + rest])[0], REMEMBER)
+        self.known, self.matches = Remembered(None, REMEMBER), Remembered(None, REMEMBER)
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes()
@@ -70,20 +96,20 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         cut = [self._cut(t) for t in texts]
-        unseen = self.known.unseen(set().union(*(rest for _, rest in cut)))
-        long: dict[str, bytes] = {}   # not worth remembering beyond this call
-        for i in range(0, len(unseen), 10_000):
-            part = unseen[i:i + 10_000]
-            for rest, ids in zip(part, self._ids([" " + rest for rest in part])):
-                if len(rest) > LONGEST:
-                    long[rest] = ids
-                else:
-                    self.known.keep(rest, ids)
-        get = self.known.__getitem__
-        if long:
-            get = lambda rest: long[rest] if rest in long else self.known[rest]
+        pieces, unseen = self.known.found(set().union(*(rest for _, rest in cut)))
+        parts = [plain_matches(rest) or [" " + rest] for rest in unseen]
+        matches, new = self.matches.found(set().union(*parts))
+        for i in range(0, len(new), 10_000):
+            some = new[i:i + 10_000]
+            ids = dict(zip(some, self._ids(some)))
+            matches |= ids
+            self.matches.keep_all(ids)
+        of_match = matches.__getitem__
+        fresh = {rest: b"".join(map(of_match, part)) for rest, part in zip(unseen, parts)}
+        pieces |= fresh
+        self.known.keep_all(fresh)
         heads = self._ids([first for first, _ in cut])
-        return [np.frombuffer(b"".join([head, *map(get, rest)]), np.uint32)
+        return [np.frombuffer(b"".join([head, *map(pieces.__getitem__, rest)]), np.uint32)
                 for head, (_, rest) in zip(heads, cut)]
 
 
@@ -147,8 +173,8 @@ def _write(batches: Iterator[pa.RecordBatch], path: str, end_id: int, folder: st
 
     held = 0
     for batch in batches:
-        for lo in range(0, batch.num_rows, 256):
-            rows = batch.slice(lo, 256)
+        for lo in range(0, batch.num_rows, 1000):
+            rows = batch.slice(lo, 1000)
             if out is None:
                 out = files.open_new(name)
                 out.write(MAGIC)

@@ -33,8 +33,27 @@ class Remembered(dict):
             self.clear()
         self[key] = value
 
-    def unseen(self, keys: set) -> list:
-        return list(keys.difference(self).difference(self.older))
+    def keep_all(self, items: dict) -> None:
+        """Several at once; the long ones are left out."""
+        if len(self) + len(items) > self.half:
+            self.older = dict(self)
+            self.clear()
+        self.update((k, v) for k, v in items.items() if len(k) <= LONGEST)
+
+    def found(self, keys: set) -> tuple[dict, list]:
+        """What is remembered of these keys, and the keys that are not."""
+        now, old, known, again, unseen = self.get, self.older.get, {}, {}, []
+        for key in keys:
+            value = now(key)
+            if value is None:
+                value = old(key)
+                if value is None:
+                    unseen.append(key)
+                    continue
+                again[key] = value
+            known[key] = value
+        self.keep_all(again)
+        return known, unseen
 
     def __missing__(self, key):
         value = self.older.get(key)
