@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +14,7 @@ from oracle_queries import ORACLES
 from worksrisk import schemas as S
 from worksrisk import standin
 from worksrisk.functions import cells, rules
-from worksrisk.operators import browse, etl, iforest, models, ranks, similarity, texts
+from worksrisk.operators import boosting, browse, etl, iforest, models, ranks, similarity, texts
 from worksrisk.operators import features as feat
 from worksrisk.plans import scoring
 from worksrisk.session import storage_folder, stored
@@ -561,6 +564,104 @@ def composite_known(spark: SparkSession, sf: str) -> DataFrame:
                         rules.recommended_action(level).alias("action"))
 
 
+def _encoder() -> texts.Encoder:
+    """A model that SQL can repeat: how often three letters stand in a description."""
+    def load():
+        return lambda told: np.array([[t.count(c) + 0.5 for c in "aeo"] for t in told], np.float32)
+
+    return texts.Encoder("three letters", load)
+
+
+def _known_cross_check() -> models.CrossCheck:
+    """Two trees of known nodes, with a side for missing values."""
+    categories = {"NOC_Status": ["Pending"], "House": []}
+    names = models.cross_check_inputs(categories)[1]
+    at = {name: i for i, name in enumerate(names)}
+    edges = [{"Compliance_Score": [40.0], "Cost_per_Unit": [1000.0], "Issues_Count": [0.0],
+              "NOC_Status_Pending": [0.0]}.get(n, []) for n in names]
+    first, second = boosting.Tree.blank(2), boosting.Tree.blank(2)
+    first.feature[[0, 1]] = at["Compliance_Score"], at["Issues_Count"]
+    first.missing_left[0] = True
+    first.value[[2, 3, 4]] = -6.4, 4.0, 22.3
+    second.feature[[0, 2]] = at["Cost_per_Unit"], at["NOC_Status_Pending"]
+    second.value[[1, 5, 6]] = 1.5, 2.7, 30.5
+    return models.CrossCheck(boosting.Boosted(names, edges, 30.0, [first, second], 2), categories, {})
+
+
+def _known_engine(spark: SparkSession, sf: str) -> scoring.Engine:
+    """All parts of scoring with known models; tables, vectors and distributions are the data's."""
+    star, forest = standin.star(spark, sf), _known_forest(spark, sf)
+    df = standin.features(spark, sf)
+    scores = ranks.reference_counts(iforest.raw_scores(df, forest), ["raw_score"])
+    filled = feat.impute_vendor_features(df, forest.medians)
+    reference = ranks.reference_counts(feat.drop_incomplete(filled), list(S.REFERENCE_FEATURES))
+    forest = replace(forest, scores=stored(scores), reference=stored(reference))
+    checked = F.col("Days_to_Sanction") % 2 == 0
+    duplicates = star.works.select(
+        "Work_ID", "Vendor_Name", "Constituency",
+        F.when(checked, F.col("Sanction_Amount") % 101).otherwise(F.lit(0.0)).alias("duplicate_risk_score"),
+        F.when(checked, F.concat("Work_ID", F.lit("-twin"))).alias("nearest_duplicate_work_id"),
+        F.when(checked, F.lit(0.9)).otherwise(F.lit(0.0)).alias("nearest_similarity"),
+        checked.alias("duplicate_checked"))
+    encoder = _encoder()
+    path = f"{storage_folder(spark)}/known-index-{uuid.uuid4().hex}"
+    star_io.write_index(encoder.vectors(star.works, "Work_Description"), path, encoder.name)
+    return scoring.Engine(star, forest, duplicates, star_io.read_index(spark, path, encoder.name),
+                          encoder, _known_cross_check())
+
+
+def score_works_known(spark: SparkSession, sf: str) -> DataFrame:
+    """Every work as it is stored, and once more as a new work, by known models."""
+    works = standin.star(spark, sf).works
+    fresh = works.select(
+        F.concat(F.lit("NEW/"), "Work_ID").alias("Work_ID"), "Vendor_Name", "Constituency",
+        "State", "Constituency_ID", "Work_Description",
+        F.lit("Vendor Identification").alias("Work_Status"), "Sanction_Amount",
+        "Disbursed_Amount", "Cost_per_Unit", F.lit("Pending").alias("NOC_Status"),
+        F.lit("Vendor issues").alias("Issues_Encountered"))
+    found = scoring.score_works(works.select("Work_ID").unionByName(fresh, allowMissingColumns=True),
+                                _known_engine(spark, sf))
+    return found.select(
+        "work_id", "final_risk_score", "risk_level", "components.*",
+        F.col("duplicate_detail.checked").alias("checked"),
+        F.col("duplicate_detail.nearest_duplicate_work_id").alias("nearest_id"),
+        F.col("duplicate_detail.nearest_similarity").alias("similarity"),
+        "cross_check_score", F.concat_ws(" | ", "top_risk_factors").alias("factors"))
+
+
+def investigation_known(spark: SparkSession, sf: str) -> DataFrame:
+    """Reports of all works by known models, lists as text in their order."""
+    report = scoring.investigate(standin.star(spark, sf).works, _known_engine(spark, sf))
+    why = F.transform("why", lambda w: F.concat_ws(
+        "; ", w["label"], w["severity"], w["icon"], F.format_string("%.2f", w["score"]), w["detail"]))
+    near = F.transform("nearby_similar_works", lambda w: F.concat_ws(
+        "; ", w["work_id"], w["vendor_name"], w["work_status"],
+        F.format_string("%.2f", w["cost_per_unit"]), F.format_string("%.3f", w["similarity"])))
+    history = F.col("contractor_history")
+    exact = ("avg_timeline_days", "avg_cost_overrun_ratio", "quality_rating", "vendor_risk_score")
+    return report.select(
+        "work_id", "risk_score", "risk_level", F.concat_ws(" | ", why).alias("why"),
+        F.concat_ws(" | ", near).alias("nearby"),
+        history["vendor_name"].alias("vendor_name"), history["total_projects"].alias("total_projects"),
+        *(F.round(history[c], 6).alias(c) for c in exact),
+        history["monopoly_score"].alias("monopoly_score"),
+        history["other_flagged_duplicate_count"].alias("other_flagged_duplicate_count"),
+        "historical_benchmark.*", "recommended_action", "cross_check_score")
+
+
+BOOST_EDGES = {"Work_Quantity": [5.0, 10.0, 20.0, 30.0, 40.0], "Days_to_Complete": [20.0, 40.0, 60.0, 80.0],
+               "Days_to_Sanction": [10.0, 20.0, 30.0]}
+
+
+def boosted_known(spark: SparkSession, sf: str) -> DataFrame:
+    """Two trees grown on given bins: days to complete are missing for most works."""
+    works = standin.star(spark, sf).works.withColumn("label", F.floor(F.col("Disbursed_Amount") / 100))
+    x = F.array(*(F.col(c).cast("double") for c in BOOST_EDGES))
+    model = boosting.fit(works, "Work_ID", "label", x, list(BOOST_EDGES), boosting.Params(
+        trees=2, depth=2, rate=0.5, rows=1, columns=1), edges=list(BOOST_EDGES.values()), base=300.0)
+    return model.predict(works, "Work_ID", x).select("Work_ID", F.round("prediction", 6).alias("prediction"))
+
+
 def feature_scaling(spark: SparkSession, sf: str) -> DataFrame:
     df = standin.features(spark, sf)
     filled = feat.impute_vendor_features(df, feat.median_values(feat.feature_medians(df)))
@@ -615,7 +716,8 @@ def queries() -> dict[str, Query]:
         what_if_overlay, contractor_history, iforest_scores, composite_full,
         composite_distribution, score_works, investigation_report,
         cross_check, cross_check_importances, baseline_rf,
-        forest_scores_known, composite_known, feature_scaling, train_test_split,
+        forest_scores_known, composite_known, score_works_known, investigation_known, boosted_known,
+        feature_scaling, train_test_split,
         regression_metrics, cross_check_inputs,
     )
     named = {f.__name__: f for f in plain}

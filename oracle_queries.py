@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from worksrisk.functions.rules import DISAGREEMENT, NO_REASON, REASON_TEXT, WHY_TEXT  # fixed texts
+
 # ------------------------------------------------------------ star schema in SQL
 LINES = """
 lines AS MATERIALIZED (
@@ -571,3 +573,197 @@ ORACLES: dict[str, str] = {
         FROM signals"""),
 }
 ORACLES |= {f"{name}_cells": ORACLES[name] for name in ("duplicate_nearest", "nearby_top5")}
+
+
+# ------------------------------------------------ scores and reports by known models
+def _half_up(value: str, digits: int) -> str:
+    """Rounded as the decimal text of the number says."""
+    return f"round(({value})::VARCHAR::DECIMAL(34, 16), {digits})::DOUBLE"
+
+
+_PARTS = ("anomaly", "compliance", "contractor", "spatial", "duplicate")
+_LEVEL = """CASE WHEN {0} >= 75 THEN 'Critical' WHEN {0} >= 50 THEN 'High'
+  WHEN {0} >= 25 THEN 'Medium' ELSE 'Low' END"""
+_REASONS = "\n    UNION ALL ".join(
+    f"SELECT work_id, {name} AS s, {i} AS pos, '{REASON_TEXT[name]}' AS text FROM parts WHERE {name} > {limit}"
+    for i, (name, limit) in enumerate((("compliance", 40), ("contractor", 40), ("anomaly", 60), ("spatial", 60))))
+_DUPLICATE = REASON_TEXT["duplicate"]
+
+RISK = REFERENCE + """,
+paths AS MATERIALIZED (
+  SELECT *, ((CASE WHEN coalesce(Cost_per_Unit, 0) <= 2000 THEN 6.0
+                WHEN coalesce(Progress_Gap, 0) <= 0.5 THEN 3.0 ELSE 2.0 END)::DOUBLE
+             + (CASE WHEN coalesce(Days_to_Sanction, 0) <= 30 THEN 5.0 ELSE 3.5 END)::DOUBLE) / 2 AS path
+  FROM signals),
+letters AS MATERIALIZED (
+  SELECT *, [length(Work_Description) - length(replace(Work_Description, 'a', '')) + 0.5,
+             length(Work_Description) - length(replace(Work_Description, 'e', '')) + 0.5,
+             length(Work_Description) - length(replace(Work_Description, 'o', '')) + 0.5]::DOUBLE[] AS v
+  FROM paths),
+twins AS MATERIALIZED (  -- a new work's nearest stored work of the same vendor and place
+  SELECT a.Work_ID, b.Work_ID AS other, list_cosine_similarity(a.v, b.v) AS sim
+  FROM letters a JOIN letters b ON a.Vendor_Name = b.Vendor_Name AND a.Constituency = b.Constituency
+  WHERE a.Vendor_Name <> 'Unknown'
+  QUALIFY row_number() OVER (PARTITION BY a.Work_ID
+    ORDER BY round(list_cosine_similarity(a.v, b.v), 12) DESC, b.Work_ID) = 1),
+raw AS MATERIALIZED (
+  SELECT Work_ID AS work_id, path, compliance, contractor, spatial,
+         CASE WHEN Days_to_Sanction % 2 = 0 THEN Sanction_Amount % 101 ELSE 0.0 END::DOUBLE AS duplicate,
+         Days_to_Sanction % 2 = 0 AS checked,
+         CASE WHEN Days_to_Sanction % 2 = 0 THEN Work_ID || '-twin' END AS nearest_id,
+         CASE WHEN Days_to_Sanction % 2 = 0 THEN 0.9 ELSE 0.0 END::DOUBLE AS similarity,
+         30.0 + CASE WHEN Compliance_Score > 40 THEN -6.4 WHEN n_issues > 0 THEN 22.3 ELSE 4.0 END
+           + CASE WHEN Cost_per_Unit <= 1000 THEN 1.5 WHEN NOC_Status = 'Pending' THEN 30.5 ELSE 2.7 END
+           AS cross_check
+  FROM paths
+  UNION ALL
+  SELECT 'NEW/' || p.Work_ID, ((CASE WHEN Cost_per_Unit <= 2000 THEN 6.0
+             WHEN least(coalesce(Disbursed_Amount / nullif(Sanction_Amount, 0), 0.0), 1.5) - 0.35 <= 0.5
+               THEN 3.0 ELSE 2.0 END)::DOUBLE + 5.0) / 2,
+         0.35 * 100 + 0.30 * 100 + 0.15 * 50 + 0.20 * 50,
+         0.45 * 50 + 0.20 * (15 / 35.0::DOUBLE * 100) + 0.20 * 50, 47.0,
+         CASE WHEN sim IS NULL OR sim <= 0.85 THEN 0.0 WHEN sim >= 0.98 THEN 100.0
+           ELSE (sim - 0.85) / (0.98 - 0.85) * 100 END::DOUBLE,
+         sim IS NOT NULL, other, coalesce(sim, 0.0),
+         30.0 + 22.3 + CASE WHEN Cost_per_Unit <= 1000 THEN 1.5 ELSE 30.5 END
+  FROM paths p LEFT JOIN twins t ON t.Work_ID = p.Work_ID),
+by_path AS MATERIALIZED (SELECT path, count(*) AS n FROM paths GROUP BY 1),
+below AS MATERIALIZED (
+  SELECT p.path, coalesce((SELECT sum(n) FROM by_path b WHERE b.path < p.path), 0)::DOUBLE
+           / (SELECT sum(n) FROM by_path) AS pct
+  FROM (SELECT DISTINCT path FROM raw) p),
+parts AS MATERIALIZED (
+  SELECT raw.*, greatest(0.0::DOUBLE, least(100.0::DOUBLE, (1 - pct) * 100)) AS anomaly,
+         greatest(0.0::DOUBLE, least(100.0::DOUBLE, 0.25 * greatest(0.0::DOUBLE, least(100.0::DOUBLE, (1 - pct) * 100))
+           + 0.20 * compliance + 0.20 * contractor + 0.15 * spatial + 0.20 * duplicate)) AS score
+  FROM raw JOIN below USING (path)),
+reasons AS MATERIALIZED (
+  SELECT work_id, string_agg(text, ' | ' ORDER BY s DESC, pos) AS text FROM (
+    SELECT * FROM (
+    """ + _REASONS + """
+    UNION ALL SELECT work_id, duplicate, 4, printf('""" + _DUPLICATE + """', similarity, nearest_id)
+      FROM parts WHERE checked AND duplicate > 0)
+    QUALIFY row_number() OVER (PARTITION BY work_id ORDER BY s DESC, pos) <= 3)
+  GROUP BY 1)"""
+
+_ROUNDED = ", ".join(f"{_half_up(p, 2)} AS {p}" for p in _PARTS)
+
+ORACLES["score_works_known"] = _with(RISK, f"""
+    SELECT work_id, {_half_up("score", 2)} AS final_risk_score, {_LEVEL.format("score")} AS risk_level,
+      {_ROUNDED}, checked, nearest_id, {_half_up("similarity", 3)} AS similarity,
+      {_half_up("cross_check", 2)} AS cross_check_score,
+      coalesce(text, '{NO_REASON}') || CASE WHEN abs(cross_check - score) > 25
+        THEN ' | ' || printf('{DISAGREEMENT.replace("'", "''")}', cross_check, score) ELSE '' END AS factors
+    FROM parts LEFT JOIN reasons USING (work_id)""")
+
+_ICON = "CASE WHEN s >= 70 THEN 'critical; \U0001F534' ELSE 'warning; \U0001F7E0' END"
+
+ORACLES["investigation_known"] = _with(RISK + f""",
+panel AS MATERIALIZED (
+  SELECT work_id, string_agg(label || '; ' || {_ICON} || '; ' || printf('%.2f', {_half_up("s", 2)})
+           || coalesce('; ' || detail, ''), ' | ' ORDER BY {_half_up("s", 2)} DESC, pos) AS why
+  FROM (
+    SELECT work_id, 0 AS pos, 'Duplicate similarity' AS label, {_half_up("duplicate", 2)} AS s,
+           CASE WHEN checked THEN printf('Similarity %.2f to %s', similarity, nearest_id) END AS detail FROM parts
+    UNION ALL SELECT Work_ID, 1, 'Cost anomaly', cost_anomaly, '{WHY_TEXT["Cost anomaly"]}' FROM extremes
+    UNION ALL SELECT Work_ID, 2, 'Timeline anomaly', timeline_anomaly, '{WHY_TEXT["Timeline anomaly"]}'
+      FROM extremes
+    UNION ALL SELECT work_id, 3, 'Compliance gaps', {_half_up("compliance", 2)}, '{WHY_TEXT["Compliance gaps"]}'
+      FROM parts)
+  WHERE s >= 40 GROUP BY 1),
+shapes AS MATERIALIZED (
+  SELECT Spatial_Cluster_ID AS place, v, list(Work_ID ORDER BY Work_ID)[1:6] AS ids FROM letters GROUP BY 1, 2),
+around AS MATERIALIZED (
+  SELECT place, v, id, sim FROM (
+    SELECT a.place, a.v, unnest(b.ids) AS id, list_cosine_similarity(a.v, b.v) AS sim
+    FROM shapes a JOIN shapes b ON a.place = b.place)
+  QUALIFY row_number() OVER (PARTITION BY place, v ORDER BY round(sim, 12) DESC, id) <= 6),
+near AS MATERIALIZED (
+  SELECT w.Work_ID AS work_id, id, sim FROM letters w JOIN around ON place = Spatial_Cluster_ID AND around.v = w.v
+  WHERE id <> w.Work_ID
+  QUALIFY row_number() OVER (PARTITION BY w.Work_ID ORDER BY round(sim, 12) DESC, id) <= 5),
+nearby AS MATERIALIZED (
+  SELECT near.work_id, string_agg(id || '; ' || Vendor_Name || '; ' || Work_Status || '; '
+           || printf('%.2f', {_half_up("Cost_per_Unit", 2)}) || '; ' || printf('%.3f', {_half_up("sim", 3)}),
+           ' | ' ORDER BY round(sim, 12) DESC, id) AS nearby
+  FROM near JOIN master ON master.Work_ID = id GROUP BY 1),
+flagged AS MATERIALIZED (
+  SELECT Vendor_Name, count(*) FILTER (WHERE Days_to_Sanction % 2 = 0 AND Sanction_Amount % 101 > 0) AS n
+  FROM master WHERE Vendor_Name <> 'Unknown' GROUP BY 1),
+peers AS MATERIALIZED (
+  SELECT Work_ID, Work_Scope_Unit, count(*) OVER u AS size, med, Cost_per_Unit AS cost,
+         (rank() OVER (PARTITION BY Work_Scope_Unit ORDER BY Cost_per_Unit) - 1) / count(*) OVER u AS pct
+  FROM master JOIN (SELECT Work_Scope_Unit, median(Cost_per_Unit) AS med FROM master GROUP BY 1)
+    USING (Work_Scope_Unit)
+  WINDOW u AS (PARTITION BY Work_Scope_Unit))""", f"""
+    SELECT p.work_id, {_half_up("score", 2)} AS risk_score, {_LEVEL.format("score")} AS risk_level,
+      coalesce(why, '') AS why, coalesce(nearby, '') AS nearby, f.Vendor_Name AS vendor_name,
+      Vendor_Total_Projects_Count AS total_projects,
+      round(Vendor_Avg_Timeline_Days, 6) AS avg_timeline_days,
+      round(Vendor_Avg_Cost_Overrun_Ratio, 6) AS avg_cost_overrun_ratio,
+      round(Vendor_Quality_Rating, 6) AS quality_rating, round(Vendor_Risk_Score, 6) AS vendor_risk_score,
+      Vendor_Monopoly_Score AS monopoly_score, n AS other_flagged_duplicate_count,
+      peers.Work_Scope_Unit AS work_scope_unit, size AS peer_group_size,
+      {_half_up("med", 2)} AS peer_median_cost_per_unit, {_half_up("cost", 2)} AS this_cost_per_unit,
+      CASE WHEN cost <> 0 THEN {_half_up("cost / nullif(med, 0)", 2)} END AS cost_vs_peer_median_ratio,
+      {_half_up("pct", 3)} AS cost_percentile_vs_peers,
+      CASE {_LEVEL.format("score")} WHEN 'Critical' THEN 'AUDIT / FIELD VERIFICATION'
+        WHEN 'High' THEN 'Priority review by compliance officer' WHEN 'Medium' THEN 'Routine monitoring'
+        ELSE 'No action required' END AS recommended_action,
+      {_half_up("cross_check", 2)} AS cross_check_score
+    FROM parts p JOIN full_set f ON f.Work_ID = p.work_id JOIN peers ON peers.Work_ID = p.work_id
+    LEFT JOIN panel ON panel.work_id = p.work_id LEFT JOIN nearby ON nearby.work_id = p.work_id
+    LEFT JOIN flagged ON flagged.Vendor_Name = f.Vendor_Name""")
+
+
+# --------------------------------------------------------------- two boosted trees
+def _boosted(edges: dict[str, list[float]], base: float, rate: float, trees: int, depth: int) -> str:
+    """Trees grown level by level: sums by node, feature and bin, every cut, the best one."""
+    missing = max(map(len, edges.values())) + 1
+
+    def bin_of(column: str, cuts: list[float]) -> str:
+        below = " + ".join(f"({column} > {c})::INT" for c in cuts)
+        return f"CASE WHEN {column} IS NULL THEN {missing} ELSE {below} END"
+
+    bins = ", ".join(bin_of(c, cuts) for c, cuts in edges.items())
+    sql = [MASTER, f"""boost0 AS MATERIALIZED (
+  SELECT Work_ID, floor(Disbursed_Amount / 100)::DOUBLE AS y, {base}::DOUBLE AS p, [{bins}] AS f FROM master),
+scale AS MATERIALIZED (
+  SELECT pow(2.0, floor(log2(pow(2.0, 52) / (count(*) * 2 * greatest(max(y) - {base}, {base} - min(y),
+    max(y) - min(y)))))) AS k FROM boost0)"""]
+    for t in range(trees):
+        rows = f"boost{t}n0"
+        sql.append(f"""{rows} AS MATERIALIZED (
+  SELECT *, 0 AS node, round((p - y) * k) AS g FROM boost{t}, scale)""")
+        for level in range(depth):
+            name = f"boost{t}c{level}"
+            sql.append(f"""{name} AS MATERIALIZED (
+  WITH hist AS (
+    SELECT node, feature, bin, sum(g) AS g, count(*) AS n FROM (
+      SELECT node, g, unnest(range({len(edges)})) AS feature, unnest(f) AS bin FROM {rows}
+      WHERE node >= {(1 << level) - 1}) GROUP BY 1, 2, 3),
+  cuts AS (
+    SELECT node, feature, cut, side, sum(g) AS whole_g, sum(n) AS whole_n,
+           coalesce(sum(g) FILTER (WHERE bin <= cut OR bin = {missing} AND side = 1), 0) AS lg,
+           coalesce(sum(n) FILTER (WHERE bin <= cut OR bin = {missing} AND side = 1), 0) AS ln
+    FROM hist, range({missing}) b(cut), (VALUES (1), (0)) s(side) GROUP BY 1, 2, 3, 4)
+  SELECT *, lg * lg / (ln + 1.0) + (whole_g - lg) * (whole_g - lg) / (whole_n - ln + 1.0)
+    - whole_g * whole_g / (whole_n + 1.0) AS gain
+  FROM cuts WHERE ln > 0 AND ln < whole_n AND gain > 0
+  QUALIFY row_number() OVER (PARTITION BY node ORDER BY gain DESC, feature, cut, side DESC) = 1)""")
+            after = f"boost{t}n{level + 1}"
+            sql.append(f"""{after} AS MATERIALIZED (
+  SELECT r.* REPLACE (CASE WHEN c.node IS NULL THEN r.node
+      WHEN f[feature + 1] <= cut OR f[feature + 1] = {missing} AND side = 1 THEN 2 * r.node + 1
+      ELSE 2 * r.node + 2 END AS node)
+  FROM {rows} r LEFT JOIN {name} c ON c.node = r.node)""")
+            rows = after
+        sql.append(f"""boost{t + 1} AS MATERIALIZED (
+  SELECT Work_ID, y, p - {rate} * (sum(g) OVER leaf / k) / (count(*) OVER leaf + 1.0) AS p, f
+  FROM {rows} WINDOW leaf AS (PARTITION BY node))""")
+    return _with(",\n".join(sql), f"SELECT Work_ID, round(p, 6) AS prediction FROM boost{trees}")
+
+
+ORACLES["boosted_known"] = _boosted(
+    {"Work_Quantity": [5.0, 10.0, 20.0, 30.0, 40.0], "Days_to_Complete": [20.0, 40.0, 60.0, 80.0],
+     "Days_to_Sanction": [10.0, 20.0, 30.0]}, 300.0, 0.5, 2, 2)

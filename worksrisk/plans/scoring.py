@@ -241,7 +241,11 @@ def _enrich(df: DataFrame, star: Star) -> DataFrame:
 
 
 def duplicate_details(rows: DataFrame, engine: Engine) -> DataFrame:
-    """(request_id, duplicate, checked, nearest, similarity): stored, or searched if new."""
+    """(request_id, duplicate, checked, nearest, similarity): stored, or searched if new.
+
+    A work on record that the stored scores leave out is unchecked: its own entry in the
+    index would be its nearest.
+    """
     columns = ["duplicate_risk_score", "duplicate_checked", "nearest_duplicate_work_id",
                "nearest_similarity"]
     base = rows.select(KEY, "Work_ID")
@@ -255,8 +259,7 @@ def duplicate_details(rows: DataFrame, engine: Engine) -> DataFrame:
             "nearest_duplicate_work_id": F.lit(None).cast("string"),
             "nearest_similarity": F.lit(None).cast("double")})
     if engine.index is not None and engine.text is not None:
-        fresh = found.filter(F.col("duplicate_checked").isNull()).select(KEY)
-        asked = rows.join(fresh, KEY, "left_semi").select(
+        asked = rows.filter(~F.col("on_record")).select(
             KEY, F.concat(F.lit("request "), F.col(KEY)).alias("Work_ID"), "Vendor_Name",
             "Constituency", "Work_Description")
         vectors = engine.text.vectors(asked, "Work_Description")
