@@ -118,3 +118,15 @@ def test_query_against_brute_force(spark, sf):
     rows = pd.read_parquet(f"{sf}/embeddings.parquet")
     got = {tuple(r) for r in queries.op5_similar_vectors(spark, sf).collect()}
     assert got == brute([(i, v.astype(float).tolist()) for i, v in zip(rows.vec_id, rows.embedding)])
+
+
+def test_vectors_of_different_length_never_meet(spark):
+    """Also when their lengths differ by a power of two, as 2 and 4,098 do."""
+    rng = np.random.default_rng(9)
+    rows = []
+    for d in (2, 66, 4098):
+        base = rng.normal(size=d)
+        rows += [(len(rows) + i, (base + rng.normal(size=d) * 0.01).tolist()) for i in range(4)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in caps.similar_vectors(frame).collect()}
+    assert got == {i: (3, i // 4 * 4) for i in range(12)}

@@ -110,3 +110,34 @@ def test_held_out_accuracy_on_the_tables(spark):
     auc = (a[:, None] > b).mean() + 0.5 * (a[:, None] == b).mean()
     assert auc > 0.75
     assert held[held.toxic == 0].predicted.mean() < 0.1
+
+
+def test_ratios_are_counted_over_all_labels(spark):
+    """An insult that the fitted sample of ten rows a class need not hold still has its ratio."""
+    rows, scratch = made(400), toxicity._scratch(P)
+    frame = spark.createDataFrame([(t, b) for _, t, b in rows], "text string, toxic int").repartition(5)
+    got = toxicity.corpus_ratios(frame, P)
+    x = [toxicity.features(t, P, scratch) for _, t, _ in rows]
+    y = [b for _, _, b in rows]
+    n = [y.count(0), y.count(1)]
+    for f in {*x[0].tolist(), *x[1].tolist(), 0}:
+        c = [sum(f in set(ids.tolist()) for ids, b in zip(x, y) if b == k) for k in (0, 1)]
+        ratio = np.log((c[1] + 1) / (n[1] + 2)) - np.log((c[0] + 1) / (n[0] + 2))
+        wanted = ratio if sum(c) >= P.least_docs and abs(ratio) >= P.least_ratio else 0
+        assert got[f] == pytest.approx(wanted)
+    few = P._replace(sample=10)
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, b) for i, _, b in rows], "doc_id long, toxic int")
+    found = {r.doc_id: r.score for r in toxicity.predict(docs, labels, few).collect()}
+    order = sorted(found, key=found.get)
+    assert sum(i % 4 == 0 for i in order[-80:]) > 70
+
+
+def test_recall_of_held_out_rows(spark):
+    """At the threshold, most toxic rows whose labels were not read are found."""
+    sf = "/root/testdata/sf0.1"
+    got = queries.op8_toxicity(spark, sf).filter("held_out").toPandas().set_index("doc_id")
+    labels = pd.read_parquet(f"{sf}/labels.parquet").dropna(subset=["toxic"]).set_index("doc_id")
+    held = got.join(labels, how="inner")
+    assert held[held.toxic == 1].predicted.mean() > 0.9
+    assert held[held.toxic == 0].predicted.mean() < 0.05

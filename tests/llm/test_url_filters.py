@@ -9,6 +9,7 @@ from worksrisk.llm import url_filters as u
 from worksrisk.llm.queries import URL_RULES
 
 P = u.TreeParams()
+DEEPEST = 25   # segments of the longest path in these tests
 
 
 def split(url):
@@ -42,10 +43,7 @@ def shape(s):
 
 def levels(path):
     parts = path.split("/")[1:]
-    out = [shape(p) for p in parts[:u.DEPTH]] + [""] * (u.DEPTH - len(parts))
-    if len(parts) > u.DEPTH:
-        out[-1] = "**"
-    return tuple(out)
+    return tuple([shape(p) for p in parts] + [""] * (DEEPEST - len(parts)))
 
 
 def brute(pages):
@@ -54,7 +52,7 @@ def brute(pages):
         host, path = split(url)
         rule = rule_of(host, path)
         rows.append([page_id, host, path, rule, levels(path), ""])
-    for level in range(u.DEPTH):
+    for level in range(DEEPEST):
         stats = defaultdict(lambda: defaultdict(Counter))
         for _, host, _, rule, segs, tpl in rows:
             c = stats[host, tpl][segs[level]]
@@ -72,7 +70,8 @@ def brute(pages):
                     p = total["bad"] / total["known"]
                     error = math.sqrt(p * (1 - p) * (1 / c["known"] + 1 / rest))
                     alike = abs(c["bad"] / c["known"] - (total["bad"] - c["bad"]) / rest) <= P.z * error
-                variable = len(children) > P.many and c["n"] < P.rare * total["n"]
+                variable = (len(children) > P.many and c["n"] < P.rare * total["n"]
+                            and c["known"] < P.least_labels)
                 token[key, seg] = "" if seg == "" else "*" if alike or variable else seg
         for row in rows:
             t = token[(row[1], row[5]), row[4][level]]
@@ -133,7 +132,16 @@ def test_unlabelled_pages_of_a_rejected_template_are_blocked(spark):
     assert set(out[out.path.str.startswith("/es/")].verdict) == {"allow"}
 
 
-def test_the_tree_of_the_query_is_as_deep_as_the_paths(spark, tmp_path, monkeypatch):
+def test_one_blocked_branch_says_nothing_about_its_siblings(spark):
+    """50 pages below /es/ are blocked by rule; nothing speaks against 1,950 pages beside them."""
+    rows = [(i, f"http://a.net/es/{i}/x") for i in range(50)]
+    rows += [(100 + i, f"http://a.net/p{i % 39}/{i}/x") for i in range(1950)]
+    got = check(spark, rows)
+    verdicts = Counter((path.split("/")[1] == "es", verdict) for _, _, path, _, verdict, _, _ in got.elements())
+    assert verdicts == {(True, "block"): 50, (False, "allow"): 1950}
+
+
+def test_the_tree_of_the_query_is_as_deep_as_the_paths(spark, tmp_path):
     from worksrisk.llm import queries
     rows = [(100 * i + j, f"http://a.net/{'es' if i == 0 else f'p{i}'}/b/c/{'d/spam' if i == 0 else 'x/y'}/{j}/z.html")
             for i in range(40) for j in range(9)]
@@ -143,7 +151,6 @@ def test_the_tree_of_the_query_is_as_deep_as_the_paths(spark, tmp_path, monkeypa
     got = queries.op9_url_templates(spark, str(tmp_path)).collect()
     # /es/ alone is labelled, and the others part from it at the fourth segment
     assert {r.verdict for r in got if r.host == "a.net" and "/x/y/" in r.path} == {"allow"}
-    monkeypatch.setattr(u, "DEPTH", 25)
     assert Counter(tuple(r) for r in got) == brute(rows)
 
 

@@ -26,11 +26,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from worksrisk.llm.common import small_batches
-from worksrisk.llm.units import REMEMBER, Remembered, kept, units
+from worksrisk.llm.units import Remembered, kept, units
 
 LEAF = 3             # bytes that are merged directly
 WINDOW = 1           # tokens on each side of a seam that are re-encoded at first
 HALF = 12            # longest halves that are remembered
+RUN = 16             # pieces of a text that are joined on one level
+WORDS = 600_000      # pieces and words that a Python worker remembers
 
 
 class Bpe:
@@ -115,9 +117,9 @@ class Bpe:
 
 
 def up(parts: list[bytes]) -> bytes:
-    """All parts in one, neighbours joined level by level."""
+    """All parts in one, runs of neighbours joined level by level."""
     while len(parts) > 1:
-        parts = [a + b for a, b in zip(parts[::2], parts[1::2])] + (parts[-1:] if len(parts) % 2 else [])
+        parts = [b"".join(parts[i:i + RUN]) for i in range(0, len(parts), RUN)]
     return parts[0] if parts else b""
 
 
@@ -181,7 +183,7 @@ def _run(docs: DataFrame, *how) -> DataFrame:
                            f"doc_id {kind}, n_tokens long, _first {kinds}")
 
 
-def encode_documents(docs: DataFrame, path: str, pattern: str, *, remember: int = REMEMBER,
+def encode_documents(docs: DataFrame, path: str, pattern: str, *, remember: int = WORDS,
                      ) -> DataFrame:
     """``doc_id, n_tokens, ids, decoded`` of every row: token ids and the bytes decoded from them.
 
@@ -193,7 +195,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, *, remember: int
             .withColumnsRenamed({"_first": "ids", "_second": "decoded"}))
 
 
-def encode_digests(docs: DataFrame, path: str, pattern: str, *, remember: int = REMEMBER,
+def encode_digests(docs: DataFrame, path: str, pattern: str, *, remember: int = WORDS,
                    ) -> DataFrame:
     """As :func:`encode_documents`, with SHA-256 digests in place of ids and bytes.
 

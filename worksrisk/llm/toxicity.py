@@ -2,8 +2,8 @@
 
 Every text is a set of hashed character n-grams. Each n-gram's presence is scaled by the log
 of the ratio of its rates in toxic and other texts, and a logistic regression is fitted on
-the scaled presences. Training takes a bounded sample of labelled rows, in one task; scoring
-is one narrow pass over whole texts.
+the scaled presences. The rates are counted over all training labels; the regression takes a
+bounded sample of them, in one task; scoring is one narrow pass over whole texts.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ class Params(NamedTuple):
     bits: int = 20                 # n-grams are hashed to 2^bits features
     sample: int = 2500             # at most so many labelled rows of each class are fitted
     smooth: float = 1.0            # added to the counts of the ratios
-    least_docs: int = 3            # features of fewer sampled rows have no weight
+    least_docs: int = 3            # features of fewer labelled rows have no weight
     least_ratio: float = 1.5       # nor have those whose log ratio is nearer to 0
     l2: float = 1e-3
     steps: int = 300
@@ -63,8 +63,32 @@ def _scratch(params: Params) -> np.ndarray:
     return np.zeros(1 << params.bits, np.int32)
 
 
-def fit(rows: list[np.ndarray], toxic: np.ndarray, share: float, params: Params) -> np.ndarray:
-    """Weights of all features and, last, the intercept, for a share of toxic rows overall."""
+def counts(rows: list[np.ndarray], toxic: np.ndarray, params: Params) -> np.ndarray:
+    """How many other rows (first line) and toxic rows (second) hold each feature.
+
+    The last column counts the rows themselves.
+    """
+    found = np.zeros((2, (1 << params.bits) + 1), np.int64)
+    for ids, label in zip(rows, toxic):
+        found[int(label), ids] += 1
+        found[int(label), -1] += 1
+    return found
+
+
+def ratios(found: np.ndarray, params: Params) -> np.ndarray:
+    """Log ratio of each feature's rates in toxic and other rows; 0 where it tells too little."""
+    rate = np.log(found[:, :-1] + params.smooth) - np.log(found[:, -1:] + 2 * params.smooth)
+    ratio = rate[1] - rate[0]
+    used = (found[:, :-1].sum(axis=0) >= params.least_docs) & (np.abs(ratio) >= params.least_ratio)
+    return np.where(used, ratio, 0.0)
+
+
+def fit(rows: list[np.ndarray], toxic: np.ndarray, share: float, params: Params,
+        ratio: np.ndarray | None = None) -> np.ndarray:
+    """Weights of all features and, last, the intercept, for a share of toxic rows overall.
+
+    ``ratio`` has the log ratios of more rows than these; without it they are counted here.
+    """
     size = 1 << params.bits
     weights = np.zeros(size + 1)
     toxic = toxic.astype(bool)
@@ -73,12 +97,9 @@ def fit(rows: list[np.ndarray], toxic: np.ndarray, share: float, params: Params)
         # one class only: its share, kept off 0 and 1
         weights[-1] = np.log((n_toxic + 0.5) / (n_other + 0.5)) if n_toxic + n_other else -9.0
         return weights
-    count = [np.zeros(size), np.zeros(size)]
-    for ids, label in zip(rows, toxic):
-        count[int(label)][ids] += 1
-    ratio = (np.log((count[1] + params.smooth) / (n_toxic + 2 * params.smooth))
-             - np.log((count[0] + params.smooth) / (n_other + 2 * params.smooth)))
-    used = (count[0] + count[1] >= params.least_docs) & (np.abs(ratio) >= params.least_ratio)
+    if ratio is None:
+        ratio = ratios(counts(rows, toxic, params), params)
+    used = ratio != 0
     kept = [ids[used[ids]] for ids in rows]
     column = np.cumsum(used) - 1
     indices = column[np.concatenate(kept)]
@@ -121,23 +142,52 @@ def _extract(batches: Iterator[pa.RecordBatch], params: Params):
             names=["ids", "toxic", "share"])
 
 
-def _fit_task(batches: Iterator[pa.RecordBatch], params: Params):
+def _count_task(batches: Iterator[pa.RecordBatch], params: Params):
+    """Counts of this task's rows: one row for each feature it has met, -1 for the rows."""
+    scratch = kept(("toxicity", params), lambda: _scratch(params))
+    total = np.zeros((2, (1 << params.bits) + 1), np.int64)
+    for batch in batches:
+        for text, label in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
+            side = total[int(bool(label))]
+            side[features(text, params, scratch)] += 1
+            side[-1] += 1
+    met = np.flatnonzero(total.any(axis=0))
+    for lo in range(0, len(met), 100_000):
+        some = met[lo:lo + 100_000]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.where(some == 1 << params.bits, -1, some), pa.int32()),
+             pa.array(total[0, some]), pa.array(total[1, some])], names=["feature", "other", "toxic"])
+
+
+def corpus_ratios(rows: DataFrame, params: Params) -> np.ndarray:
+    """Log ratios counted over all ``text, toxic`` rows; at most 2^bits features reach the driver."""
+    found = (rows.mapInArrow(lambda it: _count_task(it, params), "feature int, other long, toxic long")
+             .groupBy("feature").agg(F.sum("other").alias("other"), F.sum("toxic").alias("toxic"))
+             .filter((F.col("other") + F.col("toxic") >= params.least_docs) | (F.col("feature") < 0))
+             .toArrow())
+    total = np.zeros((2, (1 << params.bits) + 1), np.int64)
+    at = found.column("feature").to_numpy()
+    total[0, at], total[1, at] = found.column("other").to_numpy(), found.column("toxic").to_numpy()
+    return ratios(total, params)
+
+
+def _fit_task(batches: Iterator[pa.RecordBatch], params: Params, ratio):
     rows, toxic, share = [], [], 0.0
     for batch in batches:
         column = batch.column("ids")
         rows += [column[i].values.to_numpy() for i in range(batch.num_rows)]
         toxic += batch.column("toxic").to_pylist()
         share = max([share, *batch.column("share").to_pylist()])
-    weights = fit(rows, np.array(toxic, bool), share, params)
+    weights = fit(rows, np.array(toxic, bool), share, params, ratio.value)
     yield pa.RecordBatch.from_pydict({"weights": [weights.astype(np.float32).tobytes()]})
 
 
 def train(docs: DataFrame, labels: DataFrame, params: Params = Params()) -> np.ndarray:
     """Weights learned from ``labels`` (``doc_id, toxic``) and the texts of ``docs``.
 
-    Labels of held-out rows are not read, nor null labels or ids. Of each class the
-    ``params.sample`` rows with the smallest hash of the id are fitted; the share of toxic
-    rows is counted over all training labels. Repeated labels of one id count once, the
+    Labels of held-out rows are not read, nor null labels or ids. Log ratios and the share of
+    toxic rows are counted over all training labels; of each class the ``params.sample`` rows
+    with the smallest hash of the id are fitted. Repeated labels of one id count once, the
     larger one; texts of repeated ids are all fitted. Without any label every score is low.
     """
     small_batches(docs.sparkSession)
@@ -155,11 +205,13 @@ def train(docs: DataFrame, labels: DataFrame, params: Params = Params()) -> np.n
         chosen = some if chosen is None else chosen.unionByName(some)
     # at most twice ``sample`` rows of two numbers each, so they may go to every task
     chosen = stage.table("sample", chosen.withColumn("share", F.lit(float(share))))
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(
-        F.broadcast(chosen), "doc_id").select("text", "toxic", "share")
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    ratio = docs.sparkSession.sparkContext.broadcast(      # 2^bits floats
+        corpus_ratios(texts.join(known, "doc_id").select("text", "toxic"), params))
+    rows = texts.join(F.broadcast(chosen), "doc_id").select("text", "toxic", "share")
     extracted = stage.table("features", rows.mapInArrow(
         lambda it: _extract(it, params), "ids array<int>, toxic int, share double"))
-    fitted = extracted.coalesce(1).mapInArrow(lambda it: _fit_task(it, params), "weights binary")
+    fitted = extracted.coalesce(1).mapInArrow(lambda it: _fit_task(it, params, ratio), "weights binary")
     weights = np.frombuffer(bytes(fitted.collect()[0].weights), np.float32)
     stage.drop("labels", "sample", "features")
     return weights

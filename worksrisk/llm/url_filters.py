@@ -1,8 +1,9 @@
 """URL filter: hand-written rules first, then a path-template tree learned per host.
 
-The tree has one level per path segment. At each level a host's segments that are many and
-rare, or whose labelled pages are judged alike, become one wildcard; the others stay. A
-template is rejected if enough of its labelled pages are blocked. Everything is counting and
+The tree has one level per path segment and is as deep as the paths. At each level a host's
+segments whose labelled pages are judged alike become one wildcard, and so do segments that are
+many, rare and too seldom labelled to tell; the others stay, so what a wildcard says comes
+from several of its segments. A template is rejected if enough of its labelled pages are blocked. Everything is counting and
 joining on (host, template): no task holds a host, and no list of templates is collected.
 """
 
@@ -15,7 +16,6 @@ from pyspark.sql import functions as F
 
 from worksrisk.session import Staging
 
-DEPTH = 4          # levels of a shallow tree, in which what lies deeper shares the node "**"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -28,8 +28,8 @@ class UrlRule(NamedTuple):
 
 
 class TreeParams(NamedTuple):
-    many: int = 20             # a variable level has more children than this ...
-    rare: float = 0.05         # ... and its variable children less than this share each
+    many: int = 20             # a variable level has more children than this; its variable
+    rare: float = 0.05         # children have less than this share each, and few labels
     least_labels: int = 5      # branches with fewer labelled pages are not compared or judged
     z: float = 1.96            # branches are alike if block rates differ by less (two shares)
     reject: float = 0.8        # smoothed share of blocked pages that rejects a template
@@ -55,10 +55,10 @@ def apply_rules(host: Column, path: Column, rules: list[UrlRule]) -> tuple[Colum
     return text, verdict
 
 
-def segments(path: Column, depth: int | None = None) -> Column:
+def segments(path: Column) -> Column:
     """Array of a path's segments, each itself or the shape of a number, code or date.
 
-    Empty ones at the end are left out. With ``depth``, a longer path ends there in ``**``.
+    Empty ones at the end are left out.
     """
     parts = F.slice(F.split(path, "/"), 2, 1 << 30)
 
@@ -71,9 +71,6 @@ def segments(path: Column, depth: int | None = None) -> Column:
                 .when(F.char_length(part) > 60, F.lit("{long}")).otherwise(part))
 
     levels = F.transform(parts, shape)
-    if depth is not None:
-        levels = F.when(F.size(parts) > depth, F.array_append(
-            F.slice(levels, 1, depth - 1), F.lit("**"))).otherwise(levels)
     last = F.array_max(F.transform(levels, lambda x, i: F.when(x != "", i + 1).otherwise(F.lit(0))))
     return F.slice(levels, F.lit(1), F.coalesce(last, F.lit(0)))
 
@@ -107,7 +104,7 @@ def learn_templates(pages: DataFrame, stage: Staging, params: TreeParams = TreeP
         gap = F.abs(F.col("bad") / F.col("known") - (F.col("p_bad") - F.col("bad")) / rest)
         enough = (F.col("known") >= params.least_labels) & (rest >= params.least_labels)
         alike = F.when(enough, gap <= params.z * error).otherwise(F.lit(False))
-        variable = ((F.col("p_children") > params.many)
+        variable = ((F.col("p_children") > params.many) & (F.col("known") < params.least_labels)
                     & (F.col("n") < params.rare * F.col("p_n")))
         token = F.when(F.col(name) == "", F.lit("")).when(
             alike | variable, F.lit("*")).otherwise(F.col(name))
@@ -136,15 +133,13 @@ def learn_templates(pages: DataFrame, stage: Staging, params: TreeParams = TreeP
     return shapes.select("host", "shape", "template").join(judged, ["host", "template"])
 
 
-def judge(pages: DataFrame, rules: list[UrlRule], params: TreeParams = TreeParams(),
-          depth: int | None = DEPTH) -> DataFrame:
+def judge(pages: DataFrame, rules: list[UrlRule], params: TreeParams = TreeParams()) -> DataFrame:
     """``page_id, host, path, rule, verdict, template, rejected`` of every row.
 
     The longest rule that fits decides. What no rule fits is blocked if its host's tree has
     rejected its template, with the rules' verdicts as labels, and allowed otherwise; unknown
     templates are allowed. Null urls and urls without ``://`` have empty host and path. One
-    output row per input row, repeated or not; only ``page_id`` and ``url`` are read. The tree
-    is ``depth`` levels deep, or, with None, as deep as the paths.
+    output row per input row, repeated or not; only ``page_id`` and ``url`` are read.
     """
     stage = Staging(pages.sparkSession, "urls")
     host, path = split_url(F.col("url"))
@@ -152,7 +147,7 @@ def judge(pages: DataFrame, rules: list[UrlRule], params: TreeParams = TreeParam
     text, verdict = apply_rules(F.col("host"), F.col("path"), rules)
     rows = stage.table("rows", rows.select(
         "page_id", "host", "path", text.alias("rule"), verdict.alias("label"),
-        segments(F.col("path"), depth).alias("shape")))
+        segments(F.col("path")).alias("shape")))
     templates = stage.table("templates", learn_templates(rows, stage, params))
     # a hot host is dealt out by its shapes; adaptive execution splits what is still too large
     return rows.join(templates, ["host", "shape"], "left").select(
