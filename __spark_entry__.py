@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib
 import uuid
 from collections.abc import Callable
 from dataclasses import replace
@@ -21,14 +22,22 @@ from worksrisk.session import storage_folder, stored
 from worksrisk.sources import raw
 from worksrisk.sources import star as star_io
 
-try:  # the training-data operators are optional: the library works without them
-    from worksrisk.llm import queries as llm_queries
-except ImportError:
-    llm_queries = None
-try:
-    import corpus_pipeline
-except ImportError:
-    corpus_pipeline = None
+
+def _optional(name: str):
+    """A module of the training-data operators, or None if they have been taken out.
+
+    The library works without them; an import that fails for another reason is an error.
+    """
+    try:
+        return importlib.import_module(name)
+    except ImportError as missing:
+        if missing.name in ("worksrisk.llm", "worksrisk.llm.queries", "corpus_pipeline"):
+            return None
+        raise
+
+
+llm_queries = _optional("worksrisk.llm.queries")
+corpus_pipeline = _optional("corpus_pipeline")
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -521,8 +530,7 @@ def cross_check_importances(spark: SparkSession, sf: str) -> DataFrame:
 
 def baseline_rf(spark: SparkSession, sf: str) -> DataFrame:
     compliance = standin.star(spark, sf).compliance
-    model, _ = models.train_baseline(compliance)
-    return model.transform(models.baseline_frame(compliance)).select(
+    return models.train_baseline(compliance).model.transform(models.baseline_frame(compliance)).select(
         "Work_ID", "label", "prediction")
 
 

@@ -190,6 +190,6 @@ def test_split_is_stable_and_about_four_fifths(spark, sf):
 
 def test_baseline(spark, sf):
     compliance = standin.star(spark, sf).compliance
-    model, metrics = models.train_baseline(compliance, trees=5, depth=4)
-    assert set(metrics) == {"mse", "r2"} and metrics["r2"] < 0.3
-    assert models.importances(model, models.baseline_frame(compliance), 3).count() == 3
+    found = models.train_baseline(compliance, trees=5, depth=4)
+    assert set(found.metrics) == {"mse", "r2"} and found.metrics["r2"] < 0.3
+    assert models.importances(found.model, models.baseline_frame(compliance), 3).count() == 3
