@@ -29,7 +29,7 @@ from worksrisk.session import Staging
 
 MAGIC = b"S8TOKENS"
 BLOCK_IDS = 1 << 17
-REMEMBER = 500_000
+PIECES, MATCHES = 1_000_000, 500_000   # that a Python worker remembers
 
 
 # ----------------------------------------------------------------------- tokens
@@ -77,7 +77,7 @@ class Encoder:
         self.plain = (first.get("type") == "ByteLevel" and not first.get("add_prefix_space")
                       and first.get("use_regex", True) and not parts.get("normalizer"))
         self.added = [t["content"] for t in parts.get("added_tokens", [])]
-        self.known, self.matches = Remembered(None, REMEMBER), Remembered(None, REMEMBER)
+        self.known, self.matches = Remembered(None, PIECES), Remembered(None, MATCHES)
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes()
