@@ -317,6 +317,18 @@ def pct_vs_reference(spark: SparkSession, sf: str) -> DataFrame:
         "event_id", F.round("pct", 9).alias("pct"))
 
 
+def pct_vs_sketch(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether a percentile by a sketch of two halves is within its bound of the exact one."""
+    events = _events(spark, sf)
+    clicks = events.filter("event_type = 'click'")
+    halves = [ranks.reference_sketches(clicks.filter(F.col("event_id") % 2 == i), ["value"]) for i in (0, 1)]
+    asked = ranks.melt(events, ["event_id"], ["value"])
+    near = ranks.sketch_percentile(asked, ranks.merged_sketches(*halves), "event_id")
+    exact = ranks.left_percentile(asked, ranks.reference_counts(clicks, ["value"]), "event_id")
+    return near.join(exact.select("event_id", F.col("pct").alias("exact")), "event_id").select(
+        "event_id", (F.abs(F.col("pct") - F.col("exact")) <= ranks.RANK_ERROR).alias("within"))
+
+
 def pct_two_sided(spark: SparkSession, sf: str) -> DataFrame:
     df = standin.features(spark, sf).select("Work_ID", F.abs("Progress_Gap").alias("gap"))
     asked = ranks.melt(df, ["Work_ID"], ["gap"])
@@ -716,7 +728,7 @@ def queries() -> dict[str, Query]:
         work_detail, constituency_detail, member_detail, vendor_detail, overview, value_counts,
         master_features, progress_gap, doc_flags, impute_vendor, retention,
         composite_rules, risk_level, severity, top_reasons,
-        pct_rank_avg, pct_vs_reference, pct_two_sided, performance_rank, group_medians,
+        pct_rank_avg, pct_vs_reference, pct_vs_sketch, pct_two_sided, performance_rank, group_medians,
         peer_benchmark, cost_anomaly, timeline_anomaly, why_panel,
         duplicate_nearest, duplicate_nearest_cells, dup_rate, vendor_flagged, nearby_top5,
         nearby_top5_cells, new_work_nearest,

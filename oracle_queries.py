@@ -431,6 +431,7 @@ ORACLES: dict[str, str] = {
                      PARTITION BY value) AS lt,
                  sum(CASE WHEN event_type = 'click' THEN 1 ELSE 0 END) OVER () AS n FROM events)
         SELECT event_id, round(CAST(lt AS DOUBLE) / n, 9) AS pct FROM placed""",
+    "pct_vs_sketch": "SELECT event_id, true AS within FROM events",
     "pct_two_sided": _with(REFERENCE, "SELECT Work_ID, round(gap_pct, 9) AS pct FROM extremes"),
     "performance_rank": """
         SELECT event_id, CAST(rank() OVER (ORDER BY value DESC) AS INTEGER) AS place FROM events""",

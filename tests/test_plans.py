@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from worksrisk import standin
 from worksrisk.operators import browse, etl, ranks
+from worksrisk.sources import star as star_io
 
 
 def plan(df):
@@ -75,3 +76,33 @@ def test_master_shuffles_each_export_once(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert text.count("Exchange hashpartitioning") == 4
+
+
+def _scanned(df):
+    """Rows that the scans of a plan gave out, after row groups were skipped."""
+    df.collect()
+    plan, rows = df._jdf.queryExecution().executedPlan(), 0
+    leaves = (plan.executedPlan() if plan.getClass().getSimpleName() == "AdaptiveSparkPlanExec" else plan
+              ).collectLeaves()
+    for i in range(leaves.size()):
+        rows += leaves.apply(i).metrics().get("numOutputRows").get().value()
+    return rows
+
+
+def test_a_point_look_up_skips_row_groups(spark, sf, tmp_path):
+    star = standin.star(spark, sf)
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    conf.set("parquet.block.size", "32768")   # many row groups in a small table
+    conf.set("parquet.page.size.row.check.min", "50")
+    conf.set("parquet.block.size.row.check.min", "50")
+    try:
+        star_io.write_star(star, str(tmp_path / "s"))
+    finally:
+        for name in ("parquet.block.size", "parquet.page.size.row.check.min", "parquet.block.size.row.check.min"):
+            conf.unset(name)
+    works = star_io.read_star(spark, str(tmp_path / "s")).works
+    one = works.agg(F.max("Work_ID")).first()[0]
+    found = works.filter(F.col("Work_ID") == one)
+    assert _scanned(found) < works.count() / 10 and found.count() == 1
+    # a key between others that no row has is ruled out by the Bloom filters
+    assert _scanned(works.filter(F.col("Work_ID") == one[:-1] + "x")) < works.count() / 10

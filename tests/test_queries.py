@@ -10,7 +10,6 @@ import __spark_entry__ as entry
 # the training-data operators have tests of their own
 QUERIES = {n: q for n, q in entry.queries().items() if n != "pipeline" and not re.match(r"op\d+_", n)}
 SQL = {n: sql for n, sql in entry.oracle_sql().items() if n in QUERIES}
-SLOW = {"cross_check", "cross_check_importances", "baseline_rf"}  # trained in test_scoring
 
 
 @pytest.fixture(scope="module")
@@ -22,7 +21,7 @@ def test_every_sql_belongs_to_a_query():
     assert set(SQL) == set(entry.ORACLES)
 
 
-@pytest.mark.parametrize("name", [n for n in QUERIES if n not in SLOW])
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, duck, sf, name):
     problem, n = check(spark, duck, sf, name, QUERIES[name], SQL.get(name))
     assert problem is None, problem

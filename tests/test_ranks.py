@@ -4,6 +4,7 @@ from statistics import median
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from worksrisk.operators import ranks
 from worksrisk.operators.joins import hot_keys, spread_left_join
@@ -70,3 +71,19 @@ def test_hot_keys_are_few_and_spread_join_loses_nothing(spark):
     assert rows(got, "id", "k", "v") == rows(fact.join(side, "k", "left"), "id", "k", "v")
     scattered = spread_left_join(fact, side, ["k"], hot, scatter=fact["k"] == "none")
     assert rows(scattered, "id", "v") == rows(got, "id", "v")
+
+
+def test_sketches_are_small_merge_and_err_little(spark):
+    df = spark.range(200_000).select("id", (F.pmod(F.xxhash64("id"), F.lit(50_000)) / 7.0).alias("value"),
+                                     F.lit(3.0).alias("flat"))
+    parts = [ranks.reference_sketches(df.filter(F.col("id") % 3 == i), ["value", "flat"]) for i in range(3)]
+    merged = ranks.merged_sketches(*parts)
+    sizes = {r.feature: (r.n, len(r.sketch)) for r in merged.collect()}
+    assert sizes["value"][0] == 200_000 and sizes["value"][1] < 200_000
+    asked = ranks.melt(df.filter("id < 3000"), ["id"], ["value", "flat"])
+    near = {(r.id, r.feature): r.pct for r in ranks.sketch_percentile(asked, merged, "id").collect()}
+    exact = ranks.left_percentile(asked, ranks.reference_counts(df, ["value", "flat"]), "id").collect()
+    worst = max(abs(near[r.id, r.feature] - r.pct) for r in exact)
+    assert len(near) == 6000 and worst <= ranks.RANK_ERROR
+    other = asked.withColumn("feature", F.lit("never seen"))
+    assert {r.pct for r in ranks.sketch_percentile(other, merged, "id").collect()} == {0.5}

@@ -156,3 +156,47 @@ def left_percentile(queries: DataFrame, reference: DataFrame, key: str) -> DataF
 def reference_counts(df: DataFrame, values: dict[str, Column] | list[str]) -> DataFrame:
     """A stored distribution: (feature, value, eq), one row per distinct value."""
     return melt(df, [], values).groupBy("feature", "value").agg(F.count("*").alias("eq"))
+
+
+# ------------------------------------------------------- distributions of fixed size
+SKETCH = 4096     # k of a sketch: ranks err by about 2.3 / k^0.9, here 0.13 %
+GRID = 1024       # percentiles that are read off a sketch
+RANK_ERROR = 2.3 / SKETCH ** 0.9 + 1 / GRID
+
+
+def reference_sketches(df: DataFrame, values: dict[str, Column] | list[str], k: int = SKETCH) -> DataFrame:
+    """A stored distribution of bounded size: (feature, sketch, n), one row per measure.
+
+    :func:`reference_counts` keeps a row per distinct value and is exact; a KLL sketch is at most
+    some 100 KB however many rows it has seen.
+    """
+    return melt(df, [], values).groupBy("feature").agg(
+        F.kll_sketch_agg_double("value", k).alias("sketch"), F.count("*").alias("n"))
+
+
+def merged_sketches(*parts: DataFrame) -> DataFrame:
+    """One distribution of several, such as last month's and this month's."""
+    both = parts[0]
+    for part in parts[1:]:
+        both = both.unionByName(part)
+    return both.groupBy("feature").agg(
+        F.kll_merge_agg_double("sketch").alias("sketch"), F.sum("n").alias("n"))
+
+
+def sketch_percentile(queries: DataFrame, sketches: DataFrame, key: str) -> DataFrame:
+    """(key, feature, value, pct) as :func:`left_percentile`, within ``RANK_ERROR``.
+
+    Each sketch gives a grid of percentiles once, which is searched for every value; a measure
+    without any rows gives 0.5.
+    """
+    shares = F.array(*(F.lit(i / GRID) for i in range(1, GRID)))
+    grids = sketches.select("feature", F.kll_sketch_get_quantile_double("sketch", shares).alias("_cuts"))
+    # one row of 1,023 numbers for each measure that a caller named
+    out, step = queries.join(F.broadcast(grids), "feature", "left").withColumn("_below", F.lit(0)), GRID // 2
+    while step:
+        cut = F.get("_cuts", F.col("_below") + F.lit(step - 1))
+        out = out.withColumn("_below", F.col("_below") + F.when(
+            cut < F.col("value"), F.lit(step)).otherwise(F.lit(0)))
+        step //= 2
+    share = F.when(F.col("_cuts").isNull(), F.lit(0.5)).otherwise(F.col("_below") / F.lit(float(GRID)))
+    return out.select(key, "feature", "value", share.alias("pct"))

@@ -14,6 +14,7 @@ from worksrisk.functions.cells import normalise_missing
 
 # fixed values: how the tables are partitioned on disk
 PARTITION_BY = {"works_master": ["State"]}
+LOOKED_UP = {"works_master": "Work_ID", "compliance_and_ml": "Work_ID"}
 
 
 @dataclass(frozen=True)
@@ -74,6 +75,11 @@ def _path(folder: str, name: str, fmt: str) -> str:
 
 
 def write_star(star: Star, folder: str, fmt: str = "parquet", mode: str = "errorifexists") -> None:
+    """Store the five tables.
+
+    In Parquet, tables with a row per work are sorted by their key inside each file and carry
+    Bloom filters of it, so a look-up of one work skips the row groups that cannot hold it.
+    """
     for name, df in star.tables().items():
         out, by = in_schema(df, S.STAR[name]), PARTITION_BY.get(name, [])
         if fmt == "csv":
@@ -81,7 +87,12 @@ def write_star(star: Star, folder: str, fmt: str = "parquet", mode: str = "error
         else:
             # few files per folder, and a folder with most of the rows still has many writers
             out = out.hint("rebalance", *(F.col(c) for c in by)) if by else out
+            key = LOOKED_UP.get(name)
+            out = out.sortWithinPartitions(*by, key) if key else out
             writer = out.write.partitionBy(*by)
+            if key:
+                writer = (writer.option(f"parquet.bloom.filter.enabled#{key}", "true")
+                          .option("parquet.bloom.filter.adaptive.enabled", "true"))
         writer.mode(mode).format(fmt).save(_path(folder, name, fmt))
 
 
