@@ -22,6 +22,7 @@ from worksrisk.llm.units import kept
 from worksrisk.session import Staging
 
 _BLANKS = re.compile(r"\s+")
+BROADCAST_LABELS = 4_000_000   # labels (two numbers each) that are sent to every task
 
 
 class Params(NamedTuple):
@@ -206,8 +207,10 @@ def train(docs: DataFrame, labels: DataFrame, params: Params = Params()) -> np.n
     # at most twice ``sample`` rows of two numbers each, so they may go to every task
     chosen = stage.table("sample", chosen.withColumn("share", F.lit(float(share))))
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    # whole texts need not be shuffled while the labels are few; beyond, they meet by a shuffle
+    side = F.broadcast(known) if known.count() <= BROADCAST_LABELS else known
     ratio = docs.sparkSession.sparkContext.broadcast(      # 2^bits floats
-        corpus_ratios(texts.join(known, "doc_id").select("text", "toxic"), params))
+        corpus_ratios(texts.join(side, "doc_id").select("text", "toxic"), params))
     rows = texts.join(F.broadcast(chosen), "doc_id").select("text", "toxic", "share")
     extracted = stage.table("features", rows.mapInArrow(
         lambda it: _extract(it, params), "ids array<int>, toxic int, share double"))
