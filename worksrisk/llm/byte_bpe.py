@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from worksrisk.llm.common import small_batches
-from worksrisk.llm.units import Remembered, kept, units
+from worksrisk.llm.units import REMEMBER, Remembered, kept, units
 
 LEAF = 3             # bytes that are merged directly
 WINDOW = 1           # tokens on each side of a seam that are re-encoded at first
@@ -38,14 +38,14 @@ WORDS = 600_000      # pieces and words that a Python worker remembers
 class Bpe:
     """Encoder and decoder for a vocabulary of byte strings with ranks."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, remember: int = REMEMBER):
         self.ranks = ranks
         self.bytes_of = {rank: token for token, rank in ranks.items()}
         self.matches = regex.compile(pattern).findall
-        self.pairs: Remembered = Remembered(self._pair_fits)
+        self.pairs: Remembered = Remembered(self._pair_fits, remember)
         self.windows: Remembered = Remembered(
-            lambda seam: self.merge(self.decode(seam[0] + seam[1])))
-        self.halves: Remembered = Remembered(self._tree)
+            lambda seam: self.merge(self.decode(seam[0] + seam[1])), remember)
+        self.halves: Remembered = Remembered(self._tree, remember)
 
     # ------------------------------------------------------------- the monoid
     def merge(self, data: bytes) -> tuple[int, ...]:
@@ -123,17 +123,17 @@ def up(parts: list[bytes]) -> bytes:
     return parts[0] if parts else b""
 
 
-def load(path: str, pattern: str) -> Bpe:
+def load(path: str, pattern: str, remember: int = REMEMBER) -> Bpe:
     """Ranks from a file with one base64 token and its rank in each line."""
     with open(path, "rb") as lines:
         fields = (line.split() for line in lines)
         ranks = {base64.b64decode(f[0]): int(f[1]) for f in fields if len(f) == 2}
-    return Bpe(ranks, pattern)
+    return Bpe(ranks, pattern, remember)
 
 
 def _known_units(path: str, pattern: str, digest: bool, remember: int) -> Remembered:
     """Number of tokens, ids (or their decimal text) and decoded bytes of each unit seen."""
-    bpe = load(path, pattern)
+    bpe = load(path, pattern, min(remember, REMEMBER))
 
     def of_word(word: str):
         ids = bpe.encode_bytes(word.encode())
