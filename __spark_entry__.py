@@ -246,7 +246,7 @@ def doc_flags(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def impute_vendor(spark: SparkSession, sf: str) -> DataFrame:
-    df = standin.features(spark, sf)
+    df = stored(standin.features(spark, sf).select("Work_ID", *S.IMPUTED_FEATURES))
     filled = feat.impute_vendor_features(df, feat.median_values(feat.feature_medians(df)))
     return _rounded(filled.select(
         "Work_ID", "Vendor_Avg_Cost_Overrun_Ratio", "Vendor_Avg_Timeline_Days",

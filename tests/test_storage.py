@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from worksrisk import standin
 from worksrisk.operators import etl
+from worksrisk.operators.features import attach_vendor
 from worksrisk.session import stored
 from worksrisk.sources.raw import ORDER, HouseFiles
 
@@ -14,7 +15,7 @@ def test_stored_rows_are_columns_on_disk(spark):
     df = spark.range(5).select("id", F.array("id").alias("a"), F.when(F.col("id") > 2, "x").alias("s"))
     kept = stored(df)
     assert all(f.endswith(".parquet") for f in kept.inputFiles()) and kept.inputFiles()
-    assert kept.schema == df.schema and sorted(kept.collect()) == sorted(df.collect())
+    assert kept.dtypes == df.dtypes and sorted(kept.collect()) == sorted(df.collect())
 
 
 def test_rows_that_parquet_cannot_hold_are_stored_too(spark):
@@ -45,3 +46,9 @@ def test_first_lines_are_those_of_the_dedupe(spark):
     first = standin._first_lines(spark, TINY).select("Work_ID", "l_partkey", "l_suppkey", "l_quantity")
     whole = etl.keep_first(standin._lines(spark, TINY), ["Work_ID"], [ORDER]).select(first.columns)
     assert sorted(first.collect()) == sorted(whole.collect())
+
+
+def test_a_small_side_reaches_works_without_a_shuffle_of_them(spark):
+    star = standin.star(spark, TINY)
+    plan = attach_vendor(star.works, star.vendors)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "hashpartitioning(Vendor_Name" not in plan

@@ -32,7 +32,7 @@ def attach_vendor(works: DataFrame, vendors: DataFrame) -> DataFrame:
     """
     hot = hot_keys(vendors, ["Vendor_Name"], "Vendor_Total_Projects_Count")
     return spread_left_join(works, vendors, ["Vendor_Name"], hot,
-                            scatter=~is_real_vendor(F.col("Vendor_Name")))
+                            scatter=~is_real_vendor(F.col("Vendor_Name")), store=True)
 
 
 def master_dataset(star: Star, *, spread: bool = True) -> DataFrame:

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from worksrisk.session import stored
+
 HOT_SHARE = 128   # a key is hot above 1/128 of all rows, so there are fewer than 128 of them
 
 
@@ -45,14 +47,16 @@ def left_join(fact: DataFrame, side: DataFrame, keys: list[str], *,
 
 
 def spread_left_join(fact: DataFrame, side: DataFrame, keys: list[str], hot: DataFrame, *,
-                     scatter: Column | None = None, salt: Column | None = None) -> DataFrame:
+                     scatter: Column | None = None, salt: Column | None = None,
+                     store: bool = False) -> DataFrame:
     """Left join whose hot keys are dealt over many tasks.
 
     Rows of a hot key take one of its salts, and the side repeats its rows of those keys
     (only those) once per salt. ``scatter`` marks fact rows known to have no partner, such
     as a placeholder; they are dealt out too instead of meeting in one task. ``salt`` is a
     whole number that varies among a key's rows, by default a hash of the whole row. ``hot``
-    must come from :func:`hot_keys`.
+    must come from :func:`hot_keys`. ``store`` writes the side with its repeats first: its size is
+    then known before the join, so a small side reaches the fact rows without shuffling them.
     """
     marks = F.broadcast(hot)
     tasks = int(fact.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
@@ -67,4 +71,6 @@ def spread_left_join(fact: DataFrame, side: DataFrame, keys: list[str], hot: Dat
     copies = (side.join(marks, keys, "left")
               .withColumn("_salt", F.explode(F.sequence(
                   F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts"))
+    if store:
+        copies = stored(copies)
     return salted.join(copies, [*keys, "_salt"], "left").drop("_salt")
