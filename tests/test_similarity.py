@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -47,6 +48,44 @@ def test_nearest_is_exact(cloud, k, parts, sizes):
     assert got == brute(blocks, sims, k)
 
 
+@pytest.mark.parametrize("k", [1, 5])
+def test_small_cells_do_not_multiply_what_is_shuffled(spark, monkeypatch, k):
+    rng = np.random.default_rng(4)
+    m = np.float32(rng.normal(size=(400, 24)))
+    unit = m.astype(float) / np.linalg.norm(m.astype(float), axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, "one", [float(x) for x in v]) for i, v in enumerate(m)],
+                               "id long, block string, vec array<float>")
+    sent, scan = [], similarity._scan
+
+    def counted(candidates, queries, *rest, **more):
+        sent.append(candidates.count() + queries.count())
+        return scan(candidates, queries, *rest, **more)
+
+    monkeypatch.setattr(similarity, "_scan", counted)
+    found = similarity.nearest(df, k=k, chunk=1, cell=8)
+    got = {}
+    for r in found.orderBy("id", "position").collect():
+        got.setdefault(r["id"], []).append((r["nearest_id"], round(r["similarity"], 9)))
+    assert got == brute(["one"] * 400, np.round(unit @ unit.T, 12), k)
+    # placed, searched at home, asked for reach and searched abroad: a few rows for each vector
+    assert sum(sent) <= 8 * 400
+
+
+def test_a_task_holds_a_bounded_number_of_similarities(monkeypatch):
+    monkeypatch.setattr(similarity, "MOST", 600)
+    n, seen = 100, []
+    side = pd.DataFrame({"unit": "u", "role": 0, "block": "b", "f1": range(n), "f2": range(n),
+                         "vec": [np.eye(4)[i % 4] for i in range(n)], "ids": [[i] for i in range(n)]})
+
+    def visit(held, asked, sims):
+        seen.append(sims.shape)
+        return np.arange(len(sims)), {"similarity": sims.max(axis=1)}
+
+    out = pd.concat(similarity._stream(visit)(iter([pd.concat([side, side.assign(role=1)])])))
+    assert len(out) == n and (out["similarity"] == 1).all()
+    assert max(a * b for a, b in seen) <= 600
+
+
 def test_many_queries_share_copies_of_a_unit(cloud, monkeypatch):
     df, blocks, sims = cloud
     monkeypatch.setattr(similarity, "QUERY_RUN", 40)

@@ -10,7 +10,8 @@ block. Nothing is sampled and no pair list is ever shuffled:
    unit, and thousands of small blocks share a task.
 3. Dense vectors: blocks with many candidates and many queries are split into cells around
    pivots (cosine order is distance order on the unit sphere). A query searches its own
-   cell, then only the cells that the triangle inequality cannot rule out.
+   cell, then only the cells that the triangle inequality cannot rule out. Small cells share
+   a unit, so a query travels once for each unit it can reach, not once for each cell.
 4. Sparse vectors (terms and weights): a unit keeps an inverted list for each term. A query
    first adds up the lists of its heavy terms; a candidate whose sum cannot make up for the
    light rest of the query is out, and only the others are multiplied in full.
@@ -41,7 +42,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 CHUNK = 4000        # candidates a unit holds in memory
 QUERY_RUN = 40_000  # queries that one copy of a unit serves
 CELL = 1000         # candidates for each cell of a block
-STEP = 1024         # queries multiplied at a time
+STEP = 1024         # queries multiplied at a time, fewer beside many candidates
+MOST = 4_000_000    # similarities that a task holds at a time
 KEYS = ["block", "f1", "f2"]
 TAIL = 0.4          # length of the light end of a sparse vector that is looked at last
 SEPARATOR = "\u0001"
@@ -84,8 +86,9 @@ def _stream(visit):
                     held = parts[0] if len(parts) == 1 else {
                         c: np.concatenate([p[c] for p in parts]) for c in cols}
                     parts = [held]
-                for at in range(lo, hi, STEP):
-                    cut = slice(at, min(at + STEP, hi))
+                step = max(1, min(STEP, MOST // len(held["vec"])))
+                for at in range(lo, hi, step):
+                    cut = slice(at, min(at + step, hi))
                     # rounded so that the order of summation cannot decide a tie
                     sims = np.round(cols["vec"][cut] @ held["vec"].T, 12)
                     picked, values = visit(held, {c: v[cut] for c, v in cols.items()}, sims)
@@ -99,12 +102,16 @@ def _stream(visit):
     return task
 
 
-def _search(k: int):
+def _search(k: int, own: bool | None = None):
+    """The k best candidates; with ``own`` those of the query's own cell only, or all others."""
     def visit(held, asked, sims):
-        rows = np.arange(len(sims))
+        if own is not None:
+            sims[(held["cell"][None, :] == asked["cell"][:, None]) != own] = -np.inf
         picked, near, ids = [], [], []
         for _ in range(min(k, sims.shape[1])):
             best = sims.argmax(axis=1)  # first of equals: the smallest identifier
+            rows = np.flatnonzero(sims[np.arange(len(sims)), best] > -np.inf)
+            best = best[rows]
             picked.append(rows)
             near.append(sims[rows, best])
             ids.append(held["ids"][best])
@@ -120,16 +127,20 @@ def _distance(sims: np.ndarray) -> np.ndarray:
 
 def _assign(held, asked, sims):
     rows, best = np.arange(len(sims)), sims.argmax(axis=1)
-    return rows, {"cell": held["cell"][best], "distance": _distance(sims[rows, best])}
+    return rows, {"cell": held["cell"][best], "pack": held["pack"][best],
+                  "distance": _distance(sims[rows, best])}
 
 
 def _reachable(held, asked, sims):
-    """Other cells that may hold something as near as the best found so far."""
+    """Packs of other cells that may hold something as near as the best found so far."""
     gap = _distance(sims) - held["reach"][None, :]
     near = gap <= asked["reach"][:, None] + 1e-5
     near &= held["cell"][None, :] != asked["cell"][:, None]
-    row, col = np.nonzero(near)
-    return row, {"cell": held["cell"][col]}
+    packs, place = np.unique(held["pack"], return_inverse=True)
+    order = np.argsort(place, kind="stable")
+    starts = np.searchsorted(place[order], np.arange(len(packs)))
+    row, col = np.nonzero(np.logical_or.reduceat(near[:, order], starts, axis=1))
+    return row, {"pack": packs[col]}
 
 
 class Postings:
@@ -283,8 +294,11 @@ def _with_sizes(df: DataFrame, sizes: DataFrame, group: list[str], count: str) -
 
 
 def _search_units(candidates: DataFrame, queries: DataFrame, group: list[str], k: int,
-                  chunk: int, result: str) -> DataFrame:
-    """Every query against every candidate of its group, in bounded units."""
+                  chunk: int, result: str, own: bool | None = None) -> DataFrame:
+    """Every query against every candidate of its group, in bounded units.
+
+    ``own`` narrows that to candidates of the query's own cell, or to all others.
+    """
     sizes = (candidates.groupBy(*group).agg(F.count("*").alias("_nc"))
              .join(queries.groupBy(*group).agg(F.count("*").alias("_nq")), group)
              .select(*group, "_nc", "_nq", _parts(F.col("_nc"), chunk).alias("_g"),
@@ -297,21 +311,26 @@ def _search_units(candidates: DataFrame, queries: DataFrame, group: list[str], k
             .withColumn("_j", F.pmod("f1", F.col("_g"))).withColumn("_q", every("_s")))
     ask = (_with_sizes(queries, sizes, group, "_nq")
            .withColumn("_q", F.pmod("f2", F.col("_s"))).withColumn("_j", every("_g")))
-    search = _search_sparse(k) if _sparse(candidates) else _search(k)
-    return _scan(cand, ask, [*group, "_j", "_q"], search, result)
+    search = _search_sparse(k) if _sparse(candidates) else _search(k, own)
+    return _scan(cand, ask, [*group, "_j", "_q"], search, result, [] if own is None else ["cell"])
 
 
-def _search_cells(candidates: DataFrame, queries: DataFrame, k: int, chunk: int, cell: int,
+def _search_cells(candidates: DataFrame, queries: DataFrame, k: int, cell: int,
                   result: str) -> DataFrame:
     """Own cell first, then the cells still in reach.
 
     One candidate in ``cell``, by hash, is a pivot; the smallest hash is one in any case.
+    Cells smaller than a unit are packed, by hash, to units of about ``CHUNK`` candidates: what
+    is shuffled grows with the units that a query can reach, not with the candidates.
     """
     keys = "block string, f1 long, f2 long"
-    least = candidates.groupBy("block").agg(F.min("f1").alias("_least"))
+    least = candidates.groupBy("block").agg(
+        F.min("f1").alias("_least"), _parts(F.count("*"), CHUNK).alias("_packs"))
+    pack = F.col("f1") if cell >= CELL else F.pmod(F.xxhash64(F.lit(3), "f1"), F.col("_packs"))
     marks = (candidates.join(least, "block")
              .filter((F.col("f1") == F.col("_least")) | (F.pmod(F.xxhash64(F.lit(2), "f1"), F.lit(cell)) == 0))
-             .drop("_least").withColumn("cell", F.col("f1")).withColumn("reach", F.lit(0.0)))
+             .withColumns({"cell": F.col("f1"), "reach": F.lit(0.0), "pack": pack})
+             .drop("_least", "_packs"))
 
     def dealt(df: DataFrame) -> DataFrame:
         return df.withColumn("_q", F.pmod("f2", F.col("_s")))
@@ -321,17 +340,20 @@ def _search_cells(candidates: DataFrame, queries: DataFrame, k: int, chunk: int,
         copies = marks.join(runs, "block").withColumn(
             "_q", F.explode(F.sequence(F.lit(0), F.col("_s") - 1)))
         return _scan(copies, dealt(df.join(runs, "block")), ["block", "_q"], fn, schema,
-                     extra=["cell", "reach"])
+                     extra=["cell", "reach", "pack"])
 
     def in_cells(df: DataFrame) -> DataFrame:
-        blank = df.withColumns({"cell": F.lit(0).cast("long"), "reach": F.lit(0.0)})
-        placed = with_marks(blank, marks, _stream(_assign), f"{keys}, cell long, distance double")
+        blank = df.withColumns({"cell": F.lit(0).cast("long"), "reach": F.lit(0.0),
+                                "pack": F.lit(0).cast("long")})
+        placed = with_marks(blank, marks, _stream(_assign),
+                            f"{keys}, cell long, pack long, distance double")
         return stored(df.join(placed, KEYS))
 
     cand = in_cells(candidates)
     same = queries is candidates
     ask = cand if same else in_cells(queries)
-    own = stored(_best(_search_units(cand, ask, ["block", "cell"], k, chunk, result), k))
+    unit = ["block", "pack"]
+    own = stored(_best(_search_units(cand, ask, unit, k, CHUNK, result, own=True), k))
 
     radius = cand.groupBy("block", "cell").agg(F.max("distance").alias("reach"))
     worst = own.groupBy(*KEYS).agg(F.count("*").alias("_n"), F.min("similarity").alias("_s"))
@@ -339,10 +361,9 @@ def _search_cells(candidates: DataFrame, queries: DataFrame, k: int, chunk: int,
     pending = (ask.join(worst, KEYS, "left")
                .withColumn("reach", F.coalesce(reach, F.lit(4.0))).drop("_n", "_s"))
     rings = marks.drop("reach").join(radius, ["block", "cell"])
-    visits = with_marks(pending, rings, _stream(_reachable), f"{keys}, cell long")
-    again = queries.join(visits, KEYS)
-    more = _search_units(cand, again, ["block", "cell"], k, chunk, result)
-    return own.unionByName(more)
+    visits = with_marks(pending, rings, _stream(_reachable), f"{keys}, pack long")
+    again = ask.drop("pack").join(visits, KEYS)
+    return own.unionByName(_search_units(cand, again, unit, k, CHUNK, result, own=False))
 
 
 def _search_dense(cand: DataFrame, ask: DataFrame, k: int, chunk: int, cell: int,
@@ -356,7 +377,7 @@ def _search_dense(cand: DataFrame, ask: DataFrame, k: int, chunk: int, cell: int
     if not large.isEmpty():
         big_c = cand.join(large, "block", "left_semi")
         big_q = big_c if ask is cand else ask.join(large, "block", "left_semi")
-        found = found.unionByName(_search_cells(big_c, big_q, k, chunk, cell, result))
+        found = found.unionByName(_search_cells(big_c, big_q, k, cell, result))
     return found
 
 
