@@ -106,3 +106,9 @@ def test_a_point_look_up_skips_row_groups(spark, sf, tmp_path):
     assert _scanned(found) < works.count() / 10 and found.count() == 1
     # a key between others that no row has is ruled out by the Bloom filters
     assert _scanned(works.filter(F.col("Work_ID") == one[:-1] + "x")) < works.count() / 10
+
+
+def test_words_are_counted_once_for_a_search(spark, sf):
+    df = entry.queries()["text_duplicates"](spark, sf)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "split(" not in plan and "Work_Description" not in plan

@@ -167,6 +167,29 @@ def test_sparse_search_is_exact(bags, k, sizes):
     assert got == brute(blocks, sims, k)
 
 
+def test_units_of_words_are_bounded_by_their_terms(bags, monkeypatch):
+    df, blocks, sims = bags
+    sent, scan = [], similarity._scan
+
+    def counted(candidates, queries, *rest, **more):
+        sent.append((candidates.count(), queries.count()))
+        return scan(candidates, queries, *rest, **more)
+
+    monkeypatch.setattr(similarity, "_scan", counted)
+    monkeypatch.setattr(similarity, "CHUNK", 10)   # no limit for words
+    for terms, copies in ((10**6, 1), (400, 2)):
+        monkeypatch.setattr(similarity, "POSTINGS", terms)
+        got = {r["id"]: r["nearest_id"] for r in similarity.nearest(df).collect()}
+        assert got == {i: v[0][0] for i, v in brute(blocks, sims, 1).items()}
+        asked = sent[-1][1]
+        assert asked <= 400 if copies == 1 else asked > 400
+    monkeypatch.setattr(similarity, "POSTINGS", 10**6)
+    monkeypatch.setattr(similarity, "SPARSE_RUNS", (8, 50))   # the work of a block is shared out
+    got = {r["id"]: r["nearest_id"] for r in similarity.nearest(df).collect()}
+    assert got == {i: v[0][0] for i, v in brute(blocks, sims, 1).items()}
+    assert sent[-1][0] > 400 >= sent[-1][1]
+
+
 def test_light_terms_are_only_read_where_they_matter(bags):
     """Most candidates share no heavy term with a query and are not multiplied in full."""
     df, _, sims = bags
