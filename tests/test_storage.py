@@ -1,5 +1,7 @@
 """What is stored between steps, and what the joins of the ETL carry."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from worksrisk import standin
@@ -48,6 +50,45 @@ def test_first_lines_are_those_of_the_dedupe(spark):
     assert sorted(first.collect()) == sorted(whole.collect())
 
 
+def test_inputs_are_read_from_the_stored_lines(spark):
+    """No export or input shuffles lines to meet customers or parts, whatever the size of those."""
+    standin.exports(spark, TINY)
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", 2000)   # only nations and regions are smaller
+    try:
+        for df in (standin.exports(spark, TINY).recommended, standin.work_inputs(spark, TINY),
+                   standin.compliance_inputs(spark, TINY)):
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            for key in ("custkey", "partkey"):
+                assert not re.search(rf"hashpartitioning\([lopc]_{key}", plan), plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+def test_the_order_of_entries_is_that_of_whole_lines(spark, tmp_path):
+    """Also where two orders share a work, or lines have none."""
+    lines = spark.read.parquet(f"{TINY}/lineitem.parquet")
+    orders = spark.read.parquet(f"{TINY}/orders.parquet")
+    odd = {"none": (lines, orders.withColumn("o_custkey", F.when(F.col("o_orderkey") % 7 != 0, F.col("o_custkey")))),
+           "two": (lines.withColumn("l_linenumber", (F.col("l_linenumber") + F.when(
+               F.col("l_orderkey") % 3 == 0, 10).otherwise(0)).cast("int")),
+               orders.withColumns({"o_custkey": F.lit(5).cast("long"), "o_orderdate": F.lit("1996-05-01").cast("timestamp_ntz")}))}
+    for name, (some, of) in odd.items():
+        folder = str(tmp_path / name)
+        for other in ("customer", "part", "supplier", "nation", "region"):
+            spark.read.parquet(f"{TINY}/{other}.parquet").write.parquet(f"{folder}/{other}.parquet")
+        some.write.parquet(f"{folder}/lineitem.parquet")
+        of.write.parquet(f"{folder}/orders.parquet")
+        short = etl.build_master(standin.exports(spark, folder), standin.as_of())
+        long = etl.build_master(standin.exports(spark, folder, sortable=True), standin.as_of())
+        assert short.count() == long.count() and short.exceptAll(long).isEmpty()
+    short = standin.exports(spark, TINY).sanctioned
+    assert dict(short.dtypes)[ORDER] == "int"
+    first = etl.keep_first(short, ["Work_ID"], [ORDER]).drop(ORDER)
+    whole = etl.keep_first(standin.exports(spark, TINY, sortable=True).sanctioned, ["Work_ID"], [ORDER]).drop(ORDER)
+    assert sorted(first.collect()) == sorted(whole.collect())
+
+
 def test_a_small_side_reaches_works_without_a_shuffle_of_them(spark):
     star = standin.star(spark, TINY)
     plan = attach_vendor(star.works, star.vendors)._jdf.queryExecution().executedPlan().toString()
