@@ -100,7 +100,7 @@ def expenditure_per_work(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def master_join(spark: SparkSession, sf: str) -> DataFrame:
-    return etl.build_master(standin.exports(spark, sf), standin.as_of()).select(
+    return etl.build_master(standin.exports(spark, sf, keyed=True), standin.as_of()).select(
         "Work_ID", "House", "MP_Name", "Vendor_Name", "State", "Constituency",
         "Work_Description", "Work_Status", "Recommended_Date", "Sanction_Date",
         "Completion_Date", "Recommended_Amount", "Sanction_Amount", "Disbursed_Amount")

@@ -93,3 +93,39 @@ def test_a_small_side_reaches_works_without_a_shuffle_of_them(spark):
     star = standin.star(spark, TINY)
     plan = attach_vendor(star.works, star.vendors)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" not in plan and "hashpartitioning(Vendor_Name" not in plan
+
+
+def test_works_in_buckets_of_their_order_are_joined_without_a_shuffle(spark):
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", 10000)   # only suppliers are smaller
+    try:
+        files = standin.exports(spark, TINY, keyed=True)
+        first = etl.keep_first(etl.keyed(files.sanctioned), [etl.GROUP, etl.KEY], [ORDER])
+        paid = etl.expenditure_per_work(files.expenditure, etl.KEY)
+        for side in (paid, standin.work_inputs(spark, TINY).drop("Work_ID")):
+            plan = etl.join_of_work(first, side)._jdf.queryExecution().executedPlan().toString()
+            assert "SortMergeJoin" in plan and "Exchange hashpartitioning" not in plan, plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    plain = etl.build_master(standin.exports(spark, TINY), standin.as_of(), standin.work_inputs(spark, TINY))
+    assert plain.exceptAll(standin.master(spark, TINY)).isEmpty() and plain.count() == standin.master(spark, TINY).count()
+
+
+def test_orders_of_one_key_and_two_customers_make_different_works(spark, tmp_path):
+    folder = str(tmp_path / "mixed")
+    orders = spark.read.parquet(f"{TINY}/orders.parquet")
+    for other in ("customer", "part", "supplier", "nation", "region", "lineitem"):
+        spark.read.parquet(f"{TINY}/{other}.parquet").write.parquet(f"{folder}/{other}.parquet")
+    orders.union(orders.filter("o_orderkey % 9 = 0").withColumn(
+        "o_custkey", (F.col("o_custkey") + 1).cast("long"))).write.parquet(f"{folder}/orders.parquet")
+    short = standin.master(spark, folder)
+    whole = etl.build_master(standin.exports(spark, folder, sortable=True), standin.as_of(),
+                             standin.work_inputs(spark, folder))
+    assert short.count() == whole.count() > standin.master(spark, TINY).count()
+    assert short.exceptAll(whole).isEmpty()
+
+
+def test_compliance_columns_that_come_with_the_master_equal_those_joined_later(spark):
+    plain = etl.compliance_table(standin.master(spark, TINY), standin.compliance_inputs(spark, TINY))
+    kept = standin.star(spark, TINY).compliance.select(plain.columns)
+    assert kept.count() == plain.count() and kept.exceptAll(plain).isEmpty()

@@ -17,6 +17,8 @@ from worksrisk.sources.star import Star
 # fixed values: columns the right-hand tables bring, and so must not come twice
 JOINED_IN = ("Sanction_Date", "Sanction_Amount", "Work_Status", "Completion_Date")
 KEY, NO_WORK = "_work_key", "\u0000"
+GROUP = "_work_group"   # optional: a number that all rows of a work share, and few works
+COMPLIANCE_ONLY = tuple(c for c in S.COMPLIANCE.names if c not in ("Work_ID", "Work_Description_Full"))
 DATES = ("Recommended_Date", "Sanction_Date", "Completion_Date")
 
 
@@ -32,19 +34,40 @@ def keep_first(df: DataFrame, keys: list[str], order: list[Column | str]) -> Dat
 
 def expenditure_per_work(payments: DataFrame, key: str = "Work_ID") -> DataFrame:
     """Total paid and one vendor per work; payments without an identifier are left out."""
-    return (payments.filter(F.col(key).isNotNull()).groupBy(key)
+    keys = work_keys(payments) if key == KEY else [key]
+    return (payments.filter(F.col(key).isNotNull()).groupBy(*keys)
             .agg(F.sum("Disbursed_Amount").alias("Disbursed_Amount"),
                  F.coalesce(F.min("`Vendor Name`"), F.lit(S.PLACEHOLDER_VENDOR))
                  .alias("Vendor_Name")))
 
 
+def work_keys(df: DataFrame) -> list[str]:
+    return [GROUP, KEY] if GROUP in df.columns else [KEY]
+
+
+def join_of_work(master: DataFrame, side: DataFrame) -> DataFrame:
+    """Left join by ``KEY``; tables with groups meet by group, so buckets of it need no shuffle.
+
+    The keys are then compared by their difference: as an equality, Spark would shuffle by them.
+    """
+    if GROUP not in side.columns:
+        return left_join(master, side, [KEY])
+    right = side.withColumnsRenamed({GROUP: "_r_group", KEY: "_r_key"})
+    same = (F.col(GROUP) == F.col("_r_group")) & (F.col(KEY) - F.col("_r_key") == 0)
+    return master.join(right, same, "left").drop("_r_group", "_r_key")
+
+
 def work_key(work_id: Column) -> Column:
     """Never null, so that equality and hash partitioning fit; the null work has its own."""
     return F.coalesce(work_id, F.lit(NO_WORK))
 
 
 def keyed(df: DataFrame) -> DataFrame:
-    """``KEY`` in place of the identifier, so that a shuffle carries it once."""
+    """``KEY`` in place of the identifier, so that a shuffle carries it once.
+
+    A table may bring a ``KEY`` of numbers beside the identifier: never null, equal where and only
+    where the identifiers are equal.
+    """
     if KEY in df.columns:
         return df
     return df.withColumn(KEY, work_key(F.col("Work_ID"))).drop("Work_ID")
@@ -55,19 +78,26 @@ def join_master(recommended: DataFrame, sanctioned: DataFrame, completed: DataFr
     """One row per recommended work with what the other exports say about it.
 
     The three work tables are unique per ``KEY``, on which they were deduplicated and are
-    joined now, so each side is shuffled once, the caller's ``inputs`` too.
+    joined now, so each side is shuffled once, the caller's ``inputs`` too. Where the tables
+    bring a ``KEY`` of their own, all must; only the first then carries the identifier. So with
+    ``GROUP``: tables stored in buckets of it are not shuffled at all.
     """
     recommended, sanctioned, completed = (keyed(df) for df in (recommended, sanctioned, completed))
     master = recommended.drop(*JOINED_IN)
-    sides = [sanctioned.select(KEY, "Sanction_Date", "Sanction_Amount", "Work_Status"),
-             completed.select(KEY, "Completion_Date"),
-             expenditure_per_work(expenditure.withColumn(KEY, F.col("Work_ID")), KEY)]
+    keys = work_keys(recommended)
+    sides = [sanctioned.select(*keys, "Sanction_Date", "Sanction_Amount", "Work_Status"),
+             completed.select(*keys, "Completion_Date"),
+             expenditure_per_work(expenditure if KEY in expenditure.columns
+                                  else expenditure.withColumn(KEY, F.col("Work_ID")), KEY)]
     if inputs is not None:   # a work without an identifier finds nothing there
-        sides.append(inputs.filter(F.col("Work_ID").isNotNull()).withColumnRenamed("Work_ID", KEY))
+        sides.append(inputs.drop("Work_ID") if KEY in inputs.columns else
+                     inputs.filter(F.col("Work_ID").isNotNull()).withColumnRenamed("Work_ID", KEY))
     for side in sides:
-        master = left_join(master, side, [KEY])
-    work = F.when(F.col(KEY) != NO_WORK, F.col(KEY)).alias("Work_ID")
-    return master.select(work, *(F.col(f"`{c}`") for c in master.columns if c != KEY)).fillna({
+        master = join_of_work(master, side)
+    work = (F.col("Work_ID") if "Work_ID" in master.columns
+            else F.when(F.col(KEY) != NO_WORK, F.col(KEY)).alias("Work_ID"))
+    return master.select(work, *(F.col(f"`{c}`") for c in master.columns
+                                 if c not in (KEY, GROUP, "Work_ID"))).fillna({
         "Work_Status": "Recommended", "Disbursed_Amount": 0.0, "Sanction_Amount": 0.0,
         "Vendor_Name": S.PLACEHOLDER_VENDOR,
     })
@@ -103,12 +133,18 @@ def build_master(files: HouseFiles, as_of: Column, inputs: DataFrame | None = No
     """Deduplicate, join, fill and derive.
 
     ``inputs`` may bring per-work columns that the exports do not have (quantity,
-    unit, calamity flag), keyed by ``Work_ID``.
+    unit, calamity flag), keyed by ``Work_ID``. A ``KEY`` or ``GROUP`` of the caller's counts if
+    all tables have it.
     """
-    first = {kind: keep_first(keyed(getattr(files, kind)), [KEY], [ORDER]).drop(ORDER)
-             for kind in ("recommended", "sanctioned", "completed")}
+    tables = {kind: getattr(files, kind) for kind in ("recommended", "sanctioned", "completed", "expenditure")}
+    for own in ([KEY, GROUP], [GROUP]):   # groups only beside keys
+        if not all(own[0] in df.columns for df in (*tables.values(), *([] if inputs is None else [inputs]))):
+            tables = {kind: df.drop(*own) for kind, df in tables.items()}
+            inputs = None if inputs is None else inputs.drop(*own)
+    first = {kind: keep_first(keyed(df), work_keys(df) if KEY in df.columns else [KEY], [ORDER]).drop(ORDER)
+             for kind, df in tables.items() if kind != "expenditure"}
     master = join_master(first["recommended"], first["sanctioned"], first["completed"],
-                         files.expenditure, inputs)
+                         tables["expenditure"], inputs)
     return derive_measures(parse_dates(master), as_of)
 
 
@@ -189,11 +225,15 @@ def attach_constituency_id(master: DataFrame, geography: DataFrame) -> DataFrame
     return left_join(master, keys, ["State", "Constituency"], null_safe=True)
 
 
-def compliance_table(master: DataFrame, inputs: DataFrame) -> DataFrame:
-    """Caller's compliance columns per work, with the full description."""
+def compliance_table(master: DataFrame, inputs: DataFrame | None = None) -> DataFrame:
+    """Caller's compliance columns per work, with the full description.
+
+    Without ``inputs``, those that the master's own inputs have brought.
+    """
+    brought = [c for c in COMPLIANCE_ONLY if c in master.columns and inputs is None]
     text = master.select(
-        "Work_ID", F.coalesce("Work_Description", F.lit("")).alias("Work_Description_Full"))
-    return left_join(text, inputs, ["Work_ID"])
+        "Work_ID", F.coalesce("Work_Description", F.lit("")).alias("Work_Description_Full"), *brought)
+    return text if inputs is None else left_join(text, inputs, ["Work_ID"])
 
 
 def build_star(master: DataFrame, *, vendor_inputs: DataFrame | None = None,
@@ -202,13 +242,12 @@ def build_star(master: DataFrame, *, vendor_inputs: DataFrame | None = None,
     """All five tables of one master; store the master first, five outputs read it.
 
     The places are stored here: two tables read them, and once their size is known, works need
-    no shuffle to find their place.
+    no shuffle to find their place. Compliance columns may come with the master's inputs, which
+    joins them once, or in ``compliance_inputs``.
     """
     geography = stored(geography_dimension(master, geography_inputs))
-    if compliance_inputs is None:
-        compliance_inputs = master.select("Work_ID").distinct()
     return Star(
-        works=attach_constituency_id(master, geography),
+        works=attach_constituency_id(master.drop(*COMPLIANCE_ONLY), geography),
         members=member_dimension(master),
         vendors=vendor_dimension(master, vendor_inputs),
         geography=geography,

@@ -40,6 +40,18 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stored_in_buckets(df: DataFrame, column: str) -> DataFrame:
+    """The same rows, stored in as many buckets of a column as there are shuffle partitions.
+
+    Windows, sums and joins by that column need no shuffle of what is read from there.
+    """
+    spark = df.sparkSession
+    n, name = int(spark.conf.get("spark.sql.shuffle.partitions", "200")), f"stored_{uuid.uuid4().hex}"
+    (df.write.format("parquet").option("path", f"{storage_folder(spark).rstrip('/')}/{name}")
+     .option("compression", "zstd").bucketBy(n, column).sortBy(column).saveAsTable(name))
+    return spark.table(name)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder of this library's own intermediate files, wherever it is stored."""
     jvm = spark.sparkContext._jvm
