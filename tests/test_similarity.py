@@ -287,3 +287,19 @@ def test_word_vectors_are_stored_with_their_model(spark, tmp_path):
     known, unknown = 2 * np.log(3 / 2) ** 2, np.log(3) ** 2   # squared weights of the request's words
     assert found["nearest_duplicate_work_id"] == "a"
     assert found["nearest_similarity"] == pytest.approx(np.sqrt(known / (known + unknown)))
+
+
+def test_vectors_by_a_held_vocabulary_need_no_shuffle_and_equal_the_joined_ones(spark, monkeypatch):
+    df = spark.createDataFrame([(1, "road road  to A"), (2, "to a bridge"), (3, ""), (4, None), (5, "to"), (6, "\u0905\u093e to x9"),
+                                (7, "unheard of"), (8, "to to")], "i int, t string")
+    model = texts.fit_words(df.filter("i < 7"), "t")
+    held = model.vectors(df, "t")
+    assert "Exchange" not in held._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(texts, "VOCABULARY", 1)
+    joined = {r["i"]: r["embedding"] for r in model.vectors(df, "t").collect()}
+    for row in held.collect():
+        a, b = row["embedding"], joined[row["i"]]
+        assert (a is None) == (b is None)
+        if a is not None:
+            assert a["terms"] == b["terms"] and a["weights"] == pytest.approx(b["weights"], rel=1e-12)
+    assert joined[3] is None and joined[7]["terms"] == []
