@@ -98,3 +98,32 @@ def test_plain_pieces_are_the_pre_tokeniser_s_matches():
         assert found == wanted, rest
     for rest in ["", "a1", "don't", "a\n", "\na", "a\n\nb", "a\tb", "日本", ".", "a-b", "a.b"]:
         assert token_files.plain_matches(rest) is None, rest
+
+
+def test_new_words_are_encoded_several_at_a_time(monkeypatch):
+    """Words that share a text of the library get the ids they have alone."""
+    own, library = token_files.Encoder(PATH), Tokenizer.from_file(PATH)
+    some = ["".join(random.Random(i).choices("abcdeéñwüя", k=3 + i % 9)) for i in range(400)]
+    text = "\n".join(" ".join(some[i:i + 7]) for i in range(0, 400, 7)) + " last, 日本 x1"
+    asked, plain = [], own._ids
+
+    def counted(texts):
+        asked.extend(texts)
+        return plain(texts)
+
+    monkeypatch.setattr(own, "_ids", counted)
+    wanted = library.encode(text, add_special_tokens=False).ids
+    assert own.encode([text])[0].tolist() == wanted
+    assert len(asked) < 60
+    own = token_files.Encoder(PATH)
+    own.bytes_of[:] += 1     # lengths that tell nothing: words go to the library one by one
+    assert own.encode([text])[0].tolist() == wanted
+
+
+def test_texts_are_worked_on_some_characters_at_a_time(monkeypatch):
+    some = texts(60, 5)
+    whole = token_files.Encoder(PATH).encode(some)
+    monkeypatch.setattr(token_files, "CHARACTERS", 50)
+    for a, b in zip(whole, token_files.Encoder(PATH).encode(some), strict=True):
+        assert a.tolist() == b.tolist()
+    assert token_files.Encoder(PATH).encode([]) == []

@@ -29,7 +29,8 @@ def encode(numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     padded[:n] = values
     padded[at] = 0
     values = padded[:n]
-    # for each place, the selector that fits most of the numbers from there on
+    # for each place, the selector that fits most of the numbers from there on; one of more,
+    # narrower numbers fits only where the one before it does
     places = np.arange(n)
     selector = np.full(n, len(COUNTS) - 1, np.int64)
     widest = int(values.max()).bit_length() if n else 0
@@ -37,12 +38,13 @@ def encode(numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         if BITS[s] >= widest:
             selector[:] = s
             continue
-        too_large = np.where(values >> np.uint64(BITS[s]), places, n + max(COUNTS))
-        following = np.minimum.accumulate(too_large[::-1])[::-1]
-        fits = following - places >= COUNTS[s]
-        if not fits.any():
-            break   # a selector of more, narrower numbers fits nowhere either
-        selector[fits] = s
+        too_large = np.append(np.flatnonzero(values >= np.uint64(1 << BITS[s])), n + max(COUNTS))
+        following = too_large[np.searchsorted(too_large, places)] if 16 * len(places) < n else np.repeat(
+            too_large, np.diff(too_large, prepend=-1))[places]
+        places = places[following - places >= COUNTS[s]]
+        if not len(places):
+            break
+        selector[places] = s
     steps = _COUNT_OF[selector + FIRST].tolist()
     starts, place = [], 0
     while place < n:

@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,12 +31,19 @@ from worksrisk.session import Staging
 MAGIC = b"S8TOKENS"
 BLOCK_IDS = 1 << 17
 PIECES, MATCHES = 1_000_000, 500_000   # that a Python worker remembers
+JOINED = 20               # words that the library gets as one text
+CHARACTERS = 8_000_000    # of texts that are cut and looked up at a time
 
 
 # ----------------------------------------------------------------------- tokens
 SIGNS, LAST_LETTER = ".,;:!?*$&%#|()", "\u052f"
 
 
+def _is_word(text: str) -> bool:
+    """Letters only, none of a younger script."""
+    return text.isalpha() and (text.isascii() or max(text) <= LAST_LETTER)
+
+
 def plain_matches(rest: str) -> list[str] | None:
     """The pre-tokeniser's matches of a space and ``rest``, or None for all but plain forms.
 
@@ -46,7 +54,7 @@ def plain_matches(rest: str) -> list[str] | None:
     found, blank = [], " "
     for line in rest.split("\n"):
         word = line.rstrip(SIGNS)
-        if not word.isalpha() or not word.isascii() and max(word) > LAST_LETTER:
+        if not _is_word(word):
             return None
         found.append(blank + word)
         if len(word) < len(line):
@@ -61,10 +69,11 @@ class Encoder:
     """Ids of whole texts by a tokenizer file of the tokenizers library.
 
     For plain byte-level tokenizers a text is cut where the pre-tokeniser cuts in any case, and
-    the ids of pieces seen before are remembered. Of the others, those of a plain form are cut
+    the ids of pieces seen before are remembered; equal pieces of a call are looked up once, and
+    ids are dealt to the texts by numpy. Of the others, those of a plain form are cut
     into words, signs and line breaks, which recur more often than whole pieces; the library
-    encodes what is then still unknown, in batches. Texts that hold an added token's string,
-    and other kinds of tokenizers, are encoded whole.
+    encodes what is then still unknown, several words in one text. Texts that hold an added token's
+    string, and other kinds of tokenizers, are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -78,39 +87,118 @@ class Encoder:
                       and first.get("use_regex", True) and not parts.get("normalizer"))
         self.added = [t["content"] for t in parts.get("added_tokens", [])]
         self.known, self.matches = Remembered(None, PIECES), Remembered(None, MATCHES)
+        vocabulary = self.tokenizer.get_vocab() if self.plain else {}
+        self.bytes_of = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
+        for token, i in vocabulary.items():
+            self.bytes_of[i] = len(token)   # byte-level tokens have a character for each byte
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes()
                 for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _cut(self, text: str) -> tuple[str, list[str]]:
-        """What stands before the first cut, and the pieces after it without their space."""
-        if not self.plain or any(a in text for a in self.added):
-            return text, []
-        if cuts_are_safe(text):
-            first, *rest = text.split(" ")
-            return first, rest
-        pieces = units(text)
-        first = "" if text.startswith(" ") else pieces.pop(0)
-        return first, [p[1:] for p in pieces]
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        cut = [self._cut(t) for t in texts]
-        pieces, unseen = self.known.found(set().union(*(rest for _, rest in cut)))
-        parts = [plain_matches(rest) or [" " + rest] for rest in unseen]
+    def _ids_of_words(self, words: list[str]) -> list[bytes]:
+        """Ids of words with the space before them, or a line break after them, which are cut
+        there in a longer text as well.
+
+        No id reaches over a cut, so the lengths of words and ids in bytes tell whose they are.
+        """
+        joined = ["".join(words[i:i + JOINED]) for i in range(0, len(words), JOINED)]
+        if any(a in text for text in joined for a in self.added):
+            return self._ids(words)
+        ids = np.frombuffer(b"".join(self._ids(joined)), np.uint32)
+        ends = np.cumsum(self.bytes_of[ids])
+        wanted = np.cumsum([len(w) if w.isascii() else len(w.encode()) for w in words])
+        cuts = np.searchsorted(ends, wanted)
+        if not len(ends) or ends[-1] != wanted[-1] or not np.array_equal(ends[cuts], wanted):
+            return self._ids(words)
+        raw, last = ids.tobytes(), (4 * (cuts + 1)).tolist()
+        return [raw[lo:hi] for lo, hi in zip([0, *last], last)]
+
+    def _cut(self, texts: list[str]) -> tuple[list[int], list[str], pa.Array, np.ndarray]:
+        """Texts in an order of their own: their places, what stands before the first cut, all
+        pieces after it without their space, and the number of these in each text.
+        """
+        easy, hard, lists = [], [], []
+        for i, text in enumerate(texts):
+            if not self.plain or any(a in text for a in self.added):
+                hard.append(i)
+                lists.append([text])
+            elif cuts_are_safe(text):
+                easy.append(i)
+            else:
+                pieces = units(text)
+                hard.append(i)
+                lists.append([*([""] if text.startswith(" ") else [pieces.pop(0)]),
+                              *(p[1:] for p in pieces)])
+        split = pc.split_pattern(pa.array([texts[i] for i in easy], pa.large_string()), " ")
+        both = pa.concat_arrays([split, pa.array(lists, split.type)])
+        starts, flat = both.offsets.to_numpy(), both.flatten()
+        later = np.ones(len(flat), bool)
+        later[starts[:-1]] = False
+        return (easy + hard, flat.take(pa.array(starts[:-1])).to_pylist(),
+                flat.filter(pa.array(later)), np.diff(starts) - 1)
+
+    def _known(self, rests: list[str]) -> list[bytes]:
+        """Ids of distinct pieces, given without the space before them."""
+        pieces, unseen = self.known.found(rests)
+        parts = []
+        for rest in unseen:
+            word = rest.rstrip(SIGNS)
+            if not _is_word(word):
+                parts.append(plain_matches(rest) or (" " + rest,))
+            elif len(word) == len(rest):
+                parts.append((" " + rest,))
+            else:
+                parts.append((" " + word, rest[len(word):]))
         matches, new = self.matches.found(set().union(*parts))
-        for i in range(0, len(new), 10_000):
-            some = new[i:i + 10_000]
-            ids = dict(zip(some, self._ids(some)))
-            matches |= ids
-            self.matches.keep_all(ids)
+        kinds: tuple = [], [], []
+        for match in new:
+            spaced = match[0] == " "
+            kinds[2 if not _is_word(match[spaced:]) else 0 if spaced else 1].append(match)
+        for some, encode in zip(kinds, (self._ids_of_words, self._ids_of_lines, self._ids)):
+            for i in range(0, len(some), 10_000):
+                now = some[i:i + 10_000]
+                ids = dict(zip(now, encode(now)))
+                matches |= ids
+                self.matches.keep_all(ids)
         of_match = matches.__getitem__
-        fresh = {rest: b"".join(map(of_match, part)) for rest, part in zip(unseen, parts)}
-        pieces |= fresh
+        fresh = {rest: of_match(part[0]) if len(part) == 1 else b"".join(map(of_match, part))
+                 for rest, part in zip(unseen, parts)}
         self.known.keep_all(fresh)
-        heads = self._ids([first for first, _ in cut])
-        return [np.frombuffer(b"".join([head, *map(pieces.__getitem__, rest)]), np.uint32)
-                for head, (_, rest) in zip(heads, cut)]
+        pieces |= fresh
+        return [pieces[rest] for rest in rests]
+
+    def _ids_of_lines(self, words: list[str]) -> list[bytes]:
+        """Ids of words without a space before them: a line break after each is an id of its own."""
+        return [found[:-4] for found in self._ids_of_words([word + "\n" for word in words])]
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text; texts of some million characters are worked on at a time."""
+        found, run, held = [], [], 0
+        for text in texts:
+            run.append(text)
+            held += len(text)
+            if held >= CHARACTERS:
+                found += self._encode(run)
+                run, held = [], 0
+        return found + self._encode(run) if run else found
+
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+        order, firsts, rests, counts = self._cut(texts)
+        coded = rests.dictionary_encode()
+        known = self._known(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+        sizes = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        ids, which = np.frombuffer(b"".join(known), np.uint32), coded.indices.to_numpy()
+        taken = sizes[which]
+        ends = np.concatenate([[0], np.cumsum(taken)])
+        shift = (np.cumsum(sizes) - sizes)[which] - ends[:-1]
+        dealt = ids[np.repeat(shift, taken) + np.arange(ends[-1])]
+        heads = self._ids(firsts)
+        upto = ends[np.concatenate([[0], np.cumsum(counts)])].tolist()
+        out: list = [None] * len(texts)
+        for place, head, lo, hi in zip(order, heads, upto, upto[1:]):
+            out[place] = np.concatenate([np.frombuffer(head, np.uint32), dealt[lo:hi]])
+        return out
 
 
 # ----------------------------------------------------------------------- format
