@@ -1,5 +1,6 @@
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -190,6 +191,69 @@ def test_units_of_words_are_bounded_by_their_terms(bags, monkeypatch):
     assert sent[-1][0] > 400 >= sent[-1][1]
 
 
+def test_small_blocks_of_words_travel_once(bags, monkeypatch):
+    """Blocks of one unit and one run are candidates and queries at a time; only others are sent as both."""
+    df, blocks, sims = bags
+    sent, scan = [], similarity._scan
+
+    def counted(candidates, queries, *rest, **more):
+        sent.append((candidates.count(), queries.count()))
+        return scan(candidates, queries, *rest, **more)
+
+    monkeypatch.setattr(similarity, "_scan", counted)
+    wanted = {i: [(j, round(s, 9)) for j, s in v] for i, v in brute(blocks, sims, 3).items()}
+
+    def found():
+        got = {}
+        for r in similarity.nearest(df.repartition(3), k=3).orderBy("id", "position").collect():
+            got.setdefault(r["id"], []).append((r["nearest_id"], round(r["similarity"], 9)))
+        return got
+
+    assert found() == wanted and sent.pop() == (0, 0)
+    monkeypatch.setattr(similarity, "SPARSE_RUNS", (8, 50))
+    assert found() == wanted and sent.pop()[1] <= 250   # the large block alone
+    monkeypatch.setattr(similarity, "CELLS", 0)         # no unit is held as a matrix
+    assert found() == wanted
+
+
+def test_whole_units_may_come_in_pieces(bags):
+    """A unit is searched when its last row has come, however its rows are cut into batches."""
+    df, blocks, sims = bags
+    rows = df.filter("block = 'b0' or block = 'b1' or block = 'b39'").orderBy("block", "id").collect()
+    table = pa.table({"unit": [r.block for r in rows], "block": [r.block for r in rows],
+                      "f1": [r.id for r in rows], "f2": [r.id for r in rows],
+                      "terms": pa.array([r.vec.terms for r in rows], pa.list_(pa.int64())),
+                      "weights": pa.array([r.vec.weights for r in rows], pa.list_(pa.float64())),
+                      "ids": [[r.id] for r in rows]})
+    for size in (1, 2, 3, 100):
+        out = pa.Table.from_batches(similarity._search_whole(3)(iter(table.to_batches(max_chunksize=size))))
+        got = {}
+        for r in out.to_pylist():
+            got.setdefault(r["f1"], []).append((r["ids"][0], round(r["similarity"], 9)))
+        for i, best in got.items():
+            mates = [j for j in range(400) if blocks[j] == blocks[i]]
+            wanted = sorted(mates, key=lambda j: (-sims[i, j], j))[:3]
+            assert best == [(j, round(sims[i, j], 9)) for j in wanted]
+        assert len(got) == len(rows)
+
+
+def test_a_model_runs_once_for_an_index(spark, tmp_path):
+    log = str(tmp_path / "log")
+
+    def load():
+        def encode(told):
+            with open(log, "a") as f:
+                f.write("".join(f"{t}\n" for t in told))
+            return np.ones((len(told), 2), np.float32)
+        return encode
+
+    works = spark.createDataFrame([(f"w{i}", f"v{i % 3}", "c", f"text {i}") for i in range(50)],
+                                  "Work_ID string, Vendor_Name string, Constituency string, text string")
+    star.write_index(texts.Encoder("ones", load).vectors(works, "text"), str(tmp_path / "index"), "ones")
+    with open(log) as f:
+        assert sorted(f.read().split("\n")[:-1]) == sorted(f"text {i}" for i in range(50))
+
+
 def test_light_terms_are_only_read_where_they_matter(bags):
     """Most candidates share no heavy term with a query and are not multiplied in full."""
     df, _, sims = bags
