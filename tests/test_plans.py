@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from worksrisk import standin
-from worksrisk.operators import browse, etl, ranks
+from worksrisk.operators import browse, etl, features, ranks
+from worksrisk.plans import scoring
 from worksrisk.sources import star as star_io
 
 
@@ -112,3 +113,22 @@ def test_words_are_counted_once_for_a_search(spark, sf):
     df = entry.queries()["text_duplicates"](spark, sf)
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert "split(" not in plan and "Work_Description" not in plan
+
+
+def test_few_vendors_reach_works_without_a_shuffle(spark, sf):
+    """Whatever the broadcast limit: a table of vendors that a task can hold is brought to the works."""
+    star = standin.star(spark, sf)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = features.attach_vendor(star.works, star.vendors)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_mean_zone_risk_needs_no_other_join(spark, sf):
+    star, df = standin.star(spark, sf), standin.features(spark, sf)
+    near, whole = (scoring.rule_signals(df, zone=z) for z in (scoring.zones(star), None))
+    assert near.select("Work_ID", "spatial").exceptAll(whole.select("Work_ID", "spatial")).isEmpty()
+    plan = scoring.zones(star).agg(F.avg("Zone_Fraud_Risk_Score"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1

@@ -87,3 +87,31 @@ def test_sketches_are_small_merge_and_err_little(spark):
     assert len(near) == 6000 and worst <= ranks.RANK_ERROR
     other = asked.withColumn("feature", F.lit("never seen"))
     assert {r.pct for r in ranks.sketch_percentile(other, merged, "id").collect()} == {0.5}
+
+
+def test_left_percentiles_beside_the_rows(spark, monkeypatch):
+    """As the long form has them, whether places come to the rows or rows are shuffled to them."""
+    rng = np.random.default_rng(9)
+    rows = [(i, None if i % 7 == 0 else float(rng.integers(0, 30)), float("nan") if i % 11 == 0 else
+             float(rng.normal()), 1.0 if i % 2 else -1.0) for i in range(400)]
+    df = spark.createDataFrame(rows, "id long, a double, b double, c double")
+    reference = ranks.reference_counts(df.filter("id % 3 = 0"), {"a": F.col("a"), "b": F.col("b"), "c": F.abs("c")})
+    values = {"a": F.col("a"), "b": F.col("b"), "c": F.abs("c"), "d": F.col("a") + 1}
+    long = ranks.left_percentile(ranks.melt(df, ["id"], values), reference, "id")
+    wanted = {(r["id"], r["feature"]): r["pct"] for r in long.collect()}
+    assert wanted[1, "d"] == 0.5   # nothing to compare with
+    for held in (10**6, 20, -1):
+        monkeypatch.setattr(ranks, "HELD", held)
+        asked = df.select("id", *(c.alias(f"_{n}") for n, c in values.items()))
+        found = ranks.with_left_percentiles(asked, "id", {n: F.col(f"_{n}") for n in values}, reference).collect()
+        assert len(found) == 400
+        assert {(r["id"], n): r[n] for r in found for n in values if r[n] is not None} == wanted
+
+
+def test_rows_are_not_taken_apart_to_be_ranked(spark):
+    df = spark.createDataFrame([(f"w{i}", float(i % 5), float(i % 3)) for i in range(50)], "id string, a double, b double")
+    reference = ranks.reference_counts(df, ["a", "b"])
+    out = ranks.with_left_percentiles(df.select("id", F.col("a").alias("x"), F.col("b").alias("y")), "id",
+                                      {"a": F.col("x"), "b": F.col("y")}, reference)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "Aggregate" not in plan and plan.count("Join") == 2
