@@ -121,10 +121,11 @@ def etl_from_csv(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def star_roundtrip_csv(spark: SparkSession, sf: str) -> DataFrame:
-    """Write the star schema as CSV and read it back with its declared types."""
+    """Write the star schema as packed CSV and read it back with its declared types."""
     folder = f"{storage_folder(spark)}/star-csv-{spark.sparkContext.applicationId}"
     folder = f"{folder}/{sf.rstrip('/').rsplit('/', 1)[-1]}"
-    star_io.write_star(standin.star(spark, sf), folder, fmt="csv", mode="overwrite")
+    star_io.write_star(standin.star(spark, sf), folder, fmt="csv", mode="overwrite",
+                       compression="gzip")
     return star_io.read_star(spark, folder, fmt="csv").works.select(
         "Work_ID", "Constituency_ID", "Calamity_Flag", "Recommended_Date", "Completion_Date",
         "Days_to_Sanction", "Days_to_Complete", "Days_Pending", "Sanction_Amount",

@@ -8,6 +8,7 @@ from worksrisk import standin
 from worksrisk.operators import etl
 from worksrisk.operators.features import attach_vendor
 from worksrisk.session import stored
+from worksrisk.sources import star as star_io
 from worksrisk.sources.raw import ORDER, HouseFiles
 
 TINY = "/root/testdata/sf0.001"
@@ -129,3 +130,42 @@ def test_compliance_columns_that_come_with_the_master_equal_those_joined_later(s
     plain = etl.compliance_table(standin.master(spark, TINY), standin.compliance_inputs(spark, TINY))
     kept = standin.star(spark, TINY).compliance.select(plain.columns)
     assert kept.count() == plain.count() and kept.exceptAll(plain).isEmpty()
+
+
+def test_entries_of_a_work_follow_one_another_in_its_export(spark, tmp_path, monkeypatch):
+    """In one part file, in the order of the work's lines; where orders share works, whole files are sorted."""
+    def entries(name):
+        path = f"{standin.write_csv_exports(spark, TINY, 'Lok Sabha')}/{name}"
+        rows = (spark.read.option("header", True).option("escape", '"').option("multiLine", True).csv(path)
+                .select("*", F.col("_metadata.file_path").alias("file"),
+                        F.monotonically_increasing_id().alias("line")).orderBy("file", "line").collect())
+        assert all(r.file.endswith(".csv.gz") for r in rows)
+        return rows
+
+    rows = entries("Works Sanctioned (1).csv")
+    works = [(r.file, r.Work) for r in rows]
+    runs = [w for i, w in enumerate(works) if i == 0 or works[i - 1] != w]
+    assert len(rows) > len(runs) == len(set(runs)) == len({w for _, w in runs})
+    day = next(c for c in rows[0].asDict() if "Sanction" in c and "Date" in c)
+    first = {}
+    for r in rows:
+        first.setdefault(r.Work.rsplit("-", 1)[0], r[day])
+    kept = etl.keep_first(standin.exports(spark, TINY, sortable=True).sanctioned, ["Work_ID"], [ORDER])
+    wanted = {r.Work_ID: r.day for r in kept.select("Work_ID", F.date_format("Sanction_Date", "dd-MMM-yyyy").alias("day"))
+              .collect()}
+    assert {w: wanted[w] for w in first} == first
+    monkeypatch.setattr(standin, "_works_share_orders", lambda *_: True)
+    sorted_rows = entries("Works Sanctioned (1).csv")
+    assert sorted((r.Work, r[day]) for r in sorted_rows) == sorted((r.Work, r[day]) for r in rows)
+
+
+def test_a_star_may_be_packed_csv(spark, tmp_path):
+    star = standin.star(spark, TINY)
+    sizes = {}
+    for codec in (None, "gzip"):
+        folder = tmp_path / str(codec)
+        star_io.write_star(star, str(folder), fmt="csv", compression=codec)
+        sizes[codec] = sum(f.stat().st_size for f in folder.rglob("*.csv*") if f.is_file())
+        works = star_io.read_star(spark, str(folder), fmt="csv").works
+        assert works.count() == star.works.count() and works.exceptAll(star.works.select(works.columns)).isEmpty()
+    assert sizes["gzip"] * 3 < sizes[None]

@@ -75,8 +75,9 @@ def _path(folder: str, name: str, fmt: str) -> str:
     return f"{folder}/{name}.csv" if fmt == "csv" else f"{folder}/{name}"
 
 
-def write_star(star: Star, folder: str, fmt: str = "parquet", mode: str = "errorifexists") -> None:
-    """Store the five tables.
+def write_star(star: Star, folder: str, fmt: str = "parquet", mode: str = "errorifexists", *,
+               compression: str | None = None) -> None:
+    """Store the five tables; CSV is plain unless ``compression`` names a codec, such as gzip.
 
     In Parquet, tables with a row per work are sorted by their key inside each file and carry
     Bloom filters of it, so a look-up of one work skips the row groups that cannot hold it.
@@ -86,11 +87,13 @@ def write_star(star: Star, folder: str, fmt: str = "parquet", mode: str = "error
     for name, df in star.tables().items():
         out, by = in_schema(df, S.STAR[name]), PARTITION_BY.get(name, [])
         if fmt == "csv":
-            writer = out.write.option("header", True).option("escape", '"')
+            writer = (out.write.option("header", True).option("escape", '"')
+                      .option("compression", compression or "none")
+                      .option("zlib.compress.level", "BEST_SPEED"))
         else:
             key = LOOKED_UP.get(name)
             out = out.sortWithinPartitions(*by, key) if key else out
-            writer = out.write.partitionBy(*by).option("compression", "zstd")
+            writer = out.write.partitionBy(*by).option("compression", compression or "zstd")
             if key:
                 writer = (writer.option(f"parquet.bloom.filter.enabled#{key}", "true")
                           .option("parquet.bloom.filter.adaptive.enabled", "true"))
